@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, mixing, quality_rules
+from . import chat_format, line_dedup, minhash, mixing, quality_rules
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_minhash": minhash.op6_minhash,
     "op7_weighted_mix": mixing.op7_weighted_mix,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_quality_rules": quality_rules.op9_quality_rules,
