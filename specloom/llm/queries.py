@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, minhash, mixing, quality_rules
+from . import chat_format, line_dedup, minhash, mixing, pieces, quality_rules, token_files, warc
 
 QUERIES = {
+    "op1_warc_index": warc.op1_warc_index,
+    "op3_merge_dropout": pieces.op3_merge_dropout,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_minhash": minhash.op6_minhash,
     "op7_weighted_mix": mixing.op7_weighted_mix,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_separator_scan": token_files.op10_separator_scan,
 }
 
 ORACLE_SQL = {
+    "op1_warc_index": warc.OP1_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op7_weighted_mix": mixing.OP7_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
