@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, minhash, mixing, pieces, quality_model, quality_rules, token_files, warc
+from . import chat_format, line_dedup, minhash, mixing, neighbour_graph, pieces, quality_model, quality_rules, token_files, warc
 
 QUERIES = {
     "op1_warc_index": warc.op1_warc_index,
+    "op2_nn_descent": neighbour_graph.op2_nn_descent,
     "op3_merge_dropout": pieces.op3_merge_dropout,
     "op4_nbsvm": quality_model.op4_nbsvm,
     "op5_line_dedup": line_dedup.op5_line_dedup,
