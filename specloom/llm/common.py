@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +76,27 @@ def column_name(df: DataFrame, stem: str) -> str:
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in keys])
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys of a sorted partition, whole however the batches fall."""
+    rest: list[pa.Table] = []
+    held: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        at = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        whole = pa.Table.from_batches([b])
+        for i, j in zip(at, at[1:], strict=False):
+            key = tuple(c[i] for c in cols)
+            if held is not None and key != held:
+                yield pa.concat_tables(rest)
+                rest = []
+            rest.append(whole.slice(i, j - i))
+            held = key
+    if rest:
+        yield pa.concat_tables(rest)

@@ -1,13 +1,14 @@
 """Near-duplicates by banded MinHash with sequential Bayesian verification.
 
-1. A signature of ``bands * rows`` one-byte minima per document.  Documents
+1. A signature of one-byte minima per document, ``bands * rows`` and ``more``.  Documents
    with equal shingle sets become one node, named by its smallest doc_id.
 2. Bands name buckets.  Only buckets with two nodes go on.
 3. Candidates of a bucket are taken in rounds, so that a bucket with thousands
    of near copies does not give all its pairs: first each node with the
    bucket's smallest node, then nodes outside the bucket's main component with
-   a few nodes of it, and last every pair of a bucket whose ends are still in
-   different components.  A pair inside one component could not change it.
+   a few nodes of it, and last, inside tasks, every pair of a bucket whose ends
+   are still in different components.  A pair inside one component could not
+   change it.
 4. A candidate's signatures are compared batch by batch; it is dropped when,
    after a batch, the posterior probability of a similarity at the threshold or
    above falls below the miss probability.  Survivors are verified on their
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import key_runs, table, written
 from .graph import connected_components
 from .shingles import WordHashes, mixed, shingle_set
 
@@ -37,15 +38,18 @@ class MinHash:
 
     rows: int = 6
     bands: int = 54
+    #: Bytes beside those of the bands, for the comparison only.
+    more: int = 324
     percent: int = 75
     width: int = 5
     batch: int = 36
     miss: float = 1e-6
+    block: int = 1024
     seed: int = 1
 
     @property
     def size(self) -> int:
-        return self.rows * self.bands
+        return self.rows * self.bands + self.more
 
 
 def _coefficients(p: MinHash) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +153,52 @@ def _survivors(pairs: DataFrame, active: DataFrame, p: MinHash) -> DataFrame:
     return _sequential(with_u.join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v"), p)
 
 
+def _within_buckets(now: DataFrame, active: DataFrame, p: MinHash) -> DataFrame:
+    """Survivors (u, v, share) among all pairs of a bucket in different components.
+
+    Buckets are compared block against block, so that a large one is many
+    tasks' work, and only survivors leave a task, each from the first band that
+    its ends share.
+    """
+    least = least_matches(p)
+    blocks = now.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks"))
+    rows = now.join(blocks, "bucket").join(active.select("node", "sig").dropDuplicates(["node", "sig"]), "node")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "band", "node", "n", "comp", "sig")
+    key = ["bucket", "a", "b"]
+    dealt = rows.repartition(int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
+
+    def compare(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+        node, n, comp, mine = (t.column(k).to_numpy() for k in ("node", "n", "comp", "mine"))
+        x = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, p.size)
+        a, b, band = (t.column(k)[0].as_py() for k in ("a", "b", "band"))
+        right = np.flatnonzero(mine == b)
+        for left in np.array_split(np.flatnonzero(mine == a), -(-int((mine == a).sum()) // 64)):
+            i, j = np.meshgrid(left, right, indexing="ij")
+            fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]).astype(np.int64) >= p.percent * np.maximum(n[i], n[j]).astype(np.int64))
+            if a == b:
+                fit &= node[i] > node[j]
+            i, j = i[fit], j[fit]
+            m = np.zeros(len(i), np.int64)
+            for k, need in enumerate(least):
+                part = slice(k * p.batch, (k + 1) * p.batch)
+                m += (x[i, part] == x[j, part]).sum(axis=1)
+                alive = m >= need
+                i, j, m = i[alive], j[alive], m[alive]
+            if len(i):
+                same = (x[i, : p.rows * p.bands] == x[j, : p.rows * p.bands]).reshape(-1, p.bands, p.rows).all(axis=2)
+                first = same.argmax(axis=1) == band
+                i, j = i[first], j[first]
+                yield np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), m[first] / p.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in key_runs(batches, key):
+            for u, v, share in compare(t):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(share)], names=["u", "v", "share"])
+
+    return dealt.mapInArrow(run, "u long, v long, share double").dropDuplicates(["u", "v"])
+
+
 def _links(pairs: DataFrame, active: DataFrame, p: MinHash) -> DataFrame:
     texts = active.select("node", "text")
     with_u = pairs.select("u", "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
@@ -174,7 +224,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     )
 
     slices = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * p.rows + 1, p.rows)) for i in range(p.bands)])
-    rows = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode(slices).alias("bucket"))
+    rows = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode(slices).alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
     members = written(rows.join(shared, "bucket"))
     wanted = members.select("node").distinct()
@@ -189,18 +239,17 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
         per = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
         per = per.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps")
         now = written(now.join(per, "bucket"))
-        apart = now.filter("comp <> main")
-        if turn == "smallest":
-            few = now.groupBy("bucket").agg(F.min(F.struct("node", "comp", "n")).alias("x")).select("bucket", "x.*")
-            pairs = _pairs(now, few, p)
-        elif turn == "some":
-            few = now.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(4)).alias("part")).agg(F.min(F.struct("node", "comp", "n")).alias("x")).select("bucket", "x.*")
-            pairs = _pairs(apart, few, p)
+        if turn == "all":
+            found = _within_buckets(now, active, p)
         else:
-            pairs = _pairs(apart, now, p)
+            few, left = now.groupBy("bucket"), now
+            if turn == "some":
+                few, left = now.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(4)).alias("part")), now.filter("comp <> main")
+            few = few.agg(F.min(F.struct("node", "comp", "n")).alias("x")).select("bucket", "x.*")
+            found = _survivors(_pairs(left, few, p), active, p)
         if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        found = written(_survivors(pairs, active, p))
+            found = found.join(tried, ["u", "v"], "left_anti")
+        found = written(found)
         if turn != "all":  # the likeliest partner of each node settles most
             found_now = found.groupBy("u").agg(F.max_by("v", F.struct("share", "v")).alias("v"))
             found_now = written(found_now)
@@ -219,5 +268,11 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     return rest.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicated(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, in the same columns."""
+    kept = near_duplicates(docs, p).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

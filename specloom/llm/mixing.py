@@ -99,12 +99,16 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
     """``docs`` in the mix: each row as often as its taken words make it up.
 
     Texts stay whole: the pass that the budget cuts counts if at least half of
-    it was taken.
+    it was taken.  Rows with the same doc_id and text share their copies.
     """
-    copies = column_name(docs, "copies")
-    plan = mix_plan(docs, weights, max_epochs, seed, carry=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
-    n = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int")
-    return plan.withColumn(copies, n).filter(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select([f"`{c}`" for c in docs.columns])
+    key, n = column_name(docs, "row_hash"), column_name(docs, "copies")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    plan = mix_plan(keyed.select("doc_id", "source", "text", F.col(key).alias("row_hash")), weights, max_epochs, seed, carry=("row_hash",))
+    copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0)
+    wanted = plan.groupBy(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_row")).agg(F.sum(copies).cast("int").alias(n)).filter(F.col(n) > 0)
+    one = keyed.dropDuplicates(["doc_id", key])
+    joined = one.join(wanted, one["doc_id"].eqNullSafe(wanted["_doc"]) & (one[key] == wanted["_row"]))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select([f"`{c}`" for c in docs.columns])
 
 
 def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

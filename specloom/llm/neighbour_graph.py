@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import key_runs, table, written
 from .graph import connected_components
 
 
@@ -52,30 +52,6 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys of a sorted partition, whole however the batches fall."""
-    rest: list[pa.Table] = []
-    held: tuple | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(b.num_rows, bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        at = [0, *np.flatnonzero(new).tolist(), b.num_rows]
-        whole = pa.Table.from_batches([b])
-        for i, j in zip(at, at[1:], strict=False):
-            key = tuple(c[i] for c in cols)
-            if held is not None and key != held:
-                yield pa.concat_tables(rest)
-                rest = []
-            rest.append(whole.slice(i, j - i))
-            held = key
-    if rest:
-        yield pa.concat_tables(rest)
-
-
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of equal usable vectors: rows (vec_id, id) and nodes (id, grp, weight, vec).
 
@@ -126,7 +102,7 @@ def _search(nodes: DataFrame, extra: str, bits: int, p: Descent, seed: int, pick
     dealt = copies.repartitionByRange(n, *key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _slices(batches, ["tab", "grp", "code"]):
+        for t in key_runs(batches, ["tab", "grp", "code"]):
             for at in range(0, max(1, t.num_rows - p.window // 2), p.window // 2):
                 part = t.slice(at, p.window)
                 if part.num_rows > 1:
@@ -189,7 +165,7 @@ def _local_joins(lists: DataFrame, nodes: DataFrame, p: Descent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rows = 0
-        for t in _slices(batches, ["pivot"]):
+        for t in key_runs(batches, ["pivot"]):
             ids, x = t.column("id").to_numpy(), _matrix(t.column("vec").combine_chunks())
             s = x @ x.T
             np.fill_diagonal(s, -2)
@@ -217,7 +193,7 @@ def _block_counts(nodes: DataFrame, comps: DataFrame, p: Descent) -> DataFrame:
     dealt = paired.repartition(n, "comp", "a", "b").sortWithinPartitions("comp", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _slices(batches, ["comp", "a", "b"]):
+        for t in key_runs(batches, ["comp", "a", "b"]):
             ids, w, mine = (t.column(k).to_numpy() for k in ("id", "weight", "mine"))
             x = _matrix(t.column("vec").combine_chunks())
             a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
