@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,13 +59,18 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, also where inner lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def attribute_entries(text: Column) -> Column:
     """(key, value) of each attribute line ``:key: value``, the last of each key, in order of those."""
     pattern = F.lit(rf"(?dm)^:({_NAME}+):[ \t]*(.*)$")
     keys, values = F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))
     pairs = F.arrays_zip(keys.alias("key"), F.transform(values, strip).alias("value"))
-    later = lambda p, i: F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"])
-    return F.filter(pairs, lambda p, i: ~later(p, i))
+    later = lambda all_, p, i: F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["key"] == p["key"])
+    return _bound(pairs, lambda all_: F.filter(all_, lambda p, i: ~later(all_, p, i)))
 
 
 def attributes(text: Column) -> Column:
@@ -78,9 +85,12 @@ def words(text: Column) -> Column:
 def chunks(text: Column, size: int = 200, overlap: int = 40) -> Column:
     """Overlapping windows of words; the last one reaches the end. No words, no chunks."""
     step = max(1, size - overlap)
-    w = words(text)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + size < F.size(w)))
-    return F.when(F.size(w) > 0, F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + size < F.size(w)))
+        return F.when(F.size(w) > 0, F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return _bound(words(text), windows)
 
 
 def decode_utf8(content: Column) -> Column:

@@ -43,18 +43,38 @@ def subtree(node: DataFrame, head: str, max_depth: int = 100) -> DataFrame:
     return spark.sql(
         f"""
         WITH RECURSIVE below (id, parent_id, kind, slug, dimension_code, body, version, status, depth) MAX RECURSION LEVEL {int(max_depth)} AS (
-          SELECT id, parent_id, kind, slug, dimension_code, body, version, status, 0 FROM {{node}} WHERE id = {{head}}
+          SELECT id, parent_id, kind, slug, dimension_code, body, version, status, 0 FROM {{node}} WHERE id = :head
           UNION ALL
           SELECT n.id, n.parent_id, n.kind, n.slug, n.dimension_code, n.body, n.version, n.status, b.depth + 1
           FROM {{node}} n JOIN below b ON n.parent_id = b.id
         )
         SELECT * FROM below
         """,
+        args={"head": head},
         node=node,
-        head=F.lit(head),
     )
 
 
+def subtree_levels(node: DataFrame, head: str, depth: int) -> DataFrame:
+    """The same for a tree of a known depth: one join a level, and no limit on rows.
+
+    The node table is a tree of three levels below the capability at most, so
+    the plan is fixed and Spark can pick each join by its side's size.
+    """
+    cols = ["id", "parent_id", "kind", "slug", "dimension_code", "body", "version", "status"]
+    level = node.filter(F.col("id") == head).select(*cols, F.lit(0).alias("depth"))
+    out = level
+    for d in range(1, depth + 1):
+        above = level.select(F.col("id").alias("_above")) if d > 1 else None
+        # the first level below the head is a filter, which reaches the scan
+        child = node.filter(F.col("parent_id") == head) if above is None else node.join(above, node["parent_id"] == above["_above"]).drop("_above")
+        level = child.select(*cols, F.lit(d).alias("depth"))
+        if d == 1:  # nothing is below an unknown head
+            level = level.join(node.filter(F.col("id") == head).select(F.col("id").alias("_head")), F.col("parent_id") == F.col("_head"), "left_semi")
+        out = out.unionByName(level)
+    return out
+
+
 def spec(node: DataFrame, head: str, dimension: str | None = None, status: str | None = None) -> DataFrame:
     """Nodes with a body under ``head`` (itself included) of one status; an unknown head gives none."""
     rows = subtree(node, head).filter("body IS NOT NULL").filter(F.col("status") == (status if status is not None else "approved"))

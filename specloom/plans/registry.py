@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import queries_merge, queries_read, queries_text
+
+_ALL = [*queries_read.REGISTERED, *queries_text.REGISTERED, *queries_merge.REGISTERED]
+
+QUERIES = {name: query for name, query, _ in _ALL}
+ORACLE_SQL = {name: sql for name, _, sql in _ALL if sql}

@@ -48,12 +48,6 @@ def read_archives(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFr
     return unzip(found.select(F.col("path").alias("archive"), "content"))
 
 
-def manifest_texts(files: DataFrame) -> DataFrame:
-    """archive, manifest: the first manifest in archive order, at any depth."""
-    named = files.filter(X.basename(F.col("path")) == X.MANIFEST_FILE)
-    return named.groupBy("archive").agg(F.min_by("body", "ord").alias("manifest"))
-
-
 def _field(body: Column, name: str) -> Column:
     """Text value of a flat ``name: value`` line; null if absent or not a string."""
     raw = F.nullif(F.regexp_extract(body, rf"(?m)^{name}:[ \t]+(\S.*)$", 1), F.lit(""))
@@ -64,18 +58,22 @@ def _field(body: Column, name: str) -> Column:
 
 
 def parse_manifests(texts: DataFrame) -> DataFrame:
-    """archive and the four fields of each manifest, all required strings; ``error`` where one is missing."""
-    fields = texts.select("archive", *[_field(F.col("manifest"), f).alias(f) for f in FIELDS])
+    """The rows of ``texts`` (archive, manifest and more) with the four fields, all required strings, in place of the manifest; ``error`` where one is missing."""
+    fields = texts.select("*", *[_field(F.col("manifest"), f).alias(f) for f in FIELDS])
     missing = F.filter(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in FIELDS]), lambda x: x.isNotNull())
     return fields.withColumn("error", F.when(F.size(missing) > 0, F.concat(F.lit("manifest lacks "), F.array_join(missing, ", "))))
 
 
 def manifests(files: DataFrame) -> DataFrame:
-    """Manifest row of each archive in ``files``, with an ``error`` where it can't be used."""
-    broken = files.groupBy("archive").agg(F.max("error").alias("broken"))
-    parsed = parse_manifests(manifest_texts(files))
-    j = broken.join(parsed, "archive", "left")
-    return j.select("archive", *FIELDS, F.coalesce("broken", "error", F.when(F.col("capability_slug").isNull(), f"{X.MANIFEST_FILE} not found")).alias("error"))
+    """Manifest row of each archive in ``files``, with an ``error`` where it can't be used.
+
+    An archive's manifest is its first file of that name, at any depth.
+    """
+    named = X.basename(F.col("path")) == X.MANIFEST_FILE
+    # one pass: only manifests are carried, other bodies are dropped before the shuffle
+    texts = files.groupBy("archive").agg(F.max("error").alias("broken"), F.min_by(F.when(named, F.col("body")), F.when(named, F.col("ord"))).alias("manifest"), F.count_if(named).alias("n"))
+    none = F.when(F.col("n") == 0, F.lit(f"{X.MANIFEST_FILE} not found"))
+    return parse_manifests(texts).select("archive", *FIELDS, F.coalesce("broken", none, "error").alias("error"))
 
 
 def require_valid(found: DataFrame) -> DataFrame:
