@@ -153,25 +153,34 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.a * m + self.b, -30, 30))))
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 1) -> QualityModel:
-    """Fit on ``labelled`` (text, label 0 or 1; rows with another label are left out).
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 1) -> QualityModel:
+    """Fit on the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) marks 0 or 1.
 
-    Counts cover every row.  The hinge loss is fitted on at most ``sample_rows``
-    rows, those of the smallest hash of their text, half of them at most from
-    each class; with no rows, or one class only, every score is that class's
-    share (0.5 without rows).
+    A document with both labels counts as 0; null ids and other labels are left
+    out.  Counts cover every labelled row.  The hinge loss is fitted on at most
+    ``sample_rows`` rows, those of the smallest hash of their text, half of
+    them at most from each class, repeated rows once; with no rows, or one
+    class only, every score is that class's share (0.5 without rows).
+
+    Texts are shuffled once, to meet their labels for the counts.  The sample
+    is chosen from hashes; its ids, of bounded number, go to the texts.
     """
-    labelled = labelled.filter("label IN (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    r = log_ratios(labelled)
+    labels = labels.filter("label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    r = log_ratios(docs.join(labels, "doc_id"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Words()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("label"), b.column("at"), pa.array([features(t, seen) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["label", "at", "x"])
 
-    keyed = labelled.withColumn("at", F.xxhash64(F.lit(seed), "text"))
-    picks = [keyed.filter(F.col("label") == c).orderBy("at").limit(sample_rows // 2) for c in (0, 1)]
-    rows = picks[0].unionByName(picks[1]).select("label", "at", "text").mapInArrow(take, "label int, at long, x array<long>").toPandas().sort_values(["at", "label"])
+    at = F.xxhash64(F.lit(seed), "text").alias("at")
+    keyed = docs.select("doc_id", at).join(labels, "doc_id").distinct()
+    picks = [keyed.filter(F.col("label") == c).orderBy("at", "doc_id").limit(sample_rows // 2) for c in (0, 1)]
+    chosen = picks[0].unionByName(picks[1])
+    # at most sample_rows rows of three numbers
+    sample = docs.withColumn("at", F.xxhash64(F.lit(seed), "text")).join(F.broadcast(chosen), ["doc_id", "at"]).dropDuplicates(["doc_id", "at"])
+    rows = sample.select("label", "at", "text").mapInArrow(take, "label int, at long, x array<long>").toPandas().sort_values(["at", "label"], kind="stable")
     y = np.where(rows["label"].to_numpy() == 1, 1, -1)
     x = [np.asarray(v, np.int64) for v in rows["x"]]
     if len(set(y.tolist())) < 2:
@@ -205,7 +214,6 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 def op4_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").filter("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    labelled = docs.filter(~held_out()).join(labels, "doc_id").select("text", "label")
-    scores = score_documents(docs, fit(labelled))
+    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    scores = score_documents(docs, fit(docs, labels))
     return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

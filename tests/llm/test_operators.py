@@ -148,8 +148,9 @@ def test_quality_scores(spark):
 def test_quality_scores_of_hard_rows(spark):
     docs = hard_documents(spark)
     for labels in ([], [1, 1], [0, 1, None]):
-        labelled = spark.createDataFrame([(f"text {i} " * 5, y) for i, y in enumerate(labels)], "text string, label int")
-        scores = quality_model.score_documents(docs, quality_model.fit(labelled)).collect()
+        known = spark.createDataFrame([(i, f"text {i} " * 5) for i in range(3)] * 2 + [(0, None)], "doc_id long, text string")
+        marks = spark.createDataFrame([*enumerate(labels), (None, 1), (9, 1)], "doc_id long, label int")
+        scores = quality_model.score_documents(docs, quality_model.fit(known, marks)).collect()
         assert len(scores) == docs.count() and all(0 <= r.score <= 1 for r in scores)
 
 
