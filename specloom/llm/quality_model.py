@@ -98,21 +98,21 @@ def dual_coordinate_descent(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, c
     scaled to unit length; errors of the rarer class cost more, by how rare it is.
     """
     w, bias = np.zeros(len(r)), 0.0
-    scaled = [r[i] / max(1e-9, np.sqrt((r[i] ** 2).sum() + 1)) for i in x]
-    ones = [1 / max(1e-9, np.sqrt((r[i] ** 2).sum() + 1)) for i in x]
-    square = np.array([(v * v).sum() + o * o for v, o in zip(scaled, ones, strict=True)])
+    # a row's scaled indicators are looked up again in each step, so that the sample is held once
+    ones = np.array([1 / np.sqrt((r[i] ** 2).sum() + 1) for i in x])
     upper = cost * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     alpha, rng = np.zeros(len(x)), np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(x)):
-            g = y[i] * (w[x[i]] @ scaled[i] + bias * ones[i]) - 1
-            a = min(max(alpha[i] - g / square[i], 0.0), upper[i])
+            scaled = r[x[i]] * ones[i]
+            g = y[i] * (w[x[i]] @ scaled + bias * ones[i]) - 1
+            a = min(max(alpha[i] - g, 0.0), upper[i])  # rows have unit length
             if a != alpha[i]:
                 step = (a - alpha[i]) * y[i]
-                w[x[i]] += step * scaled[i]
+                w[x[i]] += step * scaled
                 bias += step * ones[i]
-                most = max(most, abs(a - alpha[i]) * square[i])
+                most = max(most, abs(a - alpha[i]))
                 alpha[i] = a
         if most < tolerance:
             break
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Words()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("at"), pa.array([features(t, seen) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["label", "at", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("at"), pa.array([features(t, seen).astype("<i4").tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["label", "at", "x"])
 
     at = F.xxhash64(F.lit(seed), "text").alias("at")
     keyed = docs.select("doc_id", at).join(labels, "doc_id").distinct()
@@ -180,9 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
     chosen = picks[0].unionByName(picks[1])
     # at most sample_rows rows of three numbers
     sample = docs.withColumn("at", F.xxhash64(F.lit(seed), "text")).join(F.broadcast(chosen), ["doc_id", "at"]).dropDuplicates(["doc_id", "at"])
-    rows = sample.select("label", "at", "text").mapInArrow(take, "label int, at long, x array<long>").toPandas().sort_values(["at", "label"], kind="stable")
+    rows = sample.select("label", "at", "text").mapInArrow(take, "label int, at long, x binary").toPandas().sort_values(["at", "label"], kind="stable")
     y = np.where(rows["label"].to_numpy() == 1, 1, -1)
-    x = [np.asarray(v, np.int64) for v in rows["x"]]
+    x = [np.frombuffer(v, "<i4") for v in rows["x"]]
     if len(set(y.tolist())) < 2:
         share = 0.5 if not len(y) else float(y[0] > 0)
         return QualityModel(r, np.zeros(BUCKETS), 0.0, 0.0, float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
