@@ -167,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
     """
     labels = labels.filter("label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    r = log_ratios(docs.join(labels, "doc_id"))
+    # one plan at every size: labels grow with the input, so they are never broadcast
+    r = log_ratios(docs.join(labels.hint("merge"), "doc_id"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Words()
