@@ -5,25 +5,31 @@ front, spaces as U+2581, the best-scored merge first (leftmost of equals), byte
 pieces for characters without a piece.  Under dropout a candidate merge - two
 neighbouring symbols, named by where the left one starts, the right one starts
 and the right one ends in their chunk - is skipped if its keyed hash falls
-below the rate.  The key is the seed, the document's variant (its id hashed
-into ``variants``) and the chunk, so the same call gives the same pieces and
-another seed or variant gives others.  Every segmentation decodes to the same
-text; U+2581 itself is written in bytes, so that it can't be taken for a space.
+below the rate.  The key is the seed, the doc_id, the number of the document's
+copy and the place of the chunk in the text, so each occurrence of a word has
+coins of its own, and the same call gives the same pieces.  Every segmentation
+decodes to the same text; U+2581 itself is written in bytes, so that it can't
+be taken for a space.
 
 No piece has a space after its first run of spaces, so a text is cut into
 chunks before spaces and around line ends, and all chunks of many documents go
 through the agenda together: each round takes the best candidate of every
-chunk.  Long chunks have an agenda (a heap) each.
+chunk.  What the agenda does depends only on which of the candidates it comes
+to are skipped.  Its runs are remembered by chunk and skipped candidates, and
+an occurrence follows the run of its own coins: they choose among the runs, so
+that the outcome is that of an agenda for each occurrence.  Long chunks have an
+agenda (a heap) each.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +39,12 @@ from .shingles import mixed
 
 SPACE = "▁"
 CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
+#: Below 128, as places in a chunk are kept in 7 bits.
 LONG_CHUNK = 64
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 1_000_000
+#: Runs of the agenda that are remembered; beyond that, all are forgotten and found again.
+MOST_RUNS = 400_000
+_M = (1 << 64) - 1
 _NONE = np.int64(1) << 40
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: Symbols from here on are characters without a piece.
@@ -115,9 +125,14 @@ class Pieces:
         return out
 
 
-def _skipped(key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
-    h = mixed(mixed(mixed(key + start.astype(np.uint64) * _C[0]) + mid.astype(np.uint64) * _C[1]) + end.astype(np.uint64) * _C[2])
-    return (h >> np.uint64(11)).astype(np.float64) < rate * float(1 << 53)
+def _candidate(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of a candidate merge by its places in the chunk."""
+    return mixed(mixed(mixed(start.astype(np.uint64) * _C[0]) + mid.astype(np.uint64) * _C[1]) + end.astype(np.uint64) * _C[2])
+
+
+def _skipped(key: np.ndarray, candidate: np.ndarray, rate: float) -> np.ndarray:
+    """The coin of each occurrence's key for a candidate's hash."""
+    return (mixed(mixed(key + candidate)) >> np.uint64(11)).astype(np.float64) < rate * float(1 << 53)
 
 
 def _agenda(sym: np.ndarray, key: np.uint64, rate: float, p: Pieces) -> np.ndarray:
@@ -134,11 +149,12 @@ def _agenda(sym: np.ndarray, key: np.uint64, rate: float, p: Pieces) -> np.ndarr
     for i in range(n):
         candidate(i)
     one = lambda x: np.array([x])
+    skip = lambda i, j, end: _skipped(one(key), _candidate(one(i), one(j), one(end)), rate)[0]
     while heap:
         _, i, j, end, m = heapq.heappop(heap)
         if sym[i] < 0 or sym[j] < 0 or after[i] != j or after[j] != end:
             continue
-        if rate > 0 and _skipped(one(key), one(i), one(j), one(end), rate)[0]:
+        if rate > 0 and skip(i, j, end):
             continue
         sym[i], sym[j], after[i] = m, -1, end
         if end < n:
@@ -149,31 +165,39 @@ def _agenda(sym: np.ndarray, key: np.uint64, rate: float, p: Pieces) -> np.ndarr
     return np.array(sym, np.int64)
 
 
-def _rounds(sym: np.ndarray, lens: np.ndarray, keys: np.ndarray, rate: float, p: Pieces) -> np.ndarray:
-    """The same for many chunks at once, in place of their characters."""
+def _rounds(sym: np.ndarray, lens: np.ndarray, skipped: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many chunks at once, in place of their characters, and the merges done: chunk and candidate, by chunk.
+
+    ``skipped`` has the candidates skipped, sorted: the chunk's number shifted by 21 bits, and three places of 7 bits.
+    """
+    merges: list[np.ndarray] = []
     out = np.full(len(sym), -1, np.int64)
     word = np.repeat(np.arange(len(lens)), lens)
     place = np.arange(len(sym))
     first = np.cumsum(lens) - lens
     limit = first + lens
 
+    def code(a: np.ndarray) -> np.ndarray:
+        """The candidates of the symbols a with their right neighbours."""
+        k = np.minimum(a + 2, len(sym) - 1)
+        end = np.where((a + 2 < len(sym)) & (word[k] == word[a]), place[k], limit[word[a]])
+        base = first[word[a]]
+        return (word[a] << 21) | ((place[a] - base) << 14) | ((place[a + 1] - base) << 7) | (end - base)
+
     def rank(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge and priority of the symbols i with their right neighbours."""
         j = np.minimum(i + 1, len(sym) - 1)
         w = word[i]
         m = np.where((i + 1 < len(sym)) & (word[j] == w), p.merged(sym[i], sym[j]), -1)
         ok = m >= 0
-        if rate > 0 and ok.any():
-            a, b = i[ok], j[ok]
-            k = np.minimum(b + 1, len(sym) - 1)
-            end = np.where((b + 1 < len(sym)) & (word[k] == word[b]), place[k], limit[word[b]])
-            base = first[word[a]]
-            drop = _skipped(keys[word[a]], place[a] - base, place[b] - base, end - base, rate)
+        if len(skipped) and ok.any():
+            c = code(i[ok])
+            drop = skipped[np.minimum(np.searchsorted(skipped, c), len(skipped) - 1)] == c
             ok[np.flatnonzero(ok)[drop]] = False
         return m, np.where(ok, p.rank_of[np.maximum(m, 0)], _NONE)
 
     if not len(sym):
-        return out
+        return out, np.zeros(0, np.int64), np.zeros(0, np.int64)
     piece, prio = rank(np.arange(len(sym)))
     while len(sym):
         new = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
@@ -186,6 +210,7 @@ def _rounds(sym: np.ndarray, lens: np.ndarray, keys: np.ndarray, rate: float, p:
         # the leftmost of the best candidates of each open chunk
         best = np.flatnonzero(open_ & (prio == np.repeat(least, size)))
         best = best[np.concatenate(([True], word[best][1:] != word[best][:-1]))]
+        merges.append(code(best))
         sym[best] = piece[best]
         keep = open_
         keep[best + 1] = False
@@ -193,27 +218,13 @@ def _rounds(sym: np.ndarray, lens: np.ndarray, keys: np.ndarray, rate: float, p:
         sym, word, place, piece, prio = sym[keep], word[keep], place[keep], piece[keep], prio[keep]
         again = np.concatenate((at, at[at > 0] - 1))
         piece[again], prio[again] = rank(again)
-    return out
+    done = np.concatenate(merges or [np.zeros(0, np.int64)])
+    done = done[np.argsort(done >> 21, kind="stable")]
+    return out, done >> 21, done & ((1 << 21) - 1)
 
 
-def segment(chunks: list[str], keys: np.ndarray, rate: float, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all chunks in a row, and how many each has; ``keys`` has a 64-bit key for each."""
-    if not chunks:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    cp = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
-    sym = p.char[cp]
-    first = np.cumsum(lens) - lens
-    if rate > 0:  # the chunk's own hash makes its key
-        inner = np.arange(len(cp)) - np.repeat(first, lens)
-        keys = mixed(keys ^ np.add.reduceat(mixed(cp.astype(np.uint64) * _C[1] + inner.astype(np.uint64) * _C[2]), first))
-    done = np.full(len(sym), -1, np.int64)
-    short = np.repeat(lens <= LONG_CHUNK, lens)
-    done[short] = _rounds(sym[short], lens[lens <= LONG_CHUNK], keys[lens <= LONG_CHUNK], rate, p)
-    for w in np.flatnonzero(lens > LONG_CHUNK):
-        part = slice(first[w], first[w] + lens[w])
-        done[part] = _agenda(sym[part], keys[w], rate, p)
-    # a character without a piece takes the place of its bytes
+def _spelled(done: np.ndarray, lens: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of chunks in a row, and how many each has; a character without a piece takes the place of its bytes."""
     n_ids = (done >= 0).astype(np.int64)
     lacking = np.flatnonzero(done >= _CHAR)
     spelled = [[p.byte_id[b] for b in chr(x).encode()] for x in (done[lacking] - _CHAR).tolist()]
@@ -223,56 +234,169 @@ def segment(chunks: list[str], keys: np.ndarray, rate: float, p: Pieces) -> tupl
         at = (np.cumsum(n_ids) - n_ids)[lacking]
         n = n_ids[lacking]
         flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.concatenate(spelled)
-    return flat.astype(np.int32), np.add.reduceat(n_ids, first)
+    return flat.astype(np.int32), np.add.reduceat(n_ids, np.cumsum(lens) - lens)
+
+
+class _Column:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, dtype: type):
+        self.all, self.n = np.zeros(1024, dtype), 0
 
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.all):
+            self.all = np.concatenate((self.all[: self.n], np.zeros(max(self.n, len(x)), self.all.dtype)))
+        self.all[self.n : self.n + len(x)] = x
+        self.n += len(x)
 
-class _Numbers(dict):
-    """Number of each chunk of a variant, in the common list of chunks."""
 
-    def __init__(self, chunks: list[str], keys: list[int], variant: int):
+class Runs(dict):
+    """Runs of the agenda: number of each short chunk's run without a skip, and all runs by number.
+
+    A run has the candidates that it comes to after the last one skipped, in
+    turn, its piece ids, and for each candidate the run that skips it (-1: not
+    known yet).
+    """
+
+    def __init__(self, p: Pieces):
         super().__init__()
-        self.chunks, self.keys, self.variant = chunks, keys, variant
+        self.p, self.waiting = p, []
+        self.chunks: list[str] = []
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.chunks.clear()
+        self.waiting.clear()
+        self.n_runs = 0
+        self.chunk, self.above, self.skip, self.depth = _Column(np.int32), _Column(np.int32), _Column(np.int32), _Column(np.int32)
+        self.first, self.size, self.ids_at, self.n_ids = _Column(np.int64), _Column(np.int32), _Column(np.int64), _Column(np.int32)
+        self.code, self.candidate, self.owner, self.below, self.ids = _Column(np.int32), _Column(np.uint64), _Column(np.int32), _Column(np.int32), _Column(np.int32)
 
     def __missing__(self, chunk: str) -> int:
-        n = self[chunk] = len(self.chunks)
+        n = self[chunk] = self.n_runs + len(self.waiting)
+        self.waiting.append(len(self.chunks))
         self.chunks.append(chunk)
-        self.keys.append(self.variant)
         return n
 
-
-def encode_texts(rows: list[tuple[int | None, str | None]], p: Pieces, rate: float, seed: int, variants: int) -> list[np.ndarray | None]:
-    """Piece ids of (doc_id, text) rows; a chunk is segmented once a variant."""
+    def settle(self) -> None:
+        """Find the runs of the new chunks."""
+        w, none = np.array(self.waiting, np.int32), np.full(len(self.waiting), -1, np.int32)
+        self.waiting = []
+        self._find(w, none, none, np.zeros(len(w), np.int32))
+
+    def _find(self, chunk: np.ndarray, above: np.ndarray, skip: np.ndarray, depth: np.ndarray) -> None:
+        """New runs: of a chunk, below another run, with one more candidate skipped after ``depth`` merges."""
+        if not len(chunk):
+            return
+        texts = [self.chunks[c] for c in chunk.tolist()]
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        number, run, skipped, last = np.arange(len(chunk)), above, [], skip
+        while len(number := number[(has := run >= 0)]):
+            run, last = run[has], last[has]
+            skipped.append((number << 21) | last)
+            run, last = self.above.all[run], self.skip.all[run]
+        done, of, code = _rounds(self.p.char[cp], lens, np.sort(np.concatenate(skipped or [np.zeros(0, np.int64)])), self.p)
+        n = np.bincount(of, minlength=len(chunk))
+        code = code[np.arange(len(of)) - (np.cumsum(n) - n)[of] >= depth[of]]
+        n = n - depth
+        flat, n_ids = _spelled(done, lens, self.p)
+        self.first.add(self.code.n + np.cumsum(n) - n)
+        self.ids_at.add(self.ids.n + np.cumsum(n_ids) - n_ids)
+        self.owner.add(np.repeat(self.n_runs + np.arange(len(chunk)), n))
+        self.candidate.add(_candidate(code >> 14, (code >> 7) & 127, code & 127))
+        for column, x in ((self.chunk, chunk), (self.above, above), (self.skip, skip), (self.depth, depth), (self.size, n), (self.n_ids, n_ids), (self.code, code), (self.below, np.full(len(code), -1)), (self.ids, flat)):
+            column.add(x)
+        self.n_runs += len(chunk)
+
+    def follow(self, run: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
+        """The run that each occurrence comes to by the coins of its key, from its chunk's run without a skip."""
+        run = run.copy()
+        open_ = np.arange(len(run)) if rate > 0 else np.zeros(0, np.int64)
+        while len(open_):
+            n = self.size.all[run[open_]]
+            of = np.repeat(np.arange(len(open_)), n)
+            step = np.arange(len(of)) + np.repeat(self.first.all[run[open_]] - (np.cumsum(n, dtype=np.int64) - n), n)
+            hit = np.flatnonzero(_skipped(keys[open_][of], self.candidate.all[step], rate))
+            hit = hit[np.diff(of[hit], prepend=-1) > 0]
+            open_, step = open_[of[hit]], step[hit]
+            lacking = np.unique(step[self.below.all[step] < 0])
+            owner = self.owner.all[lacking]
+            self.below.all[lacking] = self.n_runs + np.arange(len(lacking))
+            self._find(self.chunk.all[owner], owner, self.code.all[lacking], self.depth.all[owner] + (lacking - self.first.all[owner]).astype(np.int32))
+            run[open_] = self.below.all[step]
+        return run
+
+
+def segment(chunks: list[str], keys: np.ndarray, rate: float, p: Pieces, runs: Runs | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all chunks in a row, and how many each has; ``keys`` has a 64-bit key for each.
+
+    ``runs`` are those known from earlier calls, and get new ones.
+    """
+    if not chunks:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    runs = Runs(p) if runs is None else runs
+    if runs.n_runs > MOST_RUNS:
+        runs.forget()
+    long = [k for k, c in enumerate(chunks) if len(c) > LONG_CHUNK]
+    if long:
+        short = np.array([len(c) <= LONG_CHUNK for c in chunks])
+        number = np.zeros(len(chunks), np.int64)
+        number[short] = [runs[c] for c in chunks if len(c) <= LONG_CHUNK]
+    else:
+        short, number = slice(None), np.fromiter(map(runs.__getitem__, chunks), np.int64, len(chunks))
+    runs.settle()
+    run = runs.follow(number[short], keys[short], rate)
+    n, starts = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+    n[short], starts[short] = runs.n_ids.all[run], runs.ids_at.all[run]
+    more, at = [runs.ids.all[: runs.ids.n]], runs.ids.n
+    plain: dict[str, np.ndarray] = {}
+    for k in long:
+        got = plain.get(chunks[k])
+        if got is None:
+            sym = p.char[np.frombuffer(chunks[k].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)]
+            got = _spelled(_agenda(sym, keys[k], rate, p), np.array([len(sym)]), p)[0]
+            if rate <= 0:
+                plain[chunks[k]] = got
+        n[k], starts[k] = len(got), at
+        more.append(got)
+        at += len(got)
+    flat = np.concatenate(more) if long else more[0]
+    return flat[np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)], n
+
+
+def _document_key(doc: int | None, text: str, seed: int, copy: int) -> int:
+    """A document's key; the text stands for a null doc_id."""
+    name = f"t{xxhash.xxh3_64_intdigest(text.encode('utf-8', 'surrogatepass'))}" if doc is None else f"d{doc}"
+    return xxhash.xxh3_64_intdigest(f"{seed}:{copy}:{name}".encode())
+
+
+def encode_texts(rows: list[tuple[int | None, str | None]], p: Pieces, rate: float, seed: int, copies: int | Sequence[int] = 0, runs: Runs | None = None) -> list[np.ndarray | None]:
+    """Piece ids of (doc_id, text) rows; ``copies`` has the number of each row's copy, or one for all."""
     chunks: list[str] = []
     keys: list[int] = []
-    uses: list[list[int] | None] = []
-    known = [_Numbers(chunks, keys, v) for v in range(variants)]
-    for doc, text in rows:
-        if not text:
-            uses.append(None if text is None else [])
-            continue
-        v = int(mixed(np.array([(seed ^ (-1 if doc is None else doc)) & ((1 << 64) - 1)], np.uint64) + _C[0])[0]) % variants
-        uses.append(list(map(known[v].__getitem__, CHUNK.findall(" " + text))))
-    of_variant = mixed(np.arange(variants).astype(np.uint64) * _C[1] + mixed(np.array([seed & ((1 << 64) - 1)], np.uint64)))
-    flat, lens = segment(chunks, of_variant[keys] if keys else np.zeros(0, np.uint64), rate, p)
-    starts = np.cumsum(lens) - lens
-    out: list[np.ndarray | None] = []
-    for u in uses:
-        if not u:
-            out.append(None if u is None else np.zeros(0, np.int32))
-            continue
-        u = np.array(u)
-        n = lens[u]
-        total = np.cumsum(n)
-        out.append(flat[np.arange(total[-1]) + np.repeat(starts[u] - total + n, n)])
-    return out
-
-
-def encode(docs: DataFrame, ids: str = "ids", rate: float = 0.1, seed: int = 1, variants: int = 8, model: str | None = None) -> DataFrame:
+    sizes: list[int] = []
+    for (doc, text), copy in zip(rows, np.broadcast_to(copies, len(rows)).tolist(), strict=True):
+        own = CHUNK.findall(" " + text) if text else []
+        chunks += own
+        sizes.append(len(own))
+        keys.append(_document_key(doc, text, seed, copy) if own and rate > 0 else 0)
+    n_chunks = np.array(sizes, np.int64)
+    ends = np.cumsum(n_chunks)
+    place = np.arange(len(chunks)) - np.repeat(ends - n_chunks, n_chunks)
+    flat, lens = segment(chunks, mixed(np.repeat(np.array(keys, np.uint64), n_chunks) + place.astype(np.uint64) * _C[1]), rate, p, runs)
+    total = np.concatenate(([0], np.cumsum(lens)))
+    return [None if text is None else flat[total[e - n] : total[e]] for (_, text), n, e in zip(rows, sizes, ends.tolist(), strict=True)]
+
+
+def encode(docs: DataFrame, ids: str = "ids", rate: float = 0.1, seed: int = 1, copy: str | None = None, model: str | None = None) -> DataFrame:
     """``docs`` with the piece ids of ``text`` in a new array column.
 
     ``rate`` 0 gives the model's own segmentation.  A null text has null ids, an
-    empty one none; rows with the same doc_id and text get the same ids; null
-    doc_ids share a key; other columns pass through.
+    empty one none; rows with the same doc_id and text get the same ids, unless
+    ``copy`` names a column that numbers them; the text stands for a null
+    doc_id; other columns pass through.
     """
     model = model or default_model()
     if column_name(docs, ids) != ids:
@@ -281,7 +405,9 @@ def encode(docs: DataFrame, ids: str = "ids", rate: float = 0.1, seed: int = 1,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pieces(model)
+        runs = Runs(p)
         for batch in batches:
+            number = batch.column(names.index(copy)).to_pylist() if copy else [0] * batch.num_rows
             key, text = batch.column(names.index("doc_id")).to_pylist(), batch.column(names.index("text")).to_pylist()
             at = 0
             while at < len(text):
@@ -289,7 +415,7 @@ def encode(docs: DataFrame, ids: str = "ids", rate: float = 0.1, seed: int = 1,
                 while end < len(text) and (end == at or chars < CHARS_AT_ONCE):
                     chars += len(text[end] or "")
                     end += 1
-                got = encode_texts(list(zip(key[at:end], text[at:end], strict=True)), p, rate, seed, variants)
+                got = encode_texts(list(zip(key[at:end], text[at:end], strict=True)), p, rate, seed, number[at:end], runs)
                 offsets = np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in got]))).astype(np.int32)
                 flat = np.concatenate([x for x in got if x is not None] or [np.zeros(0, np.int32)])
                 array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in got]))

@@ -135,6 +135,39 @@ def test_dropped_merges_do_not_happen():
         pieces.LONG_CHUNK = keep
 
 
+def test_each_occurrence_has_coins_of_its_own(spark):
+    p = pieces.Pieces(pieces.default_model())
+    word = " internationalisation"
+    once = lambda rows, copies=0: [tuple(g.tolist()) for g in pieces.encode_texts(rows, p, 0.3, 1, copies)]
+    # inside a document: the pieces of each word, told apart by their leading space
+    starts = [i for i, b in enumerate(p.bytes_of) if b.startswith(b" ")]
+    ids = np.array(once([(1, word[1:] + word * 199)])[0])
+    words = np.split(ids, np.flatnonzero(np.isin(ids, starts))[1:])
+    assert len(words) == 200 and len({tuple(w.tolist()) for w in words}) > 8
+    # over documents, over copies, over null ids with texts of their own
+    assert len(set(once([(d, word[1:]) for d in range(200)]))) > 8
+    assert len(set(once([(1, word[1:])] * 200, list(range(200))))) > 8
+    assert once([(1, word[1:])] * 2)[0] == once([(1, word[1:])])[0]
+    a, b = once([(None, f"{word * 20} a"), (None, f"{word * 20} b")])
+    assert a[:20] != b[:20]
+    df = spark.createDataFrame([(1, word * 5, k) for k in range(3)], "doc_id long, text string, n int")
+    assert len({tuple(r.ids) for r in pieces.encode(df, rate=0.3, copy="n").collect()}) == 3
+
+
+def test_remembered_runs_are_those_of_an_agenda_for_each_occurrence(spark):
+    p = pieces.Pieces(pieces.default_model())
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40).collect()] + [(None, "é中\U0001f600 ▁ \x00"), (7, None), (8, "")]
+    keep, runs = (pieces.LONG_CHUNK, pieces.MOST_RUNS), pieces.Runs(p)
+    try:
+        pieces.MOST_RUNS = 1000
+        got = [g for at in range(0, len(rows), 10) for g in pieces.encode_texts(rows[at : at + 10], p, 0.2, 1, 0, runs)]
+        pieces.LONG_CHUNK = 0
+        want = pieces.encode_texts(rows, p, 0.2, 1, 0)
+    finally:
+        pieces.LONG_CHUNK, pieces.MOST_RUNS = keep
+    assert [None if g is None else g.tolist() for g in got] == [None if g is None else g.tolist() for g in want]
+
+
 # 4
 def test_quality_scores(spark):
     rows = quality_model.op4_nbsvm(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()

@@ -48,5 +48,13 @@ def test_mix_and_encoding(spark, stages):
     assert all(sp.decode(list(r.ids)) == texts[r.doc_id] for r in last)
 
 
+def test_copies_of_a_document_have_pieces_of_their_own(stages):
+    copies = {}
+    for r in stages[-1]:
+        copies.setdefault(r.doc_id, []).append(tuple(r.ids))
+    long = [c for c in copies.values() if len(c) > 1 and len(c[0]) > 200]
+    assert long and all(len(set(c)) == len(c) for c in long)
+
+
 def corpus_schema(rows):
     return "doc_id long, text string, lang string, source string, n_chars long"
