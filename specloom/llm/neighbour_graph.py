@@ -9,8 +9,9 @@ A list that is full of links is saturated and hides the others.  Two things
 make up for that: fresh buckets are searched for links between different
 components, until there are none, and then the lists of a component are
 enlarged to all its members, block against block, of which only counts leave a
-task.  An audit compares a bounded sample of nodes with all nodes; if it finds
-too few of the links, the search goes on with twice the buckets.
+task.  An audit compares bounded samples of nodes, of all and of those in small
+components, with all nodes; if too few have all their links, the search goes on
+with twice the buckets until the audit passes, and fails if it never does.
 """
 
 from __future__ import annotations
@@ -39,7 +40,12 @@ class Descent:
     rounds: int = 6
     block: int = 512
     audit_nodes: int = 256
+    #: Members of a small component; four times audit_nodes are drawn from those.
+    audit_members: int = 64
+    #: Share of the nodes with links that must have all of them, in both samples.
     audit_recall: float = 0.995
+    #: Tables of the last search before the audit is given up as failed.
+    most_tables: int = 1024
     seed: int = 1
 
 
@@ -211,9 +217,16 @@ def _block_counts(nodes: DataFrame, comps: DataFrame, p: Descent) -> DataFrame:
     return dealt.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _audit(nodes: DataFrame, counts: DataFrame, p: Descent) -> float:
-    """Share of the true links of a bounded sample of nodes that were found; 1 if they have none."""
-    rows = nodes.orderBy(F.xxhash64(F.lit(p.seed), "id")).limit(p.audit_nodes).collect()
+def _audit(nodes: DataFrame, comps: DataFrame, counts: DataFrame, p: Descent) -> float:
+    """Share of the sampled nodes with links whose links were all found, in the sample of all nodes or of those in small components, whichever has less; 1 if none has links."""
+    order = F.xxhash64(F.lit(p.seed), "id")
+    small = comps.groupBy("comp").count().filter(F.col("count") <= p.audit_members)
+    in_small = nodes.join(comps.join(small, "comp", "left_semi"), "id", "left_semi")
+    few = {r["id"] for r in nodes.select("id").orderBy(order).limit(p.audit_nodes).collect()}
+    rows = {r["id"]: r for r in in_small.orderBy(order).limit(4 * p.audit_nodes).collect()}
+    samples = [few, set(rows)]
+    rows |= {r["id"]: r for r in nodes.filter(F.col("id").isin(list(few))).collect()}
+    rows = list(rows.values())
     if not rows:
         return 1.0
     sample: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -229,13 +242,14 @@ def _audit(nodes: DataFrame, counts: DataFrame, p: Descent) -> float:
                 if g in sample:
                     part = b.filter(pa.array(grp == g))
                     ids, y = sample[g]
-                    s = y @ _matrix(part.column("vec")).T >= p.threshold
+                    s = y @ _matrix(part.column("vec")).T >= p.threshold + 1e-9  # a pair at the threshold itself may be rounded either way
                     s &= ids[:, None] != part.column("id").to_numpy()[None, :]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array((s @ part.column("weight").to_numpy()).astype(np.int64))], names=["id", "truth"])
 
     truth = nodes.mapInArrow(run, "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth"))
-    found, all_ = truth.join(counts, "id", "left").agg(F.sum(F.coalesce("links", F.lit(0))), F.sum("truth")).first()
-    return 1.0 if not all_ else found / all_
+    judged = truth.filter("truth > 0").join(counts, "id", "left").select("id", (F.coalesce("links", F.lit(0)) >= F.col("truth")).alias("whole")).collect()
+    shares = [[r["whole"] for r in judged if r["id"] in ids] for ids in samples]
+    return min((sum(x) / len(x) for x in shares if x), default=1.0)
 
 
 def linked_vectors(vectors: DataFrame, p: Descent = Descent()) -> tuple[DataFrame, float]:
@@ -245,7 +259,8 @@ def linked_vectors(vectors: DataFrame, p: Descent = Descent()) -> tuple[DataFram
     double precision, of ``threshold`` or above.  Rows that link with nothing,
     unusable ones included, have n_links 0 and are their own component; a null
     vec_id links with nothing.  Repeated rows count as vectors each.  More
-    columns are ignored, an empty table gives no rows.
+    columns are ignored, an empty table gives no rows.  A search that does not
+    pass its audit is a RuntimeError.
     """
     classes, nodes = nodes_of(vectors)
     largest = nodes.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
@@ -261,7 +276,7 @@ def linked_vectors(vectors: DataFrame, p: Descent = Descent()) -> tuple[DataFram
             break
     edges = lists.filter(link).select("u", "v")
     seed, recall = p.seed, 0.0
-    for _ in range(4):
+    while True:
         while True:  # links between components, which saturated lists may hide
             found = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("comp"))
             comps = written(nodes.select("id").join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
@@ -271,9 +286,11 @@ def linked_vectors(vectors: DataFrame, p: Descent = Descent()) -> tuple[DataFram
                 break
             edges = edges.unionByName(more.select("u", "v"))
         counts = written(_block_counts(nodes, comps, p))
-        recall = _audit(nodes, counts, p)
+        recall = _audit(nodes, comps, counts, p)
         if recall >= p.audit_recall:
             break
+        if 2 * p.tables > p.most_tables:
+            raise RuntimeError(f"the audit found all links of {recall:.4f} of the nodes only, below {p.audit_recall}, with {p.tables} tables")
         p = replace(p, tables=2 * p.tables)
 
     per_class = nodes.select("id", "weight").join(comps, "id").join(counts, "id", "left").select("id", "comp", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))

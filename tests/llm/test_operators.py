@@ -97,6 +97,27 @@ def test_one_large_group_of_near_vectors(spark):
     assert {x.vec_id: (x.n_links, x.component_id) for x in out.collect()} == brute.linked_vectors(rows)
 
 
+def test_audit_sees_the_lost_links_of_small_groups(spark):
+    r = np.random.default_rng(5)
+    big = [(i, np.ones(16) + r.standard_normal(16) * 0.01) for i in range(300)]
+    small = [(300 + i, np.repeat(r.standard_normal((1, 16)), 2, 0)[0]) for i in range(60)]
+    small += [(i + 60, v + r.standard_normal(16) * 0.01) for i, v in small]
+    nodes = written(spark.createDataFrame([(i, 1, 1, v.astype(np.float32).tolist()) for i, v in big + small], neighbour_graph._NODE))
+    p = neighbour_graph.Descent()
+    truth = brute.linked_vectors([(i, v.astype(np.float32).tolist(), 1) for i, v in big + small])
+    frame = lambda t: (spark.createDataFrame([(i, c) for i, (_, c) in t.items()], "id long, comp long"), spark.createDataFrame([(i, n) for i, (n, _) in t.items()], "id long, links long"))
+    lost = truth | {i: (0, i) for i, _ in small}
+    assert sum(n for n, _ in lost.values()) / sum(n for n, _ in truth.values()) > 0.995
+    assert neighbour_graph._audit(nodes, *frame(truth), p) == 1
+    assert neighbour_graph._audit(nodes, *frame(lost), p) < 0.5
+
+
+def test_a_failed_audit_is_an_error(spark):
+    rows = [(i, [1.0, i / 100], 1) for i in range(20)]
+    with pytest.raises(RuntimeError, match="audit"):
+        neighbour_graph.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), neighbour_graph.Descent(audit_recall=1.1, most_tables=16))
+
+
 # 3
 def test_segmentation_is_the_models_own_without_dropout(spark):
     import sentencepiece
