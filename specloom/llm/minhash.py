@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_runs, table, written
+from .common import column_name, key_runs, table, written
 from .graph import connected_components
 from .shingles import WordHashes, mixed, shingle_set
 
@@ -269,9 +269,19 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, in the same columns."""
-    kept = near_duplicates(docs, p).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each group of near copies in ``docs``, in the same columns.
+
+    It is the first by doc_id (null last), then by a hash of the text.  Rows of
+    one doc_id are judged each by its text, rows with a null doc_id like all
+    others; of rows with the same doc_id and text one counts.
+    """
+    a, b, key = column_name(docs, "row_hash"), column_name(docs, "row_hash_2"), column_name(docs, "row_key")
+    hashed = docs.withColumns({a: F.xxhash64("doc_id", "text"), b: F.xxhash64(F.lit("second"), "doc_id", "text")})
+    distinct = hashed.select(F.col("doc_id").cast("long").alias("doc_id"), a, b).distinct()
+    order = written(distinct.orderBy(F.col("doc_id").asc_nulls_last(), a, b).select(a, b, F.monotonically_increasing_id().alias(key)))
+    rows = written(hashed.join(order, [a, b]).dropDuplicates([a, b]))
+    kept = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), p).filter("kept").select(F.col("doc_id").alias(key))
+    return rows.join(kept, key, "left_semi").select([f"`{c}`" for c in docs.columns])
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

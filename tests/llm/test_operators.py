@@ -255,6 +255,19 @@ def test_pairs_around_the_threshold_and_a_large_group(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute.near_duplicates(rows)
 
 
+def test_one_row_of_each_group_stays_whatever_its_ids(spark):
+    text = lambda k, *more: " ".join([*(f"g{k}w{i}" for i in range(200)), *more])
+    rows = [
+        (1, text(1)), (1, text(1)),  # repeated
+        (2, text(2)), (2, text(3)), (3, text(3, "end")),  # one doc_id, two texts
+        (4, text(4)), (None, text(4)), (None, text(4, "end")),  # null copies of a named one
+        (None, text(5)), (None, text(5, "end")), (None, text(5)),
+        (None, text(6)),
+    ]
+    got = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text.split("w")[0]) for r in got) == Counter([(1, "g1"), (2, "g2"), (2, "g3"), (4, "g4"), (None, "g5"), (None, "g6")])
+
+
 # 7
 def test_mix(spark):
     docs = hard_documents(spark)
