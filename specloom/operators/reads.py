@@ -55,13 +55,18 @@ def subtree(node: DataFrame, head: str, max_depth: int = 100) -> DataFrame:
     )
 
 
+_TREE = ["id", "parent_id", "kind", "slug", "dimension_code", "body", "version", "status"]
+#: Levels below a capability: business functions, leaves, and one that may be below those.
+SPEC_DEPTH = 3
+
+
 def subtree_levels(node: DataFrame, head: str, depth: int) -> DataFrame:
     """The same for a tree of a known depth: one join a level, and no limit on rows.
 
     The node table is a tree of three levels below the capability at most, so
     the plan is fixed and Spark can pick each join by its side's size.
     """
-    cols = ["id", "parent_id", "kind", "slug", "dimension_code", "body", "version", "status"]
+    cols = [c for c in _TREE if c in node.columns]
     level = node.filter(F.col("id") == head).select(*cols, F.lit(0).alias("depth"))
     out = level
     for d in range(1, depth + 1):
@@ -76,8 +81,14 @@ def subtree_levels(node: DataFrame, head: str, depth: int) -> DataFrame:
 
 
 def spec(node: DataFrame, head: str, dimension: str | None = None, status: str | None = None) -> DataFrame:
-    """Nodes with a body under ``head`` (itself included) of one status; an unknown head gives none."""
-    rows = subtree(node, head).filter("body IS NOT NULL").filter(F.col("status") == (status if status is not None else "approved"))
+    """Nodes with a body under ``head`` (itself included) of one status; an unknown head gives none.
+
+    One join a level, as a recursive query has a limit on rows.  A tree that is
+    deeper than ``SPEC_DEPTH``, or a cycle, is left to the recursive query.
+    """
+    deeper = subtree_levels(node.select("id", "parent_id"), head, SPEC_DEPTH + 1).filter(F.col("depth") > SPEC_DEPTH)
+    below = subtree(node, head) if not deeper.isEmpty() else subtree_levels(node, head, SPEC_DEPTH)
+    rows = below.filter("body IS NOT NULL").filter(F.col("status") == (status if status is not None else "approved"))
     if dimension is not None:
         rows = rows.filter(F.col("dimension_code") == dimension)
     cols = ["id", "kind", "slug", "dimension_code", "body", "version", "status"]

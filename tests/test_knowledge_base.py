@@ -145,3 +145,15 @@ def test_cycle_ends_with_an_error(spark):
     with pytest.raises(Exception, match="RECURSION"):
         R.spec(node, "a").collect()
     assert R.subtree_levels(node, "a", 3).count() == 4
+
+
+def test_spec_has_no_limit_on_rows(spark):
+    node = spark.sql("SELECT 'head' id, cast(null as string) parent_id UNION ALL SELECT concat('n', id), 'head' FROM range(60)").selectExpr("id", "parent_id", "'document' kind", "id slug", "'c' dimension_code", "'t' body", "1 version", "'approved' status")
+    deep = spark.createDataFrame([("0", None), *((str(i + 1), str(i)) for i in range(6))], "id string, parent_id string").selectExpr("id", "parent_id", "'document' kind", "id slug", "'c' dimension_code", "'t' body", "1 version", "'approved' status")
+    old = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    try:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+        assert R.spec(node, "head").count() == 61
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", old)
+    assert R.spec(deep, "0").count() == 7
