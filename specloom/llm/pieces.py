@@ -23,12 +23,14 @@ agenda (a heap) each.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +43,10 @@ SPACE = "▁"
 CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 #: Below 128, as places in a chunk are kept in 7 bits.
 LONG_CHUNK = 64
-CHARS_AT_ONCE = 1_000_000
+#: Bytes of text, or of ids, that a task works on at once; one row at least.
+BYTES_AT_ONCE = 500_000
 #: Runs of the agenda that are remembered; beyond that, all are forgotten and found again.
-MOST_RUNS = 400_000
+MOST_RUNS = 150_000
 _M = (1 << 64) - 1
 _NONE = np.int64(1) << 40
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -390,66 +393,126 @@ def encode_texts(rows: list[tuple[int | None, str | None]], p: Pieces, rate: flo
     return [None if text is None else flat[total[e - n] : total[e]] for (_, text), n, e in zip(rows, sizes, ends.tolist(), strict=True)]
 
 
+def _parts(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch by the bytes of its rows."""
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES_AT_ONCE, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _encoder(names: list[str], rate: float, seed: int, copy: str | None, model: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]:
+    """For a task: slices of its batches, their piece ids by row, and the model's tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray | None], Pieces]]:
+        p = Pieces(model)
+        runs = Runs(p)
+        doc, text = names.index("doc_id"), names.index("text")
+        for batch in batches:
+            for part in _parts(batch, pc.binary_length(batch.column(text))):
+                number = part.column(names.index(copy)).to_pylist() if copy else 0
+                rows = list(zip(part.column(doc).to_pylist(), part.column(text).to_pylist(), strict=True))
+                yield part, encode_texts(rows, p, rate, seed, number, runs), p
+
+    return run
+
+
+def _id_lists(got: list[np.ndarray | None]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in got]))).astype(np.int32)
+    flat = np.concatenate([x for x in got if x is not None] or [np.zeros(0, np.int32)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in got]))
+
+
+def decode_ids(ids: np.ndarray | None, p: Pieces) -> str | None:
+    """Text of the piece ids of one text; the space put in front is taken off."""
+    return None if ids is None else b"".join(map(p.bytes_of.__getitem__, ids.tolist()))[1:].decode()
+
+
+def _free(df: DataFrame, *names: str) -> None:
+    for n in names:
+        if column_name(df, n) != n:
+            raise ValueError(f"there is a column {n} already")
+
+
 def encode(docs: DataFrame, ids: str = "ids", rate: float = 0.1, seed: int = 1, copy: str | None = None, model: str | None = None) -> DataFrame:
     """``docs`` with the piece ids of ``text`` in a new array column.
 
     ``rate`` 0 gives the model's own segmentation.  A null text has null ids, an
     empty one none; rows with the same doc_id and text get the same ids, unless
     ``copy`` names a column that numbers them; the text stands for a null
-    doc_id; other columns pass through.
+    doc_id; other columns pass through, and one that is called as ``ids`` is a
+    ValueError; an empty table gives no rows.
     """
-    model = model or default_model()
-    if column_name(docs, ids) != ids:
-        raise ValueError(f"there is a column {ids} already")
+    _free(docs, ids)
     names = docs.columns
+    encoder = _encoder(names, rate, seed, copy, model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Pieces(model)
-        runs = Runs(p)
-        for batch in batches:
-            number = batch.column(names.index(copy)).to_pylist() if copy else [0] * batch.num_rows
-            key, text = batch.column(names.index("doc_id")).to_pylist(), batch.column(names.index("text")).to_pylist()
-            at = 0
-            while at < len(text):
-                end, chars = at, 0
-                while end < len(text) and (end == at or chars < CHARS_AT_ONCE):
-                    chars += len(text[end] or "")
-                    end += 1
-                got = encode_texts(list(zip(key[at:end], text[at:end], strict=True)), p, rate, seed, number[at:end], runs)
-                offsets = np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in got]))).astype(np.int32)
-                flat = np.concatenate([x for x in got if x is not None] or [np.zeros(0, np.int32)])
-                array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in got]))
-                part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, array], names=[*names, ids])
-                at = end
+        for part, got, _ in encoder(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, _id_lists(got)], names=[*names, ids])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", text: str = "decoded", model: str | None = None) -> DataFrame:
-    """``encoded`` with the text of the piece ids in place of them; null ids give null."""
+    """``encoded`` with the text of the piece ids in place of them.
+
+    Null ids give a null text, no ids an empty one; other columns pass through,
+    and one that is called as ``text`` is a ValueError; an empty table gives no
+    rows.
+    """
     model = model or default_model()
+    _free(encoded.drop(ids), text)
     names = encoded.columns
     at = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = Pieces(model).bytes_of.__getitem__
+        p = Pieces(model)
         for batch in batches:
-            out = []
-            for x in batch.column(at):
-                out.append(None if not x.is_valid else b"".join(map(piece, x.values.to_numpy(zero_copy_only=False).tolist()))[1:].decode() if len(x) else "")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *batch.columns[at + 1 :], pa.array(out, pa.string())], names=[*names[:at], *names[at + 1 :], text])
+            for part in _parts(batch, pc.multiply(pc.list_value_length(batch.column(at)), 4)):
+                out = [decode_ids(x.values.to_numpy(zero_copy_only=False) if x.is_valid else None, p) for x in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], *part.columns[at + 1 :], pa.array(out, pa.string())], names=[*names[:at], *names[at + 1 :], text])
 
     fields = [f for f in encoded.schema.fields if f.name != ids]
     return encoded.mapInArrow(run, T.StructType([*fields, T.StructField(text, T.StringType())]))
 
 
+def encode_and_check(docs: DataFrame, ids: str = "ids", rate: float = 0.1, seed: int = 1, copy: str | None = None, model: str | None = None) -> DataFrame:
+    """``docs`` without ``text``, with ids, n_tokens, decoded_sha256 and lossless: encoded, and decoded in the same step.
+
+    A task has one process with the model's tables, and neither the ids nor the
+    decoded text are sent through another one.  ``lossless`` compares the
+    decoded text with the text.  A null text has null ids, no tokens and a null
+    digest, and is lossless; an empty one has no ids.  Repeated rows, null
+    doc_ids, clashing names and empty tables are as in ``encode``.
+    """
+    more = ["n_tokens", "decoded_sha256", "lossless"]
+    _free(docs, ids, *more)
+    names = docs.columns
+    rest = [c for c in names if c != "text"]
+    encoder = _encoder(names, rate, seed, copy, model or default_model())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, got, p in encoder(batches):
+            sha, same = [], []
+            for x, text in zip(got, part.column(names.index("text")).to_pylist(), strict=True):
+                back = decode_ids(x, p)
+                sha.append(None if back is None else hashlib.sha256(back.encode()).hexdigest())
+                same.append(back == text)
+            n = pa.array([0 if x is None else len(x) for x in got], pa.int64())
+            columns = [c for c, name in zip(part.columns, names, strict=True) if name != "text"]
+            yield pa.RecordBatch.from_arrays([*columns, _id_lists(got), n, pa.array(sha, pa.string()), pa.array(same, pa.bool_())], names=[*rest, ids, *more])
+
+    kinds = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())]
+    return docs.mapInArrow(run, T.StructType([*(f for f in docs.schema.fields if f.name != "text"), *kinds]))
+
+
 def round_trip(docs: DataFrame, rate: float = 0.1, seed: int = 1, model: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_hash (xxhash64 of the ids), decoded_sha256 and lossless per row of ``docs``."""
-    e = encode(docs.select("doc_id", "text"), rate=rate, seed=seed, model=model)
-    e = e.withColumns({"n_tokens": F.coalesce(F.size("ids"), F.lit(0)).cast("long"), "ids_hash": F.xxhash64("ids")})
-    d = decode(e, model=model)
-    return d.select("doc_id", "n_tokens", "ids_hash", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    """doc_id, n_tokens, ids_hash (xxhash64 of the ids), decoded_sha256 and lossless per row of ``docs``, by ``encode_and_check``."""
+    done = encode_and_check(docs.select("doc_id", "text"), rate=rate, seed=seed, model=model)
+    return done.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "decoded_sha256", "lossless")
 
 
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:

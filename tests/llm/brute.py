@@ -91,3 +91,35 @@ def dedup_lines(rows):
             if len(k) >= 10:
                 first[k] = min(d, first.get(k, d))
     return {d: "\n".join(x for x in (t or "").split("\n") if len(line_key(x)) < 10 or first[line_key(x)] == d) for d, t in rows}
+
+
+def _mixed(x):
+    """The 64-bit mixing step of the keyed hashes, on plain integers."""
+    x = ((x ^ (x >> 32)) * 0x9E3779B97F4A7C15) % (1 << 64)
+    return x ^ (x >> 29)
+
+
+def agenda(chunk, key, rate, p):
+    """Piece ids of a chunk: every neighbouring pair is looked at anew before each merge."""
+    symbols = [(int(p.char[ord(c)]), i, i + 1) for i, c in enumerate(chunk)]
+
+    def skipped(start, mid, end):
+        c = _mixed(start * 0x9E3779B97F4A7C15 % (1 << 64))
+        c = _mixed((c + mid * 0xC2B2AE3D27D4EB4F) % (1 << 64))
+        c = _mixed((c + end * 0x165667B19E3779F9) % (1 << 64))
+        return (_mixed(_mixed((key + c) % (1 << 64))) >> 11) < rate * 2**53
+
+    while True:
+        best = min(
+            (
+                (int(p.rank_of[m]), i)
+                for i, (a, b) in enumerate(zip(symbols, symbols[1:]))
+                if (m := p.merge.get((a[0], b[0]))) is not None and not (rate > 0 and skipped(a[1], b[1], b[2]))
+            ),
+            default=None,
+        )
+        if best is None:
+            break
+        a, b = symbols[best[1] : best[1] + 2]
+        symbols[best[1] : best[1] + 2] = [(p.merge[a[0], b[0]], a[1], b[2])]
+    return [i for s, start, _ in symbols for i in ([s] if s < 1 << 20 else [p.byte_id[x] for x in chunk[start].encode()])]

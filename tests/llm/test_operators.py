@@ -189,6 +189,29 @@ def test_remembered_runs_are_those_of_an_agenda_for_each_occurrence(spark):
     assert [None if g is None else g.tolist() for g in got] == [None if g is None else g.tolist() for g in want]
 
 
+def test_pieces_of_random_chunks_are_those_of_a_plain_agenda():
+    p, r = pieces.Pieces(pieces.default_model()), random.Random(6)
+    letters = ["e", "t", "a", "n", "i", "o", "s", "r", "h", "l", "d", "c", "er", "ing", "tion", "the", "é", "中", "▁", "0", "."]
+    chunks = [" " * r.randrange(3) + "".join(r.choice(letters) for _ in range(r.randrange(1, 60))) for _ in range(300)]
+    assert {len(c) > pieces.LONG_CHUNK for c in chunks} == {True, False}
+    keys = np.array([r.getrandbits(64) for _ in chunks], np.uint64)
+    for rate in (0.0, 0.1, 0.3, 0.9):
+        flat, n = pieces.segment(chunks, keys, rate, p)
+        got = [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+        assert got == [brute.agenda(c, int(k), rate, p) for c, k in zip(chunks, keys, strict=True)]
+
+
+def test_encoding_with_its_check(spark):
+    docs = hard_documents(spark).drop("ids")
+    both = {r.row_key: r for r in pieces.decode(pieces.encode(docs.withColumn("row_key", F.xxhash64("doc_id", "text")), ids="p"), ids="p").collect()}
+    for r in pieces.encode_and_check(docs.withColumn("row_key", F.xxhash64("doc_id", "text"))).collect():
+        assert both[r.row_key].decoded == both[r.row_key].text and r.lossless and r.n_tokens == len(r.ids or [])
+        assert (r.decoded_sha256 is None) == (r.ids is None) == (both[r.row_key].text is None) and r.size == 1
+    assert pieces.encode_and_check(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="column"):
+        pieces.encode_and_check(docs.withColumn("lossless", F.lit(1)))
+
+
 # 4
 def test_quality_scores(spark):
     rows = quality_model.op4_nbsvm(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
