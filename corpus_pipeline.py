@@ -41,10 +41,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the round trip through the decoder; copies of a document have coins of their own."""
     copy = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source"))
-    e = pieces.encode(docs.select("doc_id", "lang", "source", "text", copy.alias("_copy")), copy="_copy")
-    e = e.withColumns({"n_tokens": F.coalesce(F.size("ids"), F.lit(0)).cast("long"), "_ids": F.col("ids")})
-    d = pieces.decode(e.select("doc_id", "lang", "source", "text", "n_tokens", "_ids", "ids"))
-    return d.select("doc_id", "lang", "source", "n_tokens", F.col("_ids").alias("ids"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    done = pieces.encode_and_check(docs.select("doc_id", "lang", "source", "text", copy.alias("_copy")), copy="_copy")
+    return done.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256", "lossless")
 
 
 STAGES = [
