@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import Settings
+from .errors import BadInput, Conflict
 from .functions.vectors import Embedder, GaussianEmbedder
+from .operators import constraints as C
 from .operators import governance as G
 from .operators import merge as M
 from .operators import reads as R
 from .operators import tree
 from .sources import archive
+from .sources.staging import written
 from .sources.store import SnapshotStore
 
 
@@ -35,14 +38,45 @@ class KnowledgeBase:
         self._allow(key, "write")
         return self.ingest_files(archive.read_archives(self.spark, path))
 
-    def ingest_files(self, files: DataFrame) -> DataFrame:
-        found = archive.require_valid(archive.manifests(files))
-        state, summary = M.merge(self.store.load(), tree.build_nodes(files, found), found, tree.unreached(files), self.embedder, self.settings.chunk_words, self.settings.chunk_overlap)
-        if not M.new_archives(found, self.store.load()["ingestion"]).isEmpty():
-            rows = summary.collect()  # a row an archive, from before the snapshot changes
-            self.store.save(state)
-            return self.spark.createDataFrame(rows, summary.schema)
-        return summary
+    def ingest_files(self, files: DataFrame, set_aside: bool = False) -> DataFrame:
+        """Merge ``files`` of archives; a summary row an archive.
+
+        A bad archive is an error, or with ``set_aside`` a row of
+        ``rejected()``, and the others are merged.  Dimensions that aren't
+        whitelisted, and ids that are taken, are refused before anything is
+        stored.
+        """
+        files = written(files)
+        found = written(archive.manifests(files))
+        if set_aside:
+            bad = found.filter("error IS NOT NULL").select("archive", "error")
+            if not bad.isEmpty():
+                bad.write.mode("append").parquet(f"{self.store.root}/rejected")
+            files, found = files.join(bad, "archive", "left_anti"), found.filter("error IS NULL")
+        found = archive.require_valid(found)
+        state = self.store.load()
+        new = M.merge_parts(state, tree.build_nodes(files, found), found, tree.unreached(files), self.embedder, self.settings.chunk_words, self.settings.chunk_overlap)
+        if new["ingestion"].isEmpty():
+            return new["summary"]
+        unknown = C.missing(new["node"], "dimension_code", state["spec_dimension"], "code").first()
+        if unknown is not None:
+            raise BadInput(f"dimension {unknown['value']!r} is not whitelisted")
+        taken = new["node"].select("id").join(state["node"].select("id"), "id", "left_semi").first()
+        if taken is not None:
+            raise Conflict(f"node {taken['id']!r} exists already")
+        # only folders with a node that is now superseded are written again
+        touched = self.store.folders_of("node", new["closed"])
+        nodes = new["node"]
+        if touched:
+            nodes = M.close_versions(self.store.read("node", touched), new["closed"]).unionByName(nodes)
+        self.store.save({}, {"node": nodes, "chunk": new["chunk"], "ingestion": new["ingestion"]}, {"node": touched})
+        return new["summary"]
+
+    def rejected(self) -> DataFrame:
+        """archive and error of the archives that were set aside."""
+        fs, p = self.store._fs(f"{self.store.root}/rejected")
+        ddl = "archive string, error string"
+        return self.spark.read.schema(ddl).parquet(f"{self.store.root}/rejected") if fs.exists(p) else self.spark.createDataFrame([], ddl)
 
     def search(self, key: str, query: str, dimension: str | None = None, status: str = "approved", k: int | None = None) -> tuple[list, G.Coverage]:
         self._allow(key, "read")
@@ -71,21 +105,21 @@ class KnowledgeBase:
     def add_dimension(self, key: str, code: str, label: str, description: str | None = None) -> None:
         self._allow(key, "admin")
         s = self.store.load()
-        self.store.save(s | {"spec_dimension": G.add_code(s["spec_dimension"], code, label, description=description)})
+        self.store.save({"spec_dimension": G.add_code(s["spec_dimension"], code, label, description=description)})
 
     def delete_dimension(self, key: str, code: str) -> None:
         self._allow(key, "admin")
         s = self.store.load()
-        self.store.save(s | {"spec_dimension": G.delete_code(s["spec_dimension"], code, s["node"], "dimension_code")})
+        self.store.save({"spec_dimension": G.delete_code(s["spec_dimension"], code, s["node"], "dimension_code")})
 
     def add_link_type(self, key: str, code: str, label: str, description: str | None = None, directed: bool = True) -> None:
         self._allow(key, "admin")
         s = self.store.load()
-        self.store.save(s | {"link_type": G.add_code(s["link_type"], code, label, description=description, directed=directed)})
+        self.store.save({"link_type": G.add_code(s["link_type"], code, label, description=description, directed=directed)})
 
     def reembed(self, key: str) -> int:
         """Rebuild all chunks; their number."""
         self._allow(key, "admin")
         s = self.store.load()
-        self.store.save(s | {"chunk": M.reembed(s["node"], self.embedder, self.settings.chunk_words, self.settings.chunk_overlap)})
+        self.store.save({"chunk": M.reembed(s["node"], self.embedder, self.settings.chunk_words, self.settings.chunk_overlap)})
         return self.store.load()["chunk"].count()

@@ -65,12 +65,17 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def attribute_entries(text: Column) -> Column:
-    """(key, value) of each attribute line ``:key: value``, the last of each key, in order of those."""
-    pattern = F.lit(rf"(?dm)^:({_NAME}+):[ \t]*(.*)$")
-    keys, values = F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))
-    pairs = F.arrays_zip(keys.alias("key"), F.transform(values, strip).alias("value"))
-    later = lambda all_, p, i: F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["key"] == p["key"])
-    return _bound(pairs, lambda all_: F.filter(all_, lambda p, i: ~later(all_, p, i)))
+    """(key, value) of each attribute line ``:key: value``, the last of each key, in order of those.
+
+    Sorting by key brings the lines of a key together, so that a long text
+    costs no more than its lines' sort.
+    """
+    pattern = rf"(?dm)^:({_NAME}+):[ \t]*(.*)$"
+    part = lambda m, k: F.regexp_extract(m, pattern, k)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(part(m, 1).alias("key"), i.alias("i"), strip(part(m, 2)).alias("value")))
+    last = lambda by_key: F.filter(by_key, lambda p, i: F.coalesce(F.get(by_key, i + 1)["key"] != p["key"], F.lit(True)))
+    in_order = F.array_sort(F.transform(_bound(F.array_sort(found), last), lambda p: F.struct(p["i"].alias("i"), p["key"].alias("key"), p["value"].alias("value"))))
+    return F.transform(in_order, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
 
 
 def attributes(text: Column) -> Column:

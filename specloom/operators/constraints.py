@@ -41,6 +41,11 @@ def violations(state: dict[str, DataFrame]) -> DataFrame:
     """rule and number of violations of every rule that is broken."""
     node, chunk, link = state["node"], state["chunk"], state["spec_link"]
     rules = {
+        "node_id": duplicates(node, ["id"]),
+        "chunk_id": duplicates(chunk, ["chunk_id"]),
+        "link_id": duplicates(link, ["id"]),
+        "dimension_code": duplicates(state["spec_dimension"], ["code"]),
+        "link_type_code": duplicates(state["link_type"], ["code"]),
         "capability_is_root": capability_with_parent(node),
         "capability_slug": duplicates(node.filter("kind = 'capability'"), ["slug"]),
         "business_function_slug": duplicates(node.filter("kind = 'business_function'"), ["parent_id", "slug"]),

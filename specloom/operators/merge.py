@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..schemas import CHUNK, LEDGER, NODE
+from ..sources.staging import written
 
 KEY = ["parent_id", "slug", "dimension_code"]
+#: Rows of three short columns that are sent to all tasks; beyond that they are shuffled.
+MOST_BROADCAST = 100_000
 
 
 def node_id(parent: Column, kind: Column, slug: Column, dimension: Column, version: Column) -> Column:
@@ -37,15 +40,15 @@ def current_leaves(node: DataFrame) -> DataFrame:
     return live.withColumn("_rn", first).filter("_rn = 1").drop("_rn")
 
 
-def leaf_history(staged: DataFrame, current: DataFrame, order: list[str], keys: list[str] = KEY, body: str = "body") -> DataFrame:
-    """``staged`` with version, outcome and n_before (changes of the key before the row).
+def leaf_history(staged: DataFrame, current: DataFrame, order: list[str], keys: list[str] = KEY, body: str = "body", carry: dict[str, str] | None = None) -> DataFrame:
+    """``staged`` with version, outcome and n_before (changes of the key before the row), and columns of ``current`` by new names.
 
     ``order`` puts the rows of a key in the order in which they arrive;
     ``current`` has keys, body and version of what is stored.  A row is skipped
     if its body equals the one before it, created if there was none, else it is
     a new version.
     """
-    stored = current.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(body).alias("_body"), F.coalesce("version", F.lit(0)).alias("_version"), F.lit(True).alias("_has"))
+    stored = current.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(k).alias(v) for k, v in (carry or {}).items()], F.col(body).alias("_body"), F.coalesce("version", F.lit(0)).alias("_version"), F.lit(True).alias("_has"))
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     j = staged.join(stored, on, "left").drop(*[f"_{k}" for k in keys])
     line = W.partitionBy(*keys).orderBy(*order)
@@ -84,6 +87,7 @@ def _containers(staged: DataFrame, node: DataFrame) -> tuple[DataFrame, DataFram
     held = node.filter("kind = 'business_function'").groupBy(F.col("parent_id").alias("_parent"), F.col("slug").alias("_slug")).agg(F.min("id").alias("_id"))
     fns = fns.join(held, (F.col("parent_id") == F.col("_parent")) & (F.col("slug") == F.col("_slug")), "left").withColumns({"is_new": F.col("_id").isNull(), "id": F.coalesce("_id", "id")})
     both = caps.select("archive", "local_id", "id", "is_new", "kind", "slug", "parent_id", "attrs").unionByName(fns.select("archive", "local_id", "id", "is_new", "kind", "slug", "parent_id", "attrs"))
+    both = written(both)
     # of archives with the same new capability the first one's attributes count
     first = F.row_number().over(W.partitionBy("id").orderBy("archive"))
     rows = both.filter("is_new").withColumn("_rn", first).filter("_rn = 1").drop("_rn", "is_new")
@@ -98,53 +102,82 @@ def chunk_rows(nodes: DataFrame, embedder: V.Embedder, size: int = 200, overlap:
     return conform(c, CHUNK)
 
 
-def merge(state: dict[str, DataFrame], staged: DataFrame, manifests: DataFrame, unreached: DataFrame, embedder: V.Embedder, size: int = 200, overlap: int = 40) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(new state, summary) of merging a batch; a pure function of its inputs.
+def _light(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def close_versions(node: DataFrame, closed: DataFrame) -> DataFrame:
+    """``node`` with the rows of ``closed`` (id) superseded."""
+    j = node.join(closed.select(F.col("id").alias("_closed")), node["id"] == F.col("_closed"), "left")
+    return j.withColumn("status", F.when(F.col("_closed").isNotNull(), "superseded").otherwise(F.col("status"))).select(node.columns)
+
+
+def merge_parts(state: dict[str, DataFrame], staged: DataFrame, manifests: DataFrame, unreached: DataFrame, embedder: V.Embedder, size: int = 200, overlap: int = 40) -> dict[str, DataFrame]:
+    """What merging a batch adds: rows of ``node``, ``chunk`` and ``ingestion``, ``closed`` (ids of nodes now superseded) and ``summary``.
 
     Archives are taken in order of their name, files in order of their path.
     An archive whose capability and commit were merged before changes nothing;
     its summary is the stored one, with idempotent_hit.
+
+    The batch and its history are written once.  Stored leaves are narrowed to
+    the batch's keys before anything is sorted, and content_hash, which every
+    stored leaf has, stands for the body.
     """
     node, ledger = state["node"], state["ingestion"]
-    fresh = new_archives(manifests, ledger)
-    staged = staged.join(fresh.select("archive", "source_commit"), "archive")
-    ids, containers = _containers(staged, node)
-
-    leaves = staged.filter("dimension_code IS NOT NULL").join(ids.select("archive", F.col("local_id").alias("parent_local_id"), F.col("id").alias("parent_id")), ["archive", "parent_local_id"])
-    current = current_leaves(node)
-    history = leaf_history(leaves, current, ["archive", "source_path"])
-    changed = history.filter("outcome <> 'skipped'")
-    line = W.partitionBy(*KEY).orderBy("version")
-    changed = changed.withColumn("id", node_id(F.col("parent_id"), F.lit("leaf"), F.col("slug"), F.col("dimension_code"), F.col("version")))
-    before = current.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("id").alias("_current"))
-    changed = changed.join(before, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY], "left").drop(*[f"_{k}" for k in KEY])
-    changed = changed.withColumns(
+    fresh = written(new_archives(manifests, ledger))
+    batch = written(staged.join(fresh.select("archive", "source_commit"), "archive").withColumns({"content_hash": F.sha2("body", 256), "_row": F.monotonically_increasing_id()}))
+    ids, containers = _containers(batch, node)
+
+    leaves = batch.filter("dimension_code IS NOT NULL").select("_row", "archive", "parent_local_id", "slug", "dimension_code", "source_path", "source_commit", "content_hash", "kind")
+    leaves = leaves.join(ids.select("archive", F.col("local_id").alias("parent_local_id"), F.col("id").alias("parent_id")), ["archive", "parent_local_id"])
+    wanted = node.select("id", *KEY, "version", "status", "content_hash").join(leaves.select(KEY).distinct(), KEY, "left_semi")
+    history = leaf_history(leaves, current_leaves(wanted), ["archive", "source_path", "_row"], body="content_hash", carry={"id": "_current"})
+    line, is_new = W.partitionBy(*KEY).orderBy("archive", "source_path", "_row"), F.col("outcome") != "skipped"
+    own = F.when(is_new, node_id(F.col("parent_id"), F.lit("leaf"), F.col("slug"), F.col("dimension_code"), F.col("version")))
+    history = history.withColumn("id", own).withColumns(
         {
-            "supersedes_id": F.coalesce(F.lag("id").over(line), "_current"),
-            "status": F.when(F.lead("id").over(line).isNull(), "approved").otherwise("superseded"),
-            "content_hash": F.sha2("body", 256),
+            "supersedes_id": F.coalesce(F.last("id", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)), "_current"),
+            "status": F.when(F.col("version") == F.max("version").over(W.partitionBy(*KEY)), "approved").otherwise("superseded"),
             "created_at": F.current_timestamp(),
         }
     )
-    closed = changed.filter("_current IS NOT NULL").select(F.col("_current").alias("id"), F.lit(True).alias("_closed")).distinct()
-    kept = node.join(closed, "id", "left").withColumn("status", F.when(F.col("_closed"), "superseded").otherwise(F.col("status")))
-    nodes = conform(kept, NODE).unionByName(conform(containers.withColumn("created_at", F.current_timestamp()), NODE)).unionByName(conform(changed, NODE))
-    chunks = state["chunk"].unionByName(chunk_rows(changed.select("id", "body"), embedder, size, overlap))
+    history = written(history)
+    changed = history.filter(is_new)
+    bodies = changed.join(batch.select("_row", "body", "attrs"), "_row")
+    closed = changed.filter("_current IS NOT NULL").select(F.col("_current").alias("id")).distinct()
 
     count = lambda what: F.coalesce(F.count_if(F.col("outcome") == what), F.lit(0)).cast("int")
     per = history.groupBy("archive").agg(count("created").alias("nodes_created"), count("versioned").alias("nodes_versioned"), count("skipped").alias("nodes_skipped"), F.array_sort(F.collect_set("dimension_code")).alias("dimensions_seen"))
+    # the summary's own form has the paths of an archive as one list
     lost = unreached.groupBy("archive").agg(F.array_sort(F.collect_list("path")).alias("sources_unreached"))
     none = F.array().cast("array<string>")
     zero = F.lit(0)
-    summary = fresh.join(per, "archive", "left").join(lost, "archive", "left").select(
-        "archive", "capability_slug", "source_commit", *[F.coalesce(c, zero).alias(c) for c in ("nodes_created", "nodes_versioned", "nodes_skipped")],
-        F.coalesce("dimensions_seen", none).alias("dimensions_seen"), F.coalesce("sources_unreached", none).alias("sources_unreached"), F.lit(False).alias("idempotent_hit"),
+    summary = written(
+        fresh.join(per, "archive", "left").join(lost, "archive", "left").select(
+            "archive", "capability_slug", "source_commit", *[F.coalesce(c, zero).alias(c) for c in ("nodes_created", "nodes_versioned", "nodes_skipped")],
+            F.coalesce("dimensions_seen", none).alias("dimensions_seen"), F.coalesce("sources_unreached", none).alias("sources_unreached"), F.lit(False).alias("idempotent_hit"),
+        )
     )
-    written = summary.select("capability_slug", "source_commit", F.struct(*[c for c in summary.columns if c != "archive"]).alias("summary"), F.current_timestamp().alias("created_at"))
-    ledger2 = ledger.unionByName(conform(written, LEDGER))
-    repeats = manifests.join(fresh.select("archive"), "archive", "left_anti").join(ledger2.select("capability_slug", "source_commit", "summary"), ["capability_slug", "source_commit"])
+    entries = conform(summary.select("capability_slug", "source_commit", F.struct(*[c for c in summary.columns if c != "archive"]).alias("summary"), F.current_timestamp().alias("created_at")), LEDGER)
+    held = ledger.unionByName(entries).select("capability_slug", "source_commit", "summary")
+    repeats = manifests.join(fresh.select("archive"), "archive", "left_anti").join(held, ["capability_slug", "source_commit"])
     repeats = repeats.select("archive", F.col("summary").withField("idempotent_hit", F.lit(True)).alias("s")).select("archive", "s.*")
-    return state | {"node": nodes, "chunk": chunks, "ingestion": ledger2}, summary.unionByName(repeats)
+    return {
+        "node": conform(containers.withColumn("created_at", F.current_timestamp()), NODE).unionByName(conform(bodies, NODE)),
+        "chunk": chunk_rows(bodies.select("id", "body"), embedder, size, overlap),
+        "ingestion": entries,
+        "closed": closed,
+        "summary": summary.unionByName(repeats),
+    }
+
+
+def merge(state: dict[str, DataFrame], staged: DataFrame, manifests: DataFrame, unreached: DataFrame, embedder: V.Embedder, size: int = 200, overlap: int = 40) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(new state, summary) of merging a batch, by ``merge_parts``."""
+    new = merge_parts(state, staged, manifests, unreached, embedder, size, overlap)
+    node = close_versions(state["node"], _light(new["closed"])).unionByName(new["node"])
+    grown = {t: state[t].unionByName(new[t]) for t in ("chunk", "ingestion")}
+    return state | grown | {"node": node}, new["summary"]
 
 
 def reembed(node: DataFrame, embedder: V.Embedder, size: int = 200, overlap: int = 40) -> DataFrame:

@@ -83,12 +83,19 @@ def subtree_levels(node: DataFrame, head: str, depth: int) -> DataFrame:
 def spec(node: DataFrame, head: str, dimension: str | None = None, status: str | None = None) -> DataFrame:
     """Nodes with a body under ``head`` (itself included) of one status; an unknown head gives none.
 
-    One join a level, as a recursive query has a limit on rows.  A tree that is
-    deeper than ``SPEC_DEPTH``, or a cycle, is left to the recursive query.
+    One join a level, as a recursive query has a limit on rows; only ids go
+    down the levels, and bodies join the ids found after the filters.  A tree
+    that is deeper than ``SPEC_DEPTH``, or a cycle, is left to the recursive
+    query.
     """
-    deeper = subtree_levels(node.select("id", "parent_id"), head, SPEC_DEPTH + 1).filter(F.col("depth") > SPEC_DEPTH)
-    below = subtree(node, head) if not deeper.isEmpty() else subtree_levels(node, head, SPEC_DEPTH)
-    rows = below.filter("body IS NOT NULL").filter(F.col("status") == (status if status is not None else "approved"))
+    tree = node.select("id", "parent_id")
+    deeper = subtree_levels(tree, head, SPEC_DEPTH + 1).filter(F.col("depth") > SPEC_DEPTH)
+    wanted = F.col("body").isNotNull() & (F.col("status") == (status if status is not None else "approved"))
+    if deeper.isEmpty():
+        # a node is on one level, so that ids are not repeated
+        rows = node.filter(wanted).join(subtree_levels(tree, head, SPEC_DEPTH).select("id"), "id", "left_semi")
+    else:
+        rows = subtree(node, head).filter(wanted)
     if dimension is not None:
         rows = rows.filter(F.col("dimension_code") == dimension)
     cols = ["id", "kind", "slug", "dimension_code", "body", "version", "status"]

@@ -10,11 +10,12 @@ from ..operators import merge as M
 from ..operators import tree as T
 from ..schemas import empty_state
 from ..sources import archive as A
+from ..sources.staging import written
 from . import corpus as V
 from .corpus import with_views
 from .queries_text import archives, chunks_sql
 
-_EMBEDDER = VEC.GaussianEmbedder(64)
+_EMBEDDER = VEC.GaussianEmbedder()
 
 
 def _history(spark, d):
@@ -74,10 +75,15 @@ def dims_seen(spark, d):
     return V.node(spark, d).filter("dimension_code IS NOT NULL").groupBy("parent_id").agg(F.array_join(F.array_sort(F.collect_set("dimension_code")), ",").alias("dimensions"))
 
 
+def _capitals(c):
+    """Capitals letter by letter, as the SQL has them: that of the sharp s is one letter."""
+    return F.upper(F.replace(c, F.lit("\u00df"), F.lit("\u1e9e")))
+
+
 def _changed(spark, d):
     """The files of a second commit: those of English documents are in capitals."""
     f = V.files(spark, d)
-    return f.withColumn("body", F.when(F.col("lang") == "en", F.upper("body")).otherwise(F.col("body")))
+    return f.withColumn("body", F.when(F.col("lang") == "en", _capitals(F.col("body"))).otherwise(F.col("body")))
 
 
 def _merged(spark, d):
@@ -162,8 +168,8 @@ SELECT id AS node_id, (CASE WHEN n <= 200 THEN 1 ELSE 1 + (n - 200 + 159) // 160
 
 def ingest_archives(spark, d):
     """A whole ingest: a ZIP a document, unzipped, classified, merged."""
-    files = A.unzip(archives(spark, d))
-    found = A.require_valid(A.manifests(files))
+    files = written(A.unzip(archives(spark, d)))
+    found = A.require_valid(written(A.manifests(files)))
     _, s = M.merge(empty_state(spark), T.build_nodes(files, found), found, T.unreached(files), _EMBEDDER)
     return s.select("archive", "capability_slug", "source_commit", "nodes_created", "nodes_versioned", F.array_join("dimensions_seen", ",").alias("dimensions"), "idempotent_hit")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +28,7 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             # a repeated name keeps its first place and its last content
                             place = rows[info.filename][1] if info.filename in rows else len(rows)
                             rows[info.filename] = (archive, place, info.filename, z.read(info), None)
-            except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError) as e:
+            except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError, ValueError) as e:
                 rows = {"": (archive, 0, None, None, f"{type(e).__name__}: {e}")}
             yield pd.DataFrame(list(rows.values()), columns=["archive", "ord", "path", "bytes", "error"])
 
@@ -48,6 +49,25 @@ def read_archives(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFr
     return unzip(found.select(F.col("path").alias("archive"), "content"))
 
 
+try:
+    import yaml
+except ImportError:  # plain ``name: value`` lines can be read without it
+    yaml = None
+
+
+def _mapping(texts: pd.Series) -> pd.DataFrame:
+    """The string values of a YAML mapping; nulls for other values, other documents and malformed ones."""
+    rows = []
+    for t in texts:
+        try:
+            doc = yaml.safe_load(t) if t is not None else None
+        except yaml.YAMLError:
+            doc = None
+        doc = doc if isinstance(doc, dict) else {}
+        rows.append([v if isinstance(v := doc.get(f), str) else None for f in FIELDS])
+    return pd.DataFrame(rows, columns=list(FIELDS), dtype=object)
+
+
 def _field(body: Column, name: str) -> Column:
     """Text value of a flat ``name: value`` line; null if absent or not a string."""
     raw = F.nullif(F.regexp_extract(body, rf"(?m)^{name}:[ \t]+(\S.*)$", 1), F.lit(""))
@@ -59,7 +79,10 @@ def _field(body: Column, name: str) -> Column:
 
 def parse_manifests(texts: DataFrame) -> DataFrame:
     """The rows of ``texts`` (archive, manifest and more) with the four fields, all required strings, in place of the manifest; ``error`` where one is missing."""
-    fields = texts.select("*", *[_field(F.col("manifest"), f).alias(f) for f in FIELDS])
+    if yaml is None:
+        fields = texts.select("*", *[_field(F.col("manifest"), f).alias(f) for f in FIELDS])
+    else:
+        fields = texts.withColumn("_fields", F.pandas_udf(_mapping, ", ".join(f"{f} string" for f in FIELDS))("manifest")).select("*", "_fields.*").drop("_fields")
     missing = F.filter(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in FIELDS]), lambda x: x.isNotNull())
     return fields.withColumn("error", F.when(F.size(missing) > 0, F.concat(F.lit("manifest lacks "), F.array_join(missing, ", "))))
 

@@ -1,10 +1,12 @@
-"""Snapshots of the state: Parquet folders and a pointer to the current one."""
+"""Snapshots of the state: Parquet folders and a pointer that names those of each table."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schemas import TABLES, empty_state
 
@@ -12,9 +14,11 @@ from ..schemas import TABLES, empty_state
 class SnapshotStore:
     """A knowledge base under ``root`` on any file system Spark can write to.
 
-    ``save`` writes a whole new snapshot and then one small pointer folder that
-    names it, numbered one higher; readers take the highest complete number, so
-    they see the old or the new state and never a part.  One writer at a time.
+    ``save`` writes the folders that a change makes and then one small pointer
+    folder, numbered one higher, that names the folders of each table; those of
+    unchanged tables are named again, not written.  Readers take the highest
+    complete number, so they see the old or the new state and never a part.
+    One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -31,17 +35,45 @@ class SnapshotStore:
         done = lambda s: self._fs(f"{s.getPath().toString()}/_SUCCESS")
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if (x := done(s))[0].exists(x[1]))
 
-    def load(self, version: int | None = None) -> dict[str, DataFrame]:
-        """The current state, or that of ``version``; an empty one in a new store."""
+    def folders(self, version: int | None = None) -> dict[str, list[str]]:
+        """Names of the folders of each table in the current state, or in ``version``; none in a new store."""
         have = self.versions()
         if version is None and not have:
-            return empty_state(self.spark)
-        name = self.spark.read.text(f"{self.root}/pointer/{have[-1] if version is None else version}").first()[0]
-        return {t: self.spark.read.schema(ddl).parquet(f"{self.root}/data/{name}/{t}") for t, ddl in TABLES.items()}
+            return {}
+        return json.loads(self.spark.read.text(f"{self.root}/pointer/{have[-1] if version is None else version}").first()[0])
+
+    def read(self, table: str, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/data/{name}/{table}" for name in folders])
+
+    def load(self, version: int | None = None) -> dict[str, DataFrame]:
+        """The current state, or that of ``version``; an empty one in a new store."""
+        have = self.folders(version)
+        return {t: self.read(t, have[t]) for t in TABLES} if have else empty_state(self.spark)
 
-    def save(self, state: dict[str, DataFrame]) -> int:
+    def folders_of(self, table: str, ids: DataFrame) -> list[str]:
+        """Folders of ``table`` that hold one of ``ids`` (id); a few names, one a change."""
+        have = self.folders().get(table, [])
+        rows = self.read(table, have).select("id", F.regexp_extract("_metadata.file_path", rf"/data/([^/]+)/{table}/", 1).alias("folder")) if have else None
+        return [] if rows is None else [r["folder"] for r in rows.join(ids, "id", "left_semi").select("folder").distinct().collect()]
+
+    def save(self, replace: dict[str, DataFrame], append: dict[str, DataFrame] | None = None, drop: dict[str, list[str]] | None = None) -> int:
+        """A new version: tables of ``replace`` anew, rows of ``append`` in more folders, the folders of ``drop`` left out."""
         name, version = uuid.uuid4().hex, (self.versions() or [0])[-1] + 1
-        for t in TABLES:
-            state[t].write.parquet(f"{self.root}/data/{name}/{t}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(f"{self.root}/pointer/{version}")
+        now = self.folders()
+        if not now:  # a new store starts with all tables
+            now, replace = {}, empty_state(self.spark) | replace
+        for t, df in replace.items():
+            df.write.parquet(f"{self.root}/data/{name}/{t}")
+            now[t] = [name]
+        for t, df in (append or {}).items():
+            more = uuid.uuid4().hex
+            df.write.parquet(f"{self.root}/data/{more}/{t}")
+            now[t] = [x for x in now[t] if x not in (drop or {}).get(t, [])] + [more]
+        self.spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.text(f"{self.root}/pointer/{version}")
         return version
+
+    def compact(self, table: str) -> int:
+        """A new version in which ``table`` is one folder again."""
+        return self.save({table: self.load()[table]})

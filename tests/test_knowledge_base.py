@@ -4,6 +4,7 @@ import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from specloom.config import Settings
 from specloom.engine import KnowledgeBase
 from specloom.errors import BadInput, Conflict, Forbidden, Unauthorized
@@ -11,6 +12,7 @@ from specloom.functions.vectors import GaussianEmbedder
 from specloom.operators import constraints as C
 from specloom.operators import merge as M
 from specloom.operators import reads as R
+from specloom.sources.archive import parse_manifests
 from specloom.streaming.ingest import ingest_stream
 
 MANIFEST = "capability_slug: billing\ncategory: core\ndomain: \"money\"\nsource_commit: abc\n"
@@ -90,6 +92,51 @@ def test_bad_archives(kb, tmp_path, files, message):
     assert kb.store.versions() == []
 
 
+def test_faults_that_ingest_refuses(kb, tmp_path):
+    """Damaged data inside a ZIP, a dimension off the whitelist, an id that is taken."""
+    path = tmp_path / "bad.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("kb-manifest.yaml", MANIFEST * 50)
+    raw = bytearray(path.read_bytes())
+    raw[60:70] = b"\xff" * 10
+    path.write_bytes(raw)
+    with pytest.raises(BadInput):
+        kb.ingest("write-key", str(path))
+    kb.delete_dimension("admin-key", "business-rules")
+    with pytest.raises(BadInput, match="whitelisted"):
+        kb.ingest("write-key", zipped(tmp_path / "a.zip", BASE))
+    assert kb.stats("admin-key") == {"nodes": 0, "dimensions": 10}
+    kb.add_dimension("admin-key", "business-rules", "Business Rules")
+    kb.ingest("write-key", str(tmp_path / "a.zip"))
+    node = kb.store.load()["node"].withColumn("status", F.when(F.col("dimension_code").isNotNull(), "superseded"))
+    kb.store.save({"node": node})
+    with pytest.raises(Conflict, match="exists"):
+        kb.ingest("write-key", zipped(tmp_path / "b.zip", BASE | {"x/kb-manifest.yaml": MANIFEST.replace("abc", "def")}))
+
+
+def test_manifests_are_yaml(spark):
+    texts = ["capability_slug: 'it''s'\ncategory: \"a\\\"b\"\ndomain: x # note\nsource_commit: c\nsource_commit: d\n", MANIFEST.replace("abc", "2024-01-01"), "[1, 2]", "a: [", None, "capability_slug: >\n  folded\n  text\ncategory: c\ndomain: d\nsource_commit: e\n"]
+    got = parse_manifests(spark.createDataFrame(list(enumerate(texts)), "archive int, manifest string")).orderBy("archive").collect()
+    assert (got[0].capability_slug, got[0].category, got[0].domain, got[0].source_commit, got[0].error) == ("it's", 'a"b', "x", "d", None)
+    assert got[1].error == "manifest lacks source_commit" and all("capability_slug" in r.error for r in got[2:5]) and got[5].capability_slug == "folded text\n"
+
+
+def test_unchanged_tables_are_not_written_again(kb, tmp_path):
+    kb.ingest("write-key", zipped(tmp_path / "a.zip", BASE))
+    before = kb.store.folders()
+    kb.add_dimension("admin-key", "glossary", "Glossary")
+    after = kb.store.folders()
+    assert [t for t in after if after[t] != before[t]] == ["spec_dimension"]
+    more = {"y/kb-manifest.yaml": MANIFEST.replace("billing", "other"), "y/documents/03-constraints/c.md": "text"}
+    kb.ingest("write-key", zipped(tmp_path / "b.zip", more))
+    assert kb.store.folders()["node"][:-1] == before["node"]  # nothing was superseded
+    kb.ingest("write-key", zipped(tmp_path / "c.zip", more | {"y/kb-manifest.yaml": MANIFEST.replace("billing", "other").replace("abc", "x"), "y/documents/03-constraints/c.md": "new"}))
+    assert len(kb.store.folders()["node"]) == len(before["node"]) + 1 and set(before["node"]) < set(kb.store.folders()["node"])
+    n = kb.stats("admin-key")["nodes"]
+    kb.store.compact("node")
+    assert len(kb.store.folders()["node"]) == 1 and kb.stats("admin-key")["nodes"] == n and C.violations(kb.store.load()).count() == 0
+
+
 def test_repeated_entries_and_chain_within_an_archive(kb, tmp_path):
     where = "requirements/business-fct-a"
     files = [("kb-manifest.yaml", MANIFEST), ("v1/" + where + "/business-rules.md", "old"), ("v1/" + where + "/business-rules.md", "A"), ("v2/" + where + "/business-rules.md", "B"), ("v3/" + where + "/business-rules.md", "B")]
@@ -104,9 +151,11 @@ def test_repeated_entries_and_chain_within_an_archive(kb, tmp_path):
 def test_stream_of_archives(kb, tmp_path):
     (tmp_path / "in").mkdir()
     zipped(tmp_path / "in/a.zip", BASE)
+    (tmp_path / "in/bad.zip").write_bytes(b"PK no")
     for _ in range(2):
         ingest_stream(kb, f"file://{tmp_path}/in", f"file://{tmp_path}/cp").awaitTermination()
         assert kb.stats("admin-key")["nodes"] == 4
+    assert [r.archive.rsplit("/", 1)[1] for r in kb.rejected().collect()] == ["bad.zip"]
 
 
 @pytest.mark.parametrize("seed", range(3))
