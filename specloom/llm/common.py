@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.staging import drop_table, shared_dir, written  # noqa: F401
+
 #: White space of the text contracts: space and U+0009 to U+000D.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,38 +35,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS_RUN), lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
-
-    Only a session without that setting (a local test) gets a folder of its own.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='specloom-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/specloom-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, *, compression: str = "zstd") -> DataFrame:
-    """Write a frame to the shared folder and read it again.
-
-    Cuts the lineage at a table that outlives lost executors, so that a step
-    used more than once is computed once.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a ``written`` frame that nothing reads any more."""
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def column_name(df: DataFrame, stem: str) -> str:
     """``stem``, lengthened until the frame has no such column."""
     have = {c.lower() for c in df.columns}
@@ -74,6 +43,22 @@ def column_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -> DataFrame:
+    """``df`` with the running sums of columns, each row's own value included, in the order given.
+
+    Rows are dealt out by range; what is added up over the ranges is a row a
+    range, so that no task has all rows.
+    """
+    at, part = column_name(df, "row_at"), column_name(df, "row_part")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(at, 33))
+    upto = W.partitionBy(part).orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)
+    per = d.groupBy(part).agg(*[F.sum(c).alias(name) for c, name in totals.items()])
+    before = per.select(F.col(part).alias("of"), *[(F.sum(name).over(W.orderBy(part)) - F.col(name)).alias(f"before_{name}") for name in totals.values()])  # a row a range
+    j = d.withColumns({name: F.sum(c).over(upto) for c, name in totals.items()}).join(F.broadcast(before), F.col(part) == F.col("of")).drop("of", at, part)
+    return j.withColumns({name: F.col(name) + F.col(f"before_{name}") for name in totals.values()}).drop(*[f"before_{name}" for name in totals.values()])
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in keys])
 
