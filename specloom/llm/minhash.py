@@ -6,9 +6,9 @@
 3. Candidates of a bucket are taken in rounds, so that a bucket with thousands
    of near copies does not give all its pairs: first each node with the
    bucket's smallest node, then nodes outside the bucket's main component with
-   a few nodes of it, and last, inside tasks, every pair of a bucket whose ends
-   are still in different components.  A pair inside one component could not
-   change it.
+   a few nodes of it, and last, inside tasks, the nodes that are still outside
+   with all nodes of the bucket in other components.  A pair inside one
+   component could not change it.
 4. A candidate's signatures are compared batch by batch; it is dropped when,
    after a batch, the posterior probability of a similarity at the threshold or
    above falls below the miss probability.  Survivors are verified on their
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_name, key_runs, table, written
+from .common import column_name, drop_table, key_runs, table, written
 from .graph import connected_components
 from .shingles import WordHashes, mixed, shingle_set
 
@@ -153,31 +153,46 @@ def _survivors(pairs: DataFrame, active: DataFrame, p: MinHash) -> DataFrame:
     return _sequential(with_u.join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v"), p)
 
 
+def _bucket_blocks(now: DataFrame, active: DataFrame, p: MinHash) -> tuple[DataFrame, list[str]]:
+    """Rows of ``now`` dealt out for comparison by bucket and blocks a, b, and those keys.
+
+    Side 0 has the nodes outside their bucket's main component, side 1 all of
+    its nodes; so a bucket's work grows with its outsiders times its nodes.
+    """
+    out = F.col("comp") != F.col("main")
+    blocks = lambda n: F.ceil(n / p.block).cast("int")
+    sizes = now.groupBy("bucket").agg(blocks(F.count_if(out)).alias("outer"), blocks(F.count(F.lit(1))).alias("all"))
+    rows = now.withColumn("out", out).join(sizes, "bucket").join(active.select("node", "sig").dropDuplicates(["node", "sig"]), "node")
+    part = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    cols = ["bucket", "a", "b", "side", "out", "node", "n", "comp", "sig"]
+    left = rows.filter("out").withColumns({"a": part("outer"), "side": F.lit(0)}).withColumn("b", each("all"))
+    right = rows.withColumns({"b": part("all"), "side": F.lit(1)}).withColumn("a", each("outer"))
+    key = ["bucket", "a", "b"]
+    dealt = left.select(cols).unionByName(right.select(cols)).repartition(int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    return dealt.sortWithinPartitions(*key), key
+
+
 def _within_buckets(now: DataFrame, active: DataFrame, p: MinHash) -> DataFrame:
-    """Survivors (u, v, share) among all pairs of a bucket in different components.
+    """Survivors (u, v, share) among the pairs of a bucket in different components.
 
-    Buckets are compared block against block, so that a large one is many
-    tasks' work, and only survivors leave a task, each from the first band that
-    its ends share.
+    Of two nodes in different components one is outside the bucket's main
+    component.  Buckets are compared block against block, so that a large one
+    is many tasks' work, and only survivors leave a task, each from the first
+    band that its ends share.
     """
     least = least_matches(p)
-    blocks = now.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks"))
-    rows = now.join(blocks, "bucket").join(active.select("node", "sig").dropDuplicates(["node", "sig"]), "node")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "band", "node", "n", "comp", "sig")
-    key = ["bucket", "a", "b"]
-    dealt = rows.repartition(int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
+    dealt, key = _bucket_blocks(now, active, p)
 
     def compare(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
-        node, n, comp, mine = (t.column(k).to_numpy() for k in ("node", "n", "comp", "mine"))
+        node, n, comp, side, out = (t.column(k).to_numpy() for k in ("node", "n", "comp", "side", "out"))
         x = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, p.size)
-        a, b, band = (t.column(k)[0].as_py() for k in ("a", "b", "band"))
-        right = np.flatnonzero(mine == b)
-        for left in np.array_split(np.flatnonzero(mine == a), -(-int((mine == a).sum()) // 64)):
+        band = t.column("bucket")[0].as_py() & 63
+        outer, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for left in np.array_split(outer, -(-len(outer) // 64)) if len(outer) else []:
             i, j = np.meshgrid(left, right, indexing="ij")
-            fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]).astype(np.int64) >= p.percent * np.maximum(n[i], n[j]).astype(np.int64))
-            if a == b:
-                fit &= node[i] > node[j]
+            fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= p.percent * np.maximum(n[i], n[j]))
+            fit &= ~out[j] | (node[i] > node[j])  # two outsiders meet twice
             i, j = i[fit], j[fit]
             m = np.zeros(len(i), np.int64)
             for k, need in enumerate(least):
@@ -215,6 +230,8 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     doc_id takes the component of an equal text, else it stays alone: component
     null, kept.  An empty table gives no rows.
     """
+    if p.bands > 64:
+        raise ValueError("at most 64 bands")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     s = written(signatures(docs, p))
     named = s.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -223,16 +240,16 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
         named.join(classes.withColumnRenamed("node", "doc_id"), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "h1", "h2", "sig")
     )
 
-    slices = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * p.rows + 1, p.rows)) for i in range(p.bands)])
-    rows = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode(slices).alias("band", "bucket"))
+    # two longs a band: a bucket's last six bits are its band, all else is joined for those that share one
+    slices = F.array(*[F.xxhash64(F.substring("sig", i * p.rows + 1, p.rows)).bitwiseAND(~63).bitwiseOR(i) for i in range(p.bands)])
+    rows = nodes.select("node", F.explode(slices).alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
     members = written(rows.join(shared, "bucket"))
-    wanted = members.select("node").distinct()
-    mine = nodes.join(wanted, "node")
+    mine = nodes.join(members.select("node").distinct(), "node", "left_semi")
     d = docs.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("row_hash"))
     active = written(mine.join(d, "node").dropDuplicates(["node", "row_hash", "h1", "h2"]).select("node", "sig", "text"))
 
-    comps = written(wanted.withColumn("comp", F.col("node")))
+    comps = written(mine.select("node", F.col("node").alias("comp"), "n"))
     tried = None
     for turn in ("smallest", "some", "all"):
         now = members.join(comps, "node")
@@ -260,9 +277,10 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
         tried = done if tried is None else tried.unionByName(done)
         of = lambda k: comps.select(F.col("node").alias(k), F.col("comp").alias(f"c_{k}"))
         merged = connected_components(links.join(of("u"), "u").join(of("v"), "v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v")))
-        comps = written(comps.join(merged.select(F.col("node").alias("comp"), "component"), "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")))
+        comps = written(comps.join(merged.select(F.col("node").alias("comp"), "component"), "comp", "left").select("node", F.coalesce("component", "comp").alias("comp"), "n"))
+        drop_table(now)
 
-    named_comps = classes.join(comps, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("component"))
+    named_comps = classes.join(comps.drop("n"), "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("component"))
     rest = s.select("doc_id", "n_shingles", "h1", "h2").join(named_comps, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return rest.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
