@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import WS_CHARS, column_name, table, words_of, written
 
+#: Bytes of rejected hosts' names that are sent to all tasks; beyond that the join is salted.
+MOST_BROADCAST = 8 << 20
+SALTS = 64
+#: Columns of the results; those of the documents that are called so are left out.
+RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 #: Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -34,8 +39,11 @@ def text_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     lines with a word that equal an earlier line, ``n_repeat_words`` the words
     in five-word windows that the text has at least twice (windows are compared
     by 64-bit hash within the text).  ``base_failed``: fewer than 10 words, or
-    over 20 % of them repeated.
+    over 20 % of them repeated; so an empty or null text fails.  A column of
+    ``docs`` that is called like a result gives way to it, other columns pass
+    through.  Repeated rows are judged each, an empty table gives no rows.
     """
+    docs = docs.select([f"`{c}`" for c in docs.columns if c.lower() not in RULES or c == text])
     t, lines_of = F.coalesce(F.col(text), F.lit("")), F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
     w, h, p = (column_name(docs, x) for x in ("_words", "_hashes", "_positions"))
     lines = column_name(docs, "_lines")
@@ -81,25 +89,42 @@ def host_verdicts(rules: DataFrame, host: str = "source", max_rate: float = 0.5)
     return hosts.join(F.broadcast(prior)).select(host, "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk <= max_rate).alias("host_ok"))
 
 
+def _with_verdict(rules: DataFrame, host: str, max_rate: float) -> DataFrame:
+    """``rules`` (written) with ``kept``.
+
+    What is joined back are the rejected hosts only, so that no document moves
+    while they fit a broadcast, and a host with very many documents is spread
+    over salts beyond it.
+    """
+    bad, salt = column_name(rules, "rejected"), column_name(rules, "salt")
+    rejected = written(host_verdicts(rules, host, max_rate).filter("NOT host_ok").select(F.col(host).alias(bad)))
+    size = rejected.agg(F.sum(F.octet_length(F.col(bad).cast("string")) + 16)).first()[0] or 0
+    if size <= MOST_BROADCAST:
+        j = rules.join(F.broadcast(rejected), rules[host] == rejected[bad], "left")
+    else:
+        many = rejected.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rules.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        j = salted.join(many, (salted[host] == many[bad]) & (salted[salt] == many["of"]), "left").drop(many["of"]).drop(salt)
+    return j.withColumn("kept", ~F.col("base_failed") & F.col(bad).isNull()).drop(bad)
+
+
 def judge_documents(docs: DataFrame, host: str = "source", max_rate: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` without the text, with the rules of ``text_rules`` and ``kept``.
 
     A document is kept if it passes the base rules and its host is not
     rejected; a document without a host is judged by the base rules alone.
-    Repeated rows count as often as they occur.
+    Repeated rows count as often as they occur; null and empty texts fail the
+    base rules; columns called like a result give way to it; an empty table
+    gives no rows.
     """
-    rules = written(text_rules(docs, text))
-    verdicts = host_verdicts(rules, host, max_rate).select(F.col(host).alias("_host"), "host_ok")
-    j = rules.join(verdicts, rules[host] == verdicts["_host"], "left").drop("_host")
-    return j.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("host_ok")
+    return _with_verdict(written(text_rules(docs, text)), host, max_rate)
 
 
 def passing_documents(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judge_documents`` keeps, in the same columns."""
-    rules = column_name(docs, "_rules")
-    names = [c for c in docs.columns]
-    slim = docs.select(F.struct([F.col(f"`{c}`") for c in names]).alias(rules), F.col(host).alias("_host"), F.col("text").alias("_text"))
-    return judge_documents(slim, "_host", max_rate, "_text").filter("kept").select(f"{rules}.*")
+    """The rows of ``docs`` that ``judge_documents`` keeps, in the same columns, whatever their names."""
+    row = F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rules = text_rules(docs.select(row, F.col(host).alias("host"), F.col("text").alias("text")))
+    return _with_verdict(written(rules.select("row", "host", "base_failed")), "host", max_rate).filter("kept").select("row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
