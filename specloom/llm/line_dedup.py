@@ -109,7 +109,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", "doc_null", "doc_id", "pos"]
-    runs = line_hashes(docs, min_chars).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # written first: finding the ranges reads the narrow rows, not the texts, once more
+    runs = written(line_hashes(docs, min_chars)).repartitionByRange(n, *order).sortWithinPartitions(*order)
     marks = written(runs.mapInArrow(_stream, _MARKS))
     # a handful of rows for each partition: its first document of its first hash, its last hash
     edge = marks.filter("open")
@@ -141,13 +142,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, n_dropped: str | None = None) -> DataFrame:
     """``docs`` with only the lines to keep in ``text``; rows without a bitmap keep their text.
 
-    Other columns of ``docs`` are passed on; with ``n_dropped``, a column of
-    that name has the number of lines that went.
+    Other columns of ``docs`` are passed on, whatever their names; with
+    ``n_dropped``, a column of that name has the number of lines that went.  A
+    null text stays null, an empty one empty; a null doc_id has the bitmaps of
+    the null doc_id; repeated rows are cut alike; an empty table gives no rows.
     """
-    key, bits, count = (column_name(docs, x) for x in ("row_hash", "keep_bitmap", n_dropped or "n_dropped"))
+    key, bits, count, doc, row = (column_name(docs, x) for x in ("row_hash", "keep_bitmap", n_dropped or "n_dropped", "bitmap_doc", "bitmap_row"))
     d = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
-    b = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_row"), F.col("n_dropped").cast("long").alias(count), F.col("keep_bitmap").alias(bits))
-    joined = d.join(b, d["doc_id"].cast("long").eqNullSafe(b["_doc"]) & (d[key] == b["_row"]), "left").fillna(0, [count])
+    b = bitmaps.select(F.col("doc_id").alias(doc), F.col("row_hash").alias(row), F.col("n_dropped").cast("long").alias(count), F.col("keep_bitmap").alias(bits))
+    joined = d.join(b, d["doc_id"].cast("long").eqNullSafe(b[doc]) & (d[key] == b[row]), "left").fillna(0, [count])
     rest = [c for c in docs.columns if c != "text"] + [count] * bool(n_dropped)
     slim = joined.select("text", *(f"`{c}`" for c in rest), bits)
     done = slim.mapInArrow(_kept, T.StructType(slim.schema.fields[:-1]))
@@ -155,7 +158,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, n_dropped: str | None = N
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """``docs`` with shared lines removed, in the same columns."""
+    """``docs`` with shared lines removed, in the same columns; nulls, repeats and ties as in ``keep_bitmaps``."""
     return apply_bitmaps(docs, keep_bitmaps(docs, min_chars))
 
 
