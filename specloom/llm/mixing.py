@@ -11,7 +11,7 @@ time 1 gives the words that its source is still owed.
 
 Running totals are kept in two levels: within slices, and over at most
 ``MAX_SLICES`` slice sums of a source or of the whole mix.  No task needs a
-whole source.
+whole source, and of very many sources no task needs all.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column_name, table, words_of, written
+from .common import column_name, running_totals, table, words_of, written
 
 MAX_SLICES = 4096
 ROWS_PER_SLICE = 1000
@@ -35,18 +35,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
     to the others by weight: that is a water level, at which exactly the
     sources with the smallest cap for their weight are full.
     """
-    rank = (F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1) % len(weights)
-    s = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), rank + 1)).withColumn("cap", F.col("source_size") * max_epochs)
-    level = F.col("cap") / F.col("weight")
-    upto, everything = W.orderBy("level").rangeBetween(W.unboundedPreceding, W.currentRow), W.partitionBy()
-    s = s.withColumn("level", level).withColumns(
-        {"total": F.sum("source_size").over(everything), "full_caps": F.sum("cap").over(upto), "full_weight": F.sum("weight").over(upto), "all_weight": F.sum("weight").over(everything)}
-    )
-    # a source is full if the level reached with it and all smaller ones full is at least its own
+    last = F.col("source").isNull()
+    s = running_totals(sizes.withColumn("one", F.lit(1).cast("long")), [last, F.col("source")], {"one": "rank"}).drop("one")
+    rank = (F.col("rank") - 1) % len(weights)
+    s = s.withColumn("weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (rank + 1).cast("int"))).withColumn("cap", F.col("source_size") * max_epochs).drop("rank")
+    s = s.withColumn("level", F.col("cap") / F.col("weight"))
+    s = running_totals(s, [F.col("level"), last, F.col("source")], {"cap": "full_caps", "weight": "full_weight"})
+    # a source is full if the level reached with it and all before it full is at least its own; the order of equal levels does not matter
+    s = s.join(F.broadcast(s.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("all_weight"))))  # one row
     full = F.col("full_caps") + F.col("level") * (F.col("all_weight") - F.col("full_weight")) <= F.col("total")
-    s = s.withColumn("full", full).withColumns(
-        {"owed": F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(everything), F.lit(0)), "share": F.sum(F.when(~F.col("full"), F.col("weight"))).over(everything)}
-    )
+    s = s.withColumn("full", full)
+    rest = s.agg(F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))), F.lit(0)).alias("caps"), F.sum(F.when(~F.col("full"), F.col("weight"))).alias("share"))  # one row
+    s = s.join(F.broadcast(rest)).withColumn("owed", F.col("total") - F.col("caps"))
     target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("owed") / F.col("share"))
     return s.select("source", "source_size", "n_docs", target.alias("target"))
 
@@ -99,15 +99,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
     """``docs`` in the mix: each row as often as its taken words make it up.
 
     Texts stay whole: the pass that the budget cuts counts if at least half of
-    it was taken.  Rows with the same doc_id and text share their copies.
+    it was taken.  Rows with the same doc_id and text share their copies, and
+    the columns of one of them.  Texts without words, null ones included, are
+    not in the mix; null ids and sources are as in ``mix_plan``; columns of any
+    name pass through; an empty table gives no rows.
     """
-    key, n = column_name(docs, "row_hash"), column_name(docs, "copies")
+    key, n, doc, row = (column_name(docs, x) for x in ("row_hash", "copies", "plan_doc", "plan_row"))
     keyed = docs.withColumn(key, F.xxhash64("text"))
     plan = mix_plan(keyed.select("doc_id", "source", "text", F.col(key).alias("row_hash")), weights, max_epochs, seed, carry=("row_hash",))
     copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0)
-    wanted = plan.groupBy(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_row")).agg(F.sum(copies).cast("int").alias(n)).filter(F.col(n) > 0)
+    wanted = plan.groupBy(F.col("doc_id").alias(doc), F.col("row_hash").alias(row)).agg(F.sum(copies).cast("int").alias(n)).filter(F.col(n) > 0)
     one = keyed.dropDuplicates(["doc_id", key])
-    joined = one.join(wanted, one["doc_id"].eqNullSafe(wanted["_doc"]) & (one[key] == wanted["_row"]))
+    joined = one.join(wanted, one["doc_id"].eqNullSafe(wanted[doc]) & (one[key].eqNullSafe(wanted[row])))
     return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select([f"`{c}`" for c in docs.columns])
 
 
