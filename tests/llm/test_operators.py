@@ -14,6 +14,8 @@ from ..oracle import SF, assert_same, connect
 from . import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators use themselves.
+CLASHING = ("row_hash", "ids", "size", "slice", "bucket", "node", "words", "_words", "_doc", "_row", "_host", "n_words", "word_chars", "plan_doc", "bitmap_doc", "rejected", "salt", "row", "host", "copies", "row_key", "row_at", "tokens", "shard", "at", "x", "label")
 LONG = " ".join(f"w{i % 997}x{i}" for i in range(30_000))
 
 
@@ -31,7 +33,7 @@ def hard_documents(spark, extra=True):
         (9, "Alpha beta gamma delta epsilon zeta eta theta iota kappa\nA shared line of text", "en", "a", 1),
     ]
     df = spark.createDataFrame(rows + ([rows[0], (None, "no id at all", "en", "a", 1)] if extra else []), DOCS)
-    return written(df.withColumns({c: F.lit(1) for c in ("row_hash", "ids", "size", "slice", "bucket", "node", "words", "_words")}) if extra else df)
+    return written(df.withColumns({c: F.lit(1) for c in CLASHING}) if extra else df)
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
@@ -97,6 +99,25 @@ def test_one_large_group_of_near_vectors(spark):
     assert {x.vec_id: (x.n_links, x.component_id) for x in out.collect()} == brute.linked_vectors(rows)
 
 
+def test_links_come_from_the_lists(spark, monkeypatch):
+    """Doubles keep their digits, null and repeated ids are rows of their own, and without lists there are no links."""
+    r = np.random.default_rng(7)
+    rows = []
+    for g in range(30):
+        c = r.standard_normal(24)
+        rows += [(len(rows) + k, (c + r.standard_normal(24) * 0.1).tolist(), g % 2) for k in range(g)]
+    rows += [(None, rows[0][1], 0), (None, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(1) for c in ("id", "grp", "comp", "weight", "of")})
+    got = neighbour_graph.linked_vectors(df)[0].collect()
+    assert sorted((x.vec_id, x.n_links, x.component_id) for x in got if x.vec_id is not None) == sorted((i, *v) for i, v in brute.linked_vectors([x for x in rows if x[0] is not None]).items())
+    assert [(x.n_links, x.component_id) for x in got if x.vec_id is None] == [(0, None)] * 2
+    twice = df.filter("vec_id < 20").unionByName(df.filter("vec_id = 3"))
+    assert neighbour_graph.linked_vectors(twice)[0].count() == 21
+    monkeypatch.setattr(neighbour_graph, "_descend", lambda lists, nodes, p: lists.limit(0))
+    with pytest.raises(RuntimeError, match="audit"):
+        neighbour_graph.linked_vectors(df, neighbour_graph.Descent(most_tables=16))
+
+
 def test_audit_sees_the_lost_links_of_small_groups(spark):
     r = np.random.default_rng(5)
     big = [(i, np.ones(16) + r.standard_normal(16) * 0.01) for i in range(300)]
@@ -203,10 +224,10 @@ def test_pieces_of_random_chunks_are_those_of_a_plain_agenda():
 
 def test_encoding_with_its_check(spark):
     docs = hard_documents(spark).drop("ids")
-    both = {r.row_key: r for r in pieces.decode(pieces.encode(docs.withColumn("row_key", F.xxhash64("doc_id", "text")), ids="p"), ids="p").collect()}
-    for r in pieces.encode_and_check(docs.withColumn("row_key", F.xxhash64("doc_id", "text"))).collect():
-        assert both[r.row_key].decoded == both[r.row_key].text and r.lossless and r.n_tokens == len(r.ids or [])
-        assert (r.decoded_sha256 is None) == (r.ids is None) == (both[r.row_key].text is None) and r.size == 1
+    both = {r.both: r for r in pieces.decode(pieces.encode(docs.withColumn("both", F.xxhash64("doc_id", "text")), ids="p"), ids="p").collect()}
+    for r in pieces.encode_and_check(docs.withColumn("both", F.xxhash64("doc_id", "text"))).collect():
+        assert both[r.both].decoded == both[r.both].text and r.lossless and r.n_tokens == len(r.ids or [])
+        assert (r.decoded_sha256 is None) == (r.ids is None) == (both[r.both].text is None) and r.size == 1
     assert pieces.encode_and_check(docs.limit(0)).count() == 0
     with pytest.raises(ValueError, match="column"):
         pieces.encode_and_check(docs.withColumn("lossless", F.lit(1)))
@@ -291,6 +312,19 @@ def test_one_row_of_each_group_stays_whatever_its_ids(spark):
     assert Counter((r.doc_id, r.text.split("w")[0]) for r in got) == Counter([(1, "g1"), (2, "g2"), (2, "g3"), (4, "g4"), (None, "g5"), (None, "g6")])
 
 
+def test_outsiders_of_a_large_bucket_meet_all_its_nodes_once(spark):
+    """20,000 members of one component and 10 outsiders: outsiders times nodes, not nodes times nodes."""
+    n, p = 20_000, minhash.MinHash()
+    now = spark.range(n + 10).select(F.lit(64).cast("long").alias("bucket"), F.col("id").alias("node"), F.lit(100).cast("long").alias("n"), F.when(F.col("id") < n, 0).otherwise(F.col("id")).alias("comp"), F.lit(0).cast("long").alias("main"))
+    sig = F.concat(F.lit(bytes(p.size - 9)), F.lpad(F.col("id").cast("string"), 9, "0").cast("binary"))
+    active = spark.range(n + 10).select(F.col("id").alias("node"), sig.alias("sig"))
+    dealt, key = minhash._bucket_blocks(now, active, p)
+    blocks = dealt.groupBy(*key).agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r"))
+    assert blocks.agg(F.sum(F.col("l") * F.col("r"))).first()[0] == 10 * (n + 10)
+    found = {(r.u, r.v) for r in minhash._within_buckets(now, active, p).filter(f"v >= {n - 5}").collect()}
+    assert found == {(u, v) for u in range(n, n + 10) for v in range(n - 5, u)}
+
+
 # 7
 def test_mix(spark):
     docs = hard_documents(spark)
@@ -304,6 +338,23 @@ def test_mix(spark):
     assert mixing.mix_plan(docs.filter("text IS NULL OR text = ''")).filter("taken > 0").count() == 0
 
 
+def test_targets_of_many_sources_by_ranges(spark):
+    """The water level against adding sources one by one."""
+    r = random.Random(4)
+    sizes = [(f"s{i:03}" if i else None, r.choice([0, 1, 10, 10, 500, 90_000]), 1) for i in range(300)]
+    got = {x.source: x.target for x in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long, n_docs long")).collect()}
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight = {x[0]: [5, 2, 1][i % 3] for i, x in enumerate(order)}
+    caps, full = {s: 3 * n for s, n, _ in sizes}, set()
+    while True:
+        level = (sum(n for _, n, _ in sizes) - sum(caps[s] for s in full)) / sum(w for s, w in weight.items() if s not in full)
+        more = {s for s, w in weight.items() if s not in full and w * level >= caps[s]}
+        if not more:
+            break
+        full |= more
+    assert all(abs(got[s] - (caps[s] if s in full else weight[s] * level)) < 1e-6 for s in got) and len(got) == 300
+
+
 # 8
 def test_chat_round_trip_of_hard_turns(spark):
     texts = [r"\### Assistant: </turn> ok", None, "", "\\", "<+><+>", "a\n### user: b</turn>\n", "\\b\\h", "x" * 50_000]
@@ -334,6 +385,14 @@ def test_hosts_are_shrunk(spark):
     assert got["good"].host_ok and not got["bad"].host_ok and got["tiny"].shrunk_rate < 1
 
 
+def test_many_rejected_hosts_are_joined_by_salts(spark, monkeypatch):
+    rows = [(i, "few words" if i % 2 else " ".join(f"w{i}x{j}" for j in range(12)), "en", "hot" if i < 150 else "bad" if i % 2 else None, 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    want = {r.doc_id: r.kept for r in quality_rules.judge_documents(docs).collect()}
+    monkeypatch.setattr(quality_rules, "MOST_BROADCAST", -1)
+    assert {r.doc_id: r.kept for r in quality_rules.judge_documents(docs).collect()} == want and len(want) == 200
+
+
 # 10
 def test_token_counts(spark):
     enc = token_files.load_encoding(token_files.default_vocabulary())
