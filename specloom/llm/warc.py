@@ -33,6 +33,8 @@ MIN_REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 8192
 BLOCK_ENTRIES = 64
 CAPTURES_PER_RANGE = 500_000
+#: Ranges at most; beyond that they grow, as each is streamed.  The driver gets SAMPLED keys for them at any size.
+MOST_RANGES, SAMPLED = 4096, 200_000
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 
 
@@ -194,20 +196,20 @@ def _cut(boundaries: list[tuple], size: int):
         # a run that two tasks read is two runs
         number, shard = TaskContext.get().partitionId() << 32, None
         rows: list[tuple] = []
-        opening = True
+        opening, n = True, 0
 
         def close(last: bool) -> None:
-            nonlocal block, opening
+            nonlocal block, opening, n
             if block:
-                rows.append((at[0], at[1], opening, last, block[0]["url_key"], block[0]["ts"], block[0]["page_id"], block))
-                opening, block = last, []
+                rows.append((at[0], at[1], opening, last, block[0]["url_key"], block[0]["ts"], block[0]["page_id"], n, block))
+                opening, block, n = last, [], n + 1
 
         def flush() -> pa.RecordBatch:
             nonlocal rows
-            cols = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(8)]
+            cols = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(9)]
             rows = []
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.list_(_ENTRY)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["range_id", "run", "opening", "last", "k", "t", "p", "entries"])
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(_ENTRY)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["range_id", "run", "opening", "last", "k", "t", "p", "block", "entries"])
 
         for b in batches:
             for e in b.to_pylist():
@@ -270,19 +272,20 @@ def merge_runs(runs: DataFrame, captures_per_range: int = CAPTURES_PER_RANGE, bl
     """One index in global order: the columns of ``read_runs``, range_id, rank and position (from 0).
 
     Entries of one shard that a task reads in a row must be sorted, as those of
-    ``read_runs`` and of a table written from it are.  Boundaries come from a bounded sample of the keys (at
-    most about 50 a range); they include time and page, so one URL may span
-    ranges.
+    ``read_runs`` and of a table written from it are.  Boundaries come from a
+    sample of the keys of bounded number; they include time and page, so one
+    URL may span ranges.  Blocks of a run that start with equal keys keep their
+    order by number.
     """
     spark = runs.sparkSession
     total = runs.count()
-    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // captures_per_range))
+    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-total // captures_per_range)))
     keys = runs.select("url_key", "ts", F.col("page_id").isNotNull().alias("has"), F.coalesce("page_id", F.lit(0)).alias("page"))
-    sample = sorted(map(tuple, keys.sample(min(1.0, 50 * n_ranges / max(1, total)), seed=1).collect()))
+    sample = sorted(map(tuple, keys.sample(min(1.0, min(50 * n_ranges, SAMPLED) / max(1, total)), seed=1).collect()))
     boundaries = sorted({sample[i * len(sample) // n_ranges] for i in range(1, n_ranges)}) if sample else []
-    kind = f"range_id long, run long, opening boolean, last boolean, k string, t string, p long, entries array<struct<{_ENTRY_DDL.replace(' ', ':').replace(',:', ',')}>>"
+    kind = f"range_id long, run long, opening boolean, last boolean, k string, t string, p long, block long, entries array<struct<{_ENTRY_DDL.replace(' ', ':').replace(',:', ',')}>>"
     blocks = runs.mapInArrow(_cut(boundaries, block_entries), kind)
-    dealt = blocks.repartition(n_ranges, "range_id").sortWithinPartitions("range_id", F.desc("opening"), "k", "t", "p")
+    dealt = blocks.repartition(n_ranges, "range_id").sortWithinPartitions("range_id", F.desc("opening"), "k", "t", "p", "run", "block")
     merged = dealt.mapInArrow(_merge, f"range_id long, rank long, {_ENTRY_DDL}")
     merged = written(merged)
     starts = merged.groupBy("range_id").agg(F.count(F.lit(1)).alias("n"))
