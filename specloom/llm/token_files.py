@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, table, written
 from .flat_files import read_files, write_records
 
 END = 50256
-DOCS_PER_FILE = 8192
+#: Documents of a file; it is full at so many bytes of tokens or documents, whichever comes first.
+DOCS_PER_FILE = 1 << 16
+FILE_BYTES = 16 << 20
 BLOCK_TOKENS = 1 << 18
 #: doc_ids are written as five digits of this base, each above the vocabulary.
 DIGIT_BASE, FIRST_DIGIT, N_DIGITS = 15000, 50400, 5
@@ -64,30 +66,42 @@ def token_ids(raw: bytes) -> list[int | None]:
     return [None if v == 1 << 64 else v - (1 << 63) for v in x]
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, docs_per_file: int = DOCS_PER_FILE) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, docs_per_file: int = DOCS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Tokenize ``docs`` (doc_id, text) into flat files under ``path``, in the order of its partitions.
 
-    A null or empty text is a document of no tokens; other columns are ignored.
+    A file is two records, its documents with a separator between any two, and
+    their ids; it is over ``file_bytes`` only by its last document.  A null or
+    empty text is a document of no tokens; a null doc_id is kept; repeated rows
+    are documents each; other columns are ignored; an empty table makes no
+    records.
     """
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoding(vocabulary).encode_ordinary
+        encode, between = load_encoding(vocabulary).encode_ordinary, np.array([END], "<u2").tobytes()
         ids: list[int | None] = []
+        held: list[bytes] = []
+        size = 0
+
+        def file() -> Iterator[pa.RecordBatch]:
+            nonlocal ids, held, size
+            for record in (between.join(held), id_tokens(ids)):
+                yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["tokens"])
+            ids, held, size = [], [], 0
+
         for batch in batches:
-            out: list[bytes] = []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                out.append(np.array(encode(text), "<u2").tobytes() if text else b"")
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                text = text.as_py()
+                held.append(np.array(encode(text), "<u2").tobytes() if text else b"")
                 ids.append(i)
-                if len(ids) == docs_per_file:
-                    out.append(id_tokens(ids))
-                    ids = []
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["tokens"])
+                size += len(held[-1]) + len(between)
+                if len(ids) == docs_per_file or size >= file_bytes:
+                    yield from file()
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([id_tokens(ids)], pa.binary())], names=["tokens"])
+            yield from file()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "tokens binary")
-    write_records(rows, "tokens", np.array([END], "<u2").tobytes(), path, docs_per_file + 1)
+    write_records(rows, "tokens", np.array([END], "<u2").tobytes(), path, 2)
 
 
 _BLOCK = "shard long, block long, n_seps long, last_sep long, seps array<long>, high binary"
@@ -113,13 +127,16 @@ def scan_separators(spark: SparkSession, path: str, end: int = END, block_tokens
     """Segments (shard, ordinal, n_tokens) of the files under ``path``, and the blocks they came from.
 
     A file is read by one task, so files should be of a bounded size, as those
-    written here are.  Tokens after a file's last separator are not a document.
+    written here are.  Files are scanned once: the blocks are written, without
+    their tokens.  Two separators in a row enclose a document of no tokens;
+    tokens after a file's last separator are not a document; no files give no
+    rows.
     """
     size = 2 * block_tokens
     files = read_files(spark, path).filter("length > 0")
     blocks = files.select("shard", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size).cast("long"))).alias("block"))
     raw = blocks.select("shard", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("raw"))
-    scanned = raw.mapInArrow(_scan(block_tokens, end), _BLOCK)
+    scanned = written(raw.mapInArrow(_scan(block_tokens, end), _BLOCK))
     earlier = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     stitched = scanned.withColumns({"before": F.coalesce(F.max("last_sep").over(earlier), F.lit(-1)), "ordinal": F.coalesce(F.sum("n_seps").over(earlier), F.lit(0))})
     lengths = F.zip_with("seps", F.concat(F.array("before"), F.slice("seps", 1, F.greatest(F.lit(0), F.size("seps") - 1))), lambda s, b: s - b - 1)
