@@ -17,14 +17,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .shingles import mixed
 
-BUCKETS = 1 << 18
-#: Bound of the sample that the model is fitted on.
+BUCKET_BITS = 20
+BUCKETS = 1 << BUCKET_BITS
+#: Bounds of the sample that the model is fitted on: rows, and features of all rows together.
 SAMPLE_ROWS = 12_000
+SAMPLE_FEATURES = 16_000_000
 _SALT = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 _SHAPES = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"9")]
 _PUNCT = re.compile(rb"([^Aa9])\1+")
@@ -34,7 +37,7 @@ def _shape(word: bytes) -> bytes:
     """``Word,`` to ``Aa,``; ``12%%%`` to ``9%+``."""
     for pattern, to in _SHAPES:
         word = pattern.sub(to, word)
-    return _PUNCT.sub(rb"\1+", word)[:12]
+    return _PUNCT.sub(rb"\1+", word)
 
 
 class _Words(dict):
@@ -64,7 +67,7 @@ def features(text: str | None, seen: _Words) -> np.ndarray:
             grams.append(h)
     if len(w) > 1:
         grams.append(mixed(w[:-1] * _SALT[3] + w[1:]))
-    return np.unique(mixed(np.concatenate(grams)) >> np.uint64(46)).astype(np.int64)
+    return np.unique(mixed(np.concatenate(grams)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def log_ratios(labelled: DataFrame, alpha: float = 1.0) -> np.ndarray:
@@ -153,13 +156,15 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.a * m + self.b, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 1) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 1, sample_features: int = SAMPLE_FEATURES) -> QualityModel:
     """Fit on the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) marks 0 or 1.
 
     A document with both labels counts as 0; null ids and other labels are left
     out.  Counts cover every labelled row.  The hinge loss is fitted on at most
     ``sample_rows`` rows, those of the smallest hash of their text, half of
-    them at most from each class, repeated rows once; with no rows, or one
+    them at most from each class, repeated rows once, and of each class as many
+    of those as have ``sample_features / 2`` features, whole texts (the last
+    one may go over it); with no rows, or one
     class only, every score is that class's share (0.5 without rows).
 
     Texts are shuffled once, to meet their labels for the counts.  The sample
@@ -173,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Words()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("at"), pa.array([features(t, seen).astype("<i4").tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["label", "at", "x"])
+            x = [features(t, seen).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("at"), pa.array([len(v) // 4 for v in x], pa.int64()), pa.array(x, pa.binary())], names=["label", "at", "n", "x"])
 
     at = F.xxhash64(F.lit(seed), "text").alias("at")
     keyed = docs.select("doc_id", at).join(labels, "doc_id").distinct()
@@ -181,7 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
     chosen = picks[0].unionByName(picks[1])
     # at most sample_rows rows of three numbers
     sample = docs.withColumn("at", F.xxhash64(F.lit(seed), "text")).join(F.broadcast(chosen), ["doc_id", "at"]).dropDuplicates(["doc_id", "at"])
-    rows = sample.select("label", "at", "text").mapInArrow(take, "label int, at long, x binary").toPandas().sort_values(["at", "label"], kind="stable")
+    drawn = written(sample.select("label", "at", "text").mapInArrow(take, "label int, at long, n long, x binary"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("label").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # of at most sample_rows numbers
+    last = drawn.select("label", "at", before.alias("before")).filter(F.col("before") < sample_features // 2).groupBy("label").agg(F.max("at").alias("last"))
+    bounded = drawn.join(F.broadcast(last), "label").filter(F.col("at") <= F.col("last"))  # two rows
+    rows = bounded.select("label", "at", "x").toPandas().sort_values(["at", "label"], kind="stable")
     y = np.where(rows["label"].to_numpy() == 1, 1, -1)
     x = [np.frombuffer(v, "<i4") for v in rows["x"]]
     if len(set(y.tolist())) < 2:
@@ -197,7 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
 
 
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id and score (0 to 1) of every row of ``docs`` (doc_id, text); null texts count as empty."""
+    """doc_id and score (0 to 1) of every row of ``docs`` (doc_id, text).
+
+    Null texts count as empty, and those have the score of no features; null
+    doc_ids and repeated rows are scored each; other columns are ignored; an
+    empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # arrays of BUCKETS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
