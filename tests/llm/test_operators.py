@@ -63,6 +63,18 @@ def test_merge_of_many_runs_in_small_blocks(spark):
     assert [(r.url_key, r.ts, r.page_id) for r in got] == sorted((r.url_key, r.ts, r.page_id) for r in got) and [r.position for r in got] == list(range(3000))
 
 
+def test_many_equal_captures_in_small_blocks(spark):
+    """Blocks of a run that start with equal keys come in their order; a very long payload comes back whole."""
+    rows = [(7, "http://a.org/", None)] * 400 + [(i, "http://a.org/", "x" * 3_000_000 if i == 8 else f"{i}") for i in range(5, 9)]
+    path = shared_dir(spark)
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path, records_per_file=150)
+    runs = written(warc.read_runs(spark, path))
+    got = warc.merge_runs(runs, captures_per_range=50, block_entries=3).orderBy("position").collect()
+    key = lambda r: (r.url_key, r.ts, r.page_id)
+    assert [key(r) for r in got] == sorted(key(r) for r in got) and [r.position for r in got] == list(range(404))
+    assert len({(r.shard, r.offset) for r in got}) == 404 and [r.payload_bytes for r in got if r.page_id == 8] == [3_000_000]
+
+
 def test_loser_tree():
     r = random.Random(1)
     for k in (1, 2, 3, 7):
@@ -243,6 +255,46 @@ def test_quality_scores(spark):
     assert len(everything) == 200 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in everything)
 
 
+def test_ratios_and_dual_solution_are_those_of_plain_numpy(spark):
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 60, 12) + 20 * (i % 2)) for i in range(60)]
+    marks = [i % 2 for i in range(60)]
+    x = [quality_model.features(t, quality_model._Words()) for t in texts]
+    counts = np.ones((2, quality_model.BUCKETS))
+    for ids, c in zip(x, marks, strict=True):
+        counts[c, ids] += 1
+    want = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    ratios = quality_model.log_ratios(spark.createDataFrame(list(zip(texts, marks, strict=True)), "text string, label int"))
+    assert np.allclose(ratios, want)
+    y = np.where(np.array(marks) == 1, 1, -1)
+    w, bias = quality_model.dual_coordinate_descent(x, y, ratios, epochs=5000, tolerance=1e-9)
+    used = np.unique(np.concatenate(x))
+    rows = np.zeros((60, len(used) + 1))
+    for i, ids in enumerate(x):
+        rows[i, np.searchsorted(used, ids)], rows[i, -1] = ratios[ids], 1
+        rows[i] /= np.linalg.norm(rows[i])
+    q, a = (rows * y[:, None]) @ (rows * y[:, None]).T, np.zeros(60)
+    for _ in range(20_000):  # projected gradient on the dual; both classes have half of the rows, so each costs 1
+        a = np.clip(a - (q @ a - 1) / np.linalg.norm(q, 2), 0, 1)
+    assert np.allclose((a * y) @ rows, [*w[used], bias], atol=1e-4)
+    model = quality_model.QualityModel(ratios, w, bias, 2.0, -0.5)
+    m = rows @ [*w[used], bias]
+    assert np.allclose([model.score(t, quality_model._Words()) for t in texts], 1 / (1 + np.exp(0.5 - 2 * m)), atol=1e-5)
+
+
+def test_very_long_texts_and_a_small_sample(spark):
+    good = [" ".join(f"Good{k} sentence, number {k * i}." for k in range(40)) for i in range(30)]
+    bad = [" ".join(f"BAD### {k * i}!!!" for k in range(40)) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, label int")
+    for bound in (16_000_000, 1000):
+        model = quality_model.fit(docs, marks, sample_features=bound)
+        long = [" ".join(f"{head} {k}x{k * 7}" for k in range(150_000)) for head in ("Good sentence, number", "BAD### !!!")]
+        scores = {r.doc_id: r.score for r in quality_model.score_documents(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), model).collect()}
+        assert scores[0] > scores[1]
+    assert quality_model.score_documents(docs.limit(0), model).count() == 0
+
+
 def test_quality_scores_of_hard_rows(spark):
     docs = hard_documents(spark)
     for labels in ([], [1, 1], [0, 1, None]):
@@ -402,6 +454,15 @@ def test_token_counts(spark):
     assert token_files.count_tokens(docs.limit(0)).count() == 0
 
 
+def test_token_files_are_cut_by_bytes(spark):
+    docs, path = spark.createDataFrame([(i, f"w{i} " * 500) for i in range(40)], "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASHING}).coalesce(1), shared_dir(spark)
+    token_files.write_token_files(docs, path, file_bytes=10_000)
+    sizes = [r.length for r in token_files.read_files(spark, path).filter("length > 0").collect()]
+    assert len(sizes) > 5 and max(sizes) < 20_000
+    counted = token_files.count_tokens(docs).collect()
+    assert {r.doc_id for r in counted} == set(range(40)) and sum(r.n_tokens for r in counted) * 2 + 40 * 12 > sum(sizes) - 40 * 12
+
+
 def test_segments_over_many_blocks(spark):
     docs, path = hard_documents(spark).select("doc_id", "text"), shared_dir(spark)
     token_files.write_token_files(docs.coalesce(1), path, docs_per_file=4)

@@ -9,6 +9,7 @@ from specloom.llm import mixing, pieces
 
 from ..oracle import SF
 from . import brute
+from .test_operators import hard_documents
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +59,23 @@ def test_copies_of_a_document_have_pieces_of_their_own(stages):
 
 def corpus_schema(rows):
     return "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_hard_rows_and_an_empty_table_go_through_all_stages(spark):
+    docs = hard_documents(spark, extra=False)
+    rows = docs.unionByName(docs.limit(1)).unionByName(spark.createDataFrame([(None, "no id " * 20, None, None, 1)], docs.schema))
+    for start in (rows, docs.limit(0)):
+        now = start
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, SF)
+            if k < 4:
+                assert now.columns == docs.columns
+                now = corpus_pipeline.written(now)
+        out = now.collect()
+        assert all(r.lossless for r in out) and bool(out) == (start is rows)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = hard_documents(spark)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs, SF).columns == docs.columns
