@@ -104,13 +104,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
     not in the mix; null ids and sources are as in ``mix_plan``; columns of any
     name pass through; an empty table gives no rows.
     """
-    key, n, doc, row = (column_name(docs, x) for x in ("row_hash", "copies", "plan_doc", "plan_row"))
-    keyed = docs.withColumn(key, F.xxhash64("text"))
-    plan = mix_plan(keyed.select("doc_id", "source", "text", F.col(key).alias("row_hash")), weights, max_epochs, seed, carry=("row_hash",))
+    a, b, n = (column_name(docs, x) for x in ("row_hash", "row_hash_2", "copies"))
+    # hashes that are never null, so that the rows of a key meet and join in one shuffle
+    keyed = docs.withColumns({a: F.xxhash64("doc_id", "text"), b: F.xxhash64(F.lit("second"), "doc_id", "text")})
+    plan = mix_plan(keyed.select("doc_id", "source", "text", F.col(a).alias("hash_1"), F.col(b).alias("hash_2")), weights, max_epochs, seed, carry=("hash_1", "hash_2"))
     copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0)
-    wanted = plan.groupBy(F.col("doc_id").alias(doc), F.col("row_hash").alias(row)).agg(F.sum(copies).cast("int").alias(n)).filter(F.col(n) > 0)
-    one = keyed.dropDuplicates(["doc_id", key])
-    joined = one.join(wanted, one["doc_id"].eqNullSafe(wanted[doc]) & (one[key].eqNullSafe(wanted[row])))
+    wanted = plan.groupBy(F.col("hash_1").alias(a), F.col("hash_2").alias(b)).agg(F.sum(copies).cast("int").alias(n)).filter(F.col(n) > 0)
+    joined = keyed.dropDuplicates([a, b]).join(wanted, [a, b])
     return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select([f"`{c}`" for c in docs.columns])
 
 
