@@ -44,9 +44,9 @@ CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 #: Below 128, as places in a chunk are kept in 7 bits.
 LONG_CHUNK = 64
 #: Bytes of text, or of ids, that a task works on at once; one row at least.
-BYTES_AT_ONCE = 500_000
+BYTES_AT_ONCE = 1_000_000
 #: Runs of the agenda that are remembered; beyond that, all are forgotten and found again.
-MOST_RUNS = 150_000
+MOST_RUNS = 250_000
 _M = (1 << 64) - 1
 _NONE = np.int64(1) << 40
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
