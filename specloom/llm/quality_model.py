@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .shingles import mixed
 
-BUCKET_BITS = 20
+BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 #: Bounds of the sample that the model is fitted on: rows, and features of all rows together.
 SAMPLE_ROWS = 12_000
