@@ -283,7 +283,11 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     named_comps = classes.join(comps.drop("n"), "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("component"))
     rest = s.select("doc_id", "n_shingles", "h1", "h2").join(named_comps, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rest.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # a slim table, so that those with signatures and texts can go
+    done = written(rest.select("doc_id", "n_shingles", component.alias("component_id")))
+    for t in (s, nodes, members, active):
+        drop_table(t)
+    return done.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
