@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .shingles import mixed
 
-BUCKET_BITS = 18
+BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
+#: Buckets whose counts travel as one row.
+BLOCK = 256
 #: Bounds of the sample that the model is fitted on: rows, and features of all rows together.
 SAMPLE_ROWS = 12_000
 SAMPLE_FEATURES = 16_000_000
@@ -73,22 +75,35 @@ def features(text: str | None, seen: _Words) -> np.ndarray:
 def log_ratios(labelled: DataFrame, alpha: float = 1.0) -> np.ndarray:
     """Log-count ratio of each bucket, from all rows of ``labelled`` (text, label 0 or 1).
 
-    Tasks count buckets in arrays of fixed size, which are summed; what reaches
-    the driver is one such array a class.
+    Tasks count buckets in arrays of fixed size, which travel in blocks and are
+    summed block by block as they arrive; what reaches the driver is one such
+    array a class.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = _Words(), np.zeros((2, BUCKETS), np.int64)
+        seen, total = _Words(), np.zeros((2, BUCKETS), "<u4")
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
                 total[label, features(text, seen)] += 1
-        label, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(bucket, pa.int64()), pa.array(total[label, bucket], pa.int64())], names=["label", "bucket", "n"])
+        blocks = total.reshape(2, -1, BLOCK).swapaxes(0, 1)
+        used = np.flatnonzero(blocks.any((1, 2)))
+        # low bytes first, then the high ones, which are mostly zero and compress away
+        n = [blocks[i].reshape(-1, 1).view(np.uint8).T.tobytes() for i in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n, pa.binary())], names=["block", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # BUCKETS / BLOCK keys at most
+        for b in batches:
+            for block, n in zip(b.column("block").to_pylist(), b.column("n").to_pylist(), strict=True):
+                planes = np.frombuffer(n, np.uint8).reshape(4, -1)
+                sums[block] = sums.get(block, 0) + planes.T.copy().view("<u4").ravel().astype("<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "n"])
 
-    counts = labelled.select("text", "label").mapInArrow(count, "label int, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    counts = labelled.select("text", "label").mapInArrow(count, "block long, n binary").repartition("block").mapInArrow(add, "block long, n binary")
     n = np.zeros((2, BUCKETS))
     rows = counts.toPandas()
-    n[rows["label"], rows["bucket"]] = rows["n"]
+    for block, v in zip(rows["block"], rows["n"], strict=True):
+        n[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(v, "<i8").reshape(2, -1)
     p = n + alpha
     return np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum())
 
