@@ -34,7 +34,7 @@ FOLDS, HELD_FOLD = 7, 2
 DELETED_FOLD = 3
 KEPT, DELETED, HELD = 0, 1, 2
 #: Bytes of text of a block, and bytes of text a range of hashes is to hold the n-grams of.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 RANGE_BYTES = 32 << 20
 #: Rounds of expectation-maximisation at most, and the gain in log-likelihood a token that ends them.
 ROUNDS, LEAST_GAIN = 20, 1e-5

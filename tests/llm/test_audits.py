@@ -145,7 +145,7 @@ def test_scores_equal_brute_force(spark, order, monkeypatch):
 def test_blocks_by_size_and_fold():
     import pyarrow as pa
 
-    texts = ["a" * (6 << 20)] * 5 + [""]
+    texts = ["a" * (4 << 20)] * 5 + [""]
     b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts), pa.array([0, 0, 0, 2, 0, 1], pa.int32())], names=["doc_id", "text", "fold"])
     blocks = [(x.column("fold")[0].as_py(), pa.ipc.open_stream(x.column("payload")[0].as_py()).read_all()) for x in interpolated_lm._pack(iter([b]))]
     assert sorted((f, t.column("doc_id").to_pylist()) for f, t in blocks) == [(0, [0, 1]), (0, [2, 4]), (1, [5]), (2, [3])]
