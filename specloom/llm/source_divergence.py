@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -34,7 +35,7 @@ PRIOR = 5
 TOP_TERMS = 50
 #: Bytes of text that a task tokenizes at once, and entries of a block.
 PIECE_BYTES = 16 << 20
-BLOCK_ENTRIES = 1_000_000
+BLOCK_ENTRIES = 50_000
 
 #: What each byte becomes: 0 for a separator, else the byte in lower case.
 LOOKUP = np.arange(256, dtype=np.uint8)
@@ -62,19 +63,20 @@ def group_slices(buffer: bytes, starts: np.ndarray, ends: np.ndarray, digest: Ca
     """Number of each slice's term, and the terms, exact whatever the digests."""
     if not len(starts):
         return np.zeros(0, np.int64), []
-    hashes = np.fromiter((digest(buffer[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
-    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    hashes = np.fromiter(map(digest, map(buffer.__getitem__, map(slice, starts.tolist(), ends.tolist()))), np.uint64, len(starts))
+    number, distinct = pd.factorize(hashes)
+    first = np.empty(len(distinct), np.int64)
+    first[number[::-1]] = np.arange(len(starts))[::-1]
     terms = [buffer[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    data, sizes = np.frombuffer(buffer, np.uint8), ends - starts
-    odd = sizes != sizes[first[number]]
-    step = 1 << 19
-    for a in range(0, len(starts), step):  # in steps, as each byte has an index
-        at = np.flatnonzero(~odd[a : a + step]) + a
+    data, sizes, like = np.frombuffer(buffer, np.uint8), ends - starts, first[number]
+    odd = sizes != sizes[like]
+    check = np.flatnonzero(~odd & (like != np.arange(len(starts))))
+    for at in np.array_split(check, len(check) // (1 << 19) + 1):  # in steps, as each byte has an index
         if len(at):
             n = sizes[at]
             begins = np.cumsum(n) - n
-            inner = np.arange(n.sum()) - np.repeat(begins, n)
-            same = data[np.repeat(starts[at], n) + inner] == data[np.repeat(starts[first[number[at]]], n) + inner]
+            inner = np.arange(n.sum())
+            same = data[np.repeat(starts[at] - begins, n) + inner] == data[np.repeat(starts[like[at]] - begins, n) + inner]
             odd[at] = ~np.logical_and.reduceat(same, begins)
     more: dict[bytes, int] = {}
     for i in np.flatnonzero(odd).tolist():
@@ -93,9 +95,9 @@ def _piece(texts: list[pa.StringArray], langs: list[str], sources: list[str]) ->
     groups: dict[tuple[str, str], int] = {}
     of = np.array([groups.setdefault(g, len(groups)) for g in zip(langs, sources, strict=True)], np.int64)
     width = max(1, len(terms))
-    keys, n = np.unique(of[text] * width + number, return_counts=True)
-    once = np.unique(text * width + number)
-    n_docs = np.unique(of[once // width] * width + once % width, return_counts=True)[1]
+    code, keys = pd.factorize(of[text] * width + number)
+    n = np.bincount(code, minlength=len(keys))
+    n_docs = np.bincount(code[~pd.Series(text * width + number).duplicated().to_numpy()], minlength=len(keys))
     names = list(groups)
     at = np.concatenate([keys // width, np.arange(len(groups))]).tolist()
     words = [terms[i].decode("utf-8", "surrogatepass") for i in (keys % width).tolist()] + [None] * len(groups)
