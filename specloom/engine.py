@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .config import Settings
 from .errors import BadInput, Conflict
@@ -12,6 +13,7 @@ from .operators import governance as G
 from .operators import merge as M
 from .operators import reads as R
 from .operators import tree
+from .operators.policy import RowPolicy
 from .sources import archive
 from .sources.staging import written
 from .sources.store import SnapshotStore
@@ -20,16 +22,23 @@ from .sources.store import SnapshotStore
 class KnowledgeBase:
     """Each call takes the caller's API key first and checks its role.
 
-    Reads return frames over the current snapshot; writes make a new one.
+    Reads return frames over the current snapshot, of the rows that ``policy``
+    lets the caller's role see; writes make a new one.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, settings: Settings | None = None):
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, settings: Settings | None = None, policy: RowPolicy | None = None):
+        self.policy = policy or RowPolicy()
         self.spark, self.settings, self.store = spark, settings or Settings(), SnapshotStore(spark, root)
         self.embedder = embedder or GaussianEmbedder(self.settings.embedding_dim)
 
     def _allow(self, key: str, role: str) -> None:
         G.require_role(key, role, self.settings)
 
+    def _seen(self, key: str, *tables: str) -> tuple[dict[str, DataFrame], list[str]]:
+        """Tables of the current state as the caller may see them, and the scopes that are withheld."""
+        role, state = G.role_of(key, self.settings), self.store.load()
+        return self.policy.apply({t: state[t] for t in tables}, role), self.policy.denied(role)
+
     def health(self) -> dict:
         return {"status": "ok" if self.spark.range(1).count() == 1 else "down"}
 
@@ -64,12 +73,10 @@ class KnowledgeBase:
         taken = new["node"].select("id").join(state["node"].select("id"), "id", "left_semi").first()
         if taken is not None:
             raise Conflict(f"node {taken['id']!r} exists already")
-        # only folders with a node that is now superseded are written again
-        touched = self.store.folders_of("node", new["closed"])
-        nodes = new["node"]
-        if touched:
-            nodes = M.close_versions(self.store.read("node", touched), new["closed"]).unionByName(nodes)
-        self.store.save({}, {"node": nodes, "chunk": new["chunk"], "ingestion": new["ingestion"]}, {"node": touched})
+        # a node that is now superseded is a deleted row and a new one; nothing is written again
+        old = written(self.store.find("node", "id", new["closed"]))
+        closed = old.drop("_file", "_index").withColumn("status", F.lit("superseded"))
+        self.store.save({}, {"node": new["node"].unionByName(closed), "chunk": new["chunk"], "ingestion": new["ingestion"]}, {} if old.isEmpty() else {"node": old})
         return new["summary"]
 
     def rejected(self) -> DataFrame:
@@ -80,22 +87,42 @@ class KnowledgeBase:
 
     def search(self, key: str, query: str, dimension: str | None = None, status: str = "approved", k: int | None = None) -> tuple[list, G.Coverage]:
         self._allow(key, "read")
-        k, s = self.settings.top_k if k is None else k, self.store.load()
+        k = self.settings.top_k if k is None else k
+        s, denied = self._seen(key, "node", "chunk")
         rows = R.search(s["node"], s["chunk"], self.embedder.embed([query])[0], dimension, status, k).collect()
-        return rows, G.Coverage(partial=len(rows) >= k)
+        return rows, G.Coverage(partial=len(rows) >= k, denied_scopes=denied)
 
     def spec(self, key: str, head: str, dimension: str | None = None, status: str | None = "approved") -> tuple[DataFrame, G.Coverage]:
         self._allow(key, "read")
-        return R.spec(self.store.load()["node"], head, dimension, status), G.Coverage()
+        s, denied = self._seen(key, "node")
+        return R.spec(s["node"], head, dimension, status), G.Coverage(denied_scopes=denied)
 
     def links(self, key: str, src: str, rel: str | None = None) -> DataFrame:
         self._allow(key, "read")
-        s = self.store.load()
+        s, _ = self._seen(key, "node", "spec_link")
         return R.links(s["spec_link"], s["node"], src, rel)
 
+    def delete_nodes(self, key: str, ids: DataFrame) -> int:
+        """Delete the nodes of ``ids`` (id) and their chunks; how many nodes there were.
+
+        Nodes that a node which stays has as its parent or as the one it
+        supersedes, and nodes that a link names, can't be deleted.  Unknown ids
+        are passed over.  No folder of rows is written again.
+        """
+        self._allow(key, "admin")
+        ids, s = written(ids.select("id").filter("id IS NOT NULL").distinct()), self.store.load()
+        used = M.blocking(s, ids).first()
+        if used is not None:
+            raise Conflict(f"node {used['id']!r} is in use ({used['rule']})")
+        nodes = written(self.store.find("node", "id", ids))
+        n = nodes.count()
+        if n:
+            self.store.save({}, delete={"node": nodes, "chunk": self.store.find("chunk", "node_id", ids)})
+        return n
+
     def stats(self, key: str) -> dict:
         self._allow(key, "admin")
-        s = self.store.load()
+        s, _ = self._seen(key, "node", "spec_dimension")
         return G.stats(s["node"], s["spec_dimension"]).first().asDict()
 
     def dimensions(self, key: str) -> DataFrame:

@@ -113,6 +113,17 @@ def close_versions(node: DataFrame, closed: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(F.col("_closed").isNotNull(), "superseded").otherwise(F.col("status"))).select(node.columns)
 
 
+def blocking(state: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
+    """id, rule: those of ``ids`` (id) that rows which stay refer to, so that deleting them would break a reference.
+
+    Chunks don't count: they go with their node.
+    """
+    staying = state["node"].join(ids, "id", "left_anti")
+    uses = [("parent", staying, "parent_id"), ("supersedes", staying, "supersedes_id"), ("link_src", state["spec_link"], "src_id"), ("link_dst", state["spec_link"], "dst_id")]
+    found = [t.select(F.col(c).alias("id")).join(ids, "id", "left_semi").distinct().withColumn("rule", F.lit(rule)) for rule, t, c in uses]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 def merge_parts(state: dict[str, DataFrame], staged: DataFrame, manifests: DataFrame, unreached: DataFrame, embedder: V.Embedder, size: int = 200, overlap: int = 40) -> dict[str, DataFrame]:
     """What merging a batch adds: rows of ``node``, ``chunk`` and ``ingestion``, ``closed`` (ids of nodes now superseded) and ``summary``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.staging import written
 
 NODE_COLUMNS = ["id", "kind", "slug", "dimension_code", "status", "version", "body"]
 
@@ -117,3 +118,29 @@ def links(spec_link: DataFrame, node: DataFrame, src: str | None = None, rel: st
     target = F.coalesce("_slug", *[c for c in ("dst_urn", "dst_ref") if c in rows.columns])
     out = found.select("src_id", "rel", target.alias("target"))
     return (out.drop("src_id") if src is not None else out).orderBy("rel", F.col("target").asc_nulls_last())
+
+
+def reach(spec_link: DataFrame, start: DataFrame | None = None, hops: int = 2, rel: str | None = None) -> DataFrame:
+    """src_id, dst_id, hops: every other node that a node of ``start`` (id) reaches over at most ``hops`` links, and the fewest links it takes.
+
+    Without ``start``, from every node.  Links out of the knowledge base, and
+    unresolved ones, lead nowhere.  Each hop joins the nodes found by the last
+    one with the links and leaves out what was found before, so a cycle ends;
+    the search is over when a hop finds nothing.
+    """
+    rows = spec_link.filter("dst_id IS NOT NULL AND src_id IS NOT NULL")
+    if rel is not None:
+        rows = rows.filter(F.col("rel") == rel)
+    edge = written(rows.select("src_id", "dst_id").distinct())
+    own = edge.select("src_id").distinct() if start is None else start.select(F.col("id").alias("src_id")).distinct()
+    front = own.select("src_id", F.col("src_id").alias("dst_id"))
+    found = None
+    for k in range(1, hops + 1):
+        step = edge.select(F.col("src_id").alias("dst_id"), F.col("dst_id").alias("_next"))
+        new = front.join(step, "dst_id").select("src_id", F.col("_next").alias("dst_id")).filter("src_id <> dst_id").distinct()
+        front = written(new if found is None else new.join(found, ["src_id", "dst_id"], "left_anti"))
+        if front.isEmpty():
+            break
+        ranked = front.withColumn("hops", F.lit(k))
+        found = ranked if found is None else found.unionByName(ranked)
+    return edge.limit(0).withColumn("hops", F.lit(0)) if found is None else found

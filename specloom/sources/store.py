@@ -19,6 +19,11 @@ class SnapshotStore:
     unchanged tables are named again, not written.  Readers take the highest
     complete number, so they see the old or the new state and never a part.
     One writer at a time.
+
+    Rows of a stored folder are deleted by naming them: a folder of deletions
+    holds the file and row index of each, and a read leaves those rows out.  So
+    neither a delete nor a new status writes a folder of rows again, and older
+    versions stay readable.  ``compact`` writes a table without them.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -35,45 +40,72 @@ class SnapshotStore:
         done = lambda s: self._fs(f"{s.getPath().toString()}/_SUCCESS")
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if (x := done(s))[0].exists(x[1]))
 
-    def folders(self, version: int | None = None) -> dict[str, list[str]]:
-        """Names of the folders of each table in the current state, or in ``version``; none in a new store."""
+    def _pointer(self, version: int | None = None) -> dict:
         have = self.versions()
         if version is None and not have:
             return {}
         return json.loads(self.spark.read.text(f"{self.root}/pointer/{have[-1] if version is None else version}").first()[0])
 
-    def read(self, table: str, folders: list[str]) -> DataFrame:
+    def folders(self, version: int | None = None) -> dict[str, list[str]]:
+        """Names of the folders of each table in the current state, or in ``version``; none in a new store."""
+        return {t: names for t, names in self._pointer(version).items() if t in TABLES}
+
+    def deletions(self, version: int | None = None) -> dict[str, list[str]]:
+        """Names of the folders that name deleted rows, by table."""
+        return self._pointer(version).get("deleted", {})
+
+    def _rows(self, table: str, folders: list[str], deleted: list[str]) -> DataFrame:
+        """Rows with _file and _index, without deleted ones."""
+        rows = self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/data/{name}/{table}" for name in folders])
+        placed = rows.select("*", F.regexp_extract("_metadata.file_path", "/data/([^/]+/[^/]+/[^/]+)$", 1).alias("_file"), F.col("_metadata.row_index").alias("_index"))
+        if not deleted:
+            return placed
+        gone = self.spark.read.schema("_file string, _index long").parquet(*[f"{self.root}/data/{name}/{table}" for name in deleted])
+        return placed.join(gone, ["_file", "_index"], "left_anti")
+
+    def read(self, table: str, folders: list[str], deleted: list[str] | None = None) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/data/{name}/{table}" for name in folders])
+        if not deleted:
+            return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/data/{name}/{table}" for name in folders])
+        return self._rows(table, folders, deleted).drop("_file", "_index")
 
     def load(self, version: int | None = None) -> dict[str, DataFrame]:
         """The current state, or that of ``version``; an empty one in a new store."""
-        have = self.folders(version)
-        return {t: self.read(t, have[t]) for t in TABLES} if have else empty_state(self.spark)
+        have, deleted = self.folders(version), self.deletions(version)
+        return {t: self.read(t, have[t], deleted.get(t)) for t in TABLES} if have else empty_state(self.spark)
 
-    def folders_of(self, table: str, ids: DataFrame) -> list[str]:
-        """Folders of ``table`` that hold one of ``ids`` (id); a few names, one a change."""
+    def find(self, table: str, column: str, values: DataFrame) -> DataFrame:
+        """Current rows of ``table`` whose ``column`` is one of ``values`` (its one column), with _file and _index, for ``save``'s ``delete``."""
         have = self.folders().get(table, [])
-        rows = self.read(table, have).select("id", F.regexp_extract("_metadata.file_path", rf"/data/([^/]+)/{table}/", 1).alias("folder")) if have else None
-        return [] if rows is None else [r["folder"] for r in rows.join(ids, "id", "left_semi").select("folder").distinct().collect()]
-
-    def save(self, replace: dict[str, DataFrame], append: dict[str, DataFrame] | None = None, drop: dict[str, list[str]] | None = None) -> int:
-        """A new version: tables of ``replace`` anew, rows of ``append`` in more folders, the folders of ``drop`` left out."""
-        name, version = uuid.uuid4().hex, (self.versions() or [0])[-1] + 1
-        now = self.folders()
+        if not have:
+            return self.spark.createDataFrame([], f"{TABLES[table]}, _file string, _index long")
+        wanted = values.select(F.col(values.columns[0]).alias(column))
+        rows = self._rows(table, have, self.deletions().get(table, []))
+        return rows.join(wanted, column, "left_semi")
+
+    def save(self, replace: dict[str, DataFrame], append: dict[str, DataFrame] | None = None, delete: dict[str, DataFrame] | None = None) -> int:
+        """A new version: tables of ``replace`` anew, rows of ``append`` in more folders, the rows of ``delete`` (_file, _index) gone."""
+        version, now = (self.versions() or [0])[-1] + 1, self.folders()
+        deleted = self.deletions()
         if not now:  # a new store starts with all tables
             now, replace = {}, empty_state(self.spark) | replace
-        for t, df in replace.items():
+
+        def put(df: DataFrame, t: str) -> str:
+            name = uuid.uuid4().hex
             df.write.parquet(f"{self.root}/data/{name}/{t}")
-            now[t] = [name]
+            return name
+
+        for t, df in replace.items():
+            now[t], deleted[t] = [put(df, t)], []
         for t, df in (append or {}).items():
-            more = uuid.uuid4().hex
-            df.write.parquet(f"{self.root}/data/{more}/{t}")
-            now[t] = [x for x in now[t] if x not in (drop or {}).get(t, [])] + [more]
-        self.spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.text(f"{self.root}/pointer/{version}")
+            now[t] = [*now[t], put(df, t)]
+        for t, df in (delete or {}).items():
+            deleted[t] = [*deleted.get(t, []), put(df.select("_file", "_index"), t)]
+        pointer = now | {"deleted": {t: names for t, names in deleted.items() if names}}
+        self.spark.createDataFrame([(json.dumps(pointer),)], "value string").coalesce(1).write.text(f"{self.root}/pointer/{version}")
         return version
 
     def compact(self, table: str) -> int:
-        """A new version in which ``table`` is one folder again."""
+        """A new version in which ``table`` is one folder again, without deleted rows."""
         return self.save({table: self.load()[table]})
