@@ -1,17 +1,18 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is a flow whose documents come in a keyed-hash order, up to
-``max_epochs`` times.  A pass over a document starts at the words its source has
-queued before it and finishes after its own words; divided by the source's
-target these are virtual times, at which all sources reach their target at 1.
-Passes are dealt out by virtual finish time (served words are spread evenly
-over it, so equal slices of virtual time hold equally many words), sorted, and
-cut where the running total reaches the budget.  A pass still in service at
-time 1 gives the words that its source is still owed.
-
-Running totals are kept in two levels: within slices, and over at most
-``MAX_SLICES`` slice sums of a source or of the whole mix.  No task needs a
-whole source, and of very many sources no task needs all.
+``max_epochs`` times, in packets of at most ``quantum`` words, so that one very
+long document can't hold up its source.  A packet's virtual finish time is the
+words of its source up to its end, all earlier passes included, over the
+source's target.  All packets are dealt out by ranges of that time and sorted,
+and the mix is what comes before the running total reaches the budget, the
+words of all documents; of the packet at the cut the words that are left.
+Nothing else ends a source: that it comes near its target follows from the
+order.
+
+Running totals are kept in two levels, within ranges and over a row a range, for
+the words queued in each source and for the mix alike.  No task needs a whole
+source, and of very many sources no task needs all.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import column_name, running_totals, table, words_of, written
 
-MAX_SLICES = 4096
-ROWS_PER_SLICE = 1000
+#: Words of a packet at most.
+QUANTUM = 256
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
@@ -56,43 +57,57 @@ def _order_hash(seed: str, doc: str) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc).cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, taken, and ``carry``.
+def queued_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """row, doc_id, source, size, source_size, target, queued, order hash and ``carry``: ``queued`` are the words before the document in its source."""
+    rows = docs.select("doc_id", "source", *carry, F.size(words_of(F.col("text"))).cast("long").alias("size"), _order_hash(seed, "doc_id").alias("h"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    targets = source_targets(sizes, weights, max_epochs)
+    # one order for documents and sources, so that what is before a source can be taken off
+    order = [F.col("source").asc_nulls_first(), F.col("h"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("row")]
+    targets = written(running_totals(targets, order[:1], {"source_size": "upto"}).withColumn("before", F.col("upto") - F.col("source_size")).drop("upto", "n_docs").withColumnRenamed("source", "of"))
+    flow = running_totals(rows, order, {"size": "upto"}).join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    return flow.withColumn("queued", F.col("upto") - F.col("size") - F.col("before")).drop("upto", "before")
+
+
+def mix_packets(queued: DataFrame, max_epochs: int = 3, quantum: int = QUANTUM) -> DataFrame:
+    """``queued_documents`` with a row per packet of each pass: epoch, packet, words, finish (null where the target is 0)."""
+    n = F.ceil(F.col("size") / quantum).cast("long")
+    p = queued.filter("size > 0").withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") * max_epochs - 1)))
+    p = p.withColumns({"epoch": F.expr("_i div _n").cast("int"), "packet": F.col("_i") % F.col("_n")}).drop("_n", "_i")
+    p = p.withColumn("words", F.least(F.lit(quantum), F.col("size") - F.col("packet") * quantum))
+    done = F.col("epoch") * F.col("source_size") + F.col("queued") + F.col("packet") * quantum + F.col("words")
+    return p.withColumn("finish", F.when(F.col("target") > 0, done / F.col("target")))
+
+
+def mix_order(packets: DataFrame, budget: int) -> DataFrame:
+    """``packets`` with position (from 1, in order of finish) and taken: the words that fit the budget in that order, and nothing else."""
+    order = [F.col("finish").asc_nulls_last(), F.col("source").asc_nulls_first(), F.col("h"), F.col("doc_id").asc_nulls_first(), F.col("row"), F.col("epoch"), F.col("packet")]
+    sorted_ = running_totals(packets.withColumn("one", F.lit(1).cast("long")), order, {"words": "running", "one": "position"}).drop("one")
+    left = F.lit(budget) - F.col("running") + F.col("words")
+    return sorted_.withColumn("taken", F.greatest(F.lit(0).cast("long"), F.least("words", left))).drop("running")
+
+
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", carry: tuple[str, ...] = (), quantum: int = QUANTUM) -> DataFrame:
+    """A row per document: doc_id, source, size, source_size, target, taken, first_position, last_finish, and ``carry``.
 
     ``size`` is the number of words (null text: 0), ``taken`` the words that the
-    mix takes of it over all passes.  A null source is a source of its own, the
-    last; rows that share a doc_id are queued one after the other, the shorter
-    first; documents without words are never taken; an empty table gives no
-    rows.  The same rows, seed and weights give the same plan.
+    mix takes of it over all passes; ``first_position`` is where its first
+    packet stands in the mix, ``last_finish`` the virtual time at which its last
+    one is done (both null if nothing is taken).  All taken words add up to all
+    words; a source is within a packet of its target, or so, as the order has
+    it.  A null source is a source of its own, the last to choose a weight; rows
+    that share a doc_id are queued one after the other, the shorter first;
+    documents without words are never taken; an empty table gives no rows.  The
+    same rows, seed and weights give the same plan.
     """
-    rows = written(docs.select(F.col("doc_id"), F.col("source"), *carry, F.size(words_of(F.col("text"))).cast("long").alias("size"), _order_hash(seed, "doc_id").alias("h")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    targets = written(source_targets(sizes, weights, max_epochs))
-    n_slices = F.least(F.lit(MAX_SLICES), F.ceil(F.col("n_docs") / ROWS_PER_SLICE)).cast("long")
-    flow = rows.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    flow = flow.withColumn("slice", F.floor(F.col("h") / F.lit(float(1 << 60)) * n_slices))
-    # words queued before each document in its source
-    in_slice = W.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    flow = flow.withColumns({"queued": F.sum("size").over(in_slice), "at": F.row_number().over(W.partitionBy("source", "slice").orderBy("h", "doc_id", "size"))})
-    slices = flow.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    before = slices.select(F.col("source").alias("of"), F.col("slice").alias("part"), (F.sum("words").over(W.partitionBy("source").orderBy("slice")) - F.col("words")).alias("earlier"))
-    queued = flow.join(before, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("part"))).drop("of", "part")
-    queued = written(queued.withColumn("queued", F.col("earlier") + F.col("queued") - F.col("size")).drop("earlier"))
-
-    passes = queued.select("source", "slice", "at", "size", "target", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch"), (F.col("epoch") * F.col("source_size") + F.col("queued")).alias("start"))
-    owed = F.least(F.col("size"), F.round("target").cast("long") - F.col("start"))
-    served = passes.withColumn("words", owed).filter("words > 0").withColumn("finish", F.least(F.lit(1.0), (F.col("start") + F.col("size")) / F.col("target")))
-    budget, n = queued.agg(F.sum("size"), F.count(F.lit(1))).first()
-    slots = max(1, min(MAX_SLICES, (n or 0) // ROWS_PER_SLICE))
-    served = served.withColumn("slot", F.floor(F.col("finish") * slots))
-    order = W.partitionBy("slot").orderBy("finish", "source", "slice", "at", "epoch").rowsBetween(W.unboundedPreceding, W.currentRow)
-    served = served.withColumn("running", F.sum("words").over(order))
-    slots_before = served.groupBy("slot").agg(F.sum("words").alias("w")).select("slot", (F.sum("w").over(W.orderBy("slot")) - F.col("w")).alias("earlier"))
-    cut = served.join(slots_before, "slot").withColumn("left", F.lit(budget or 0) - F.col("earlier") - F.col("running") + F.col("words"))
-    cut = cut.select("source", "slice", "at", F.greatest(F.lit(0), F.least("words", "left")).alias("words"))
-    taken = cut.groupBy(F.col("source").alias("of"), F.col("slice").alias("part"), F.col("at").alias("place")).agg(F.sum("words").cast("long").alias("taken"))
-    done = queued.join(taken, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("part")) & (F.col("at") == F.col("place")), "left").fillna(0, ["taken"])
-    return done.select("doc_id", "source", *carry, "size", "source_size", "target", "taken")
+    queued = written(queued_documents(docs, weights, max_epochs, seed, carry))
+    budget = queued.agg(F.sum("size")).first()[0] or 0
+    packets = mix_order(mix_packets(queued, max_epochs, quantum), budget)
+    has = F.col("taken") > 0
+    taken = packets.groupBy("row").agg(F.sum("taken").alias("taken"), F.min(F.when(has, F.col("position"))).alias("first_position"), F.max(F.when(has, F.col("finish"))).alias("last_finish"))
+    done = queued.join(taken, "row", "left").fillna(0, ["taken"])
+    return done.select("doc_id", "source", *carry, "size", "source_size", "target", "taken", "first_position", "last_finish")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
@@ -116,7 +131,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
 
 def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_finish")
 
 
 OP7_SQL = r"""
@@ -143,20 +158,20 @@ WITH sized AS (
   FROM filled
 ), queued AS (
   SELECT s.*, t.source_size, t.target,
-         (sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS queued
+         (sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS queued
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-), passes AS (
-  SELECT *, epoch * source_size + queued AS start,
-         least(size, round(target)::BIGINT - (epoch * source_size + queued)) AS words
-  FROM queued, range(3) e(epoch)
+), packets AS (
+  SELECT *, least(256, size - 256 * packet) AS words FROM (SELECT *, unnest(range((size + 255) // 256)) AS packet FROM queued), range(3) e(epoch)
+), timed AS (
+  SELECT *, (epoch * source_size + queued + 256 * packet + words) / target AS finish FROM packets
 ), served AS (
-  SELECT *, sum(words) OVER (ORDER BY least(1.0, (start + size) / target), source NULLS FIRST, h, doc_id, size, epoch
-                             ROWS UNBOUNDED PRECEDING) AS running
-  FROM passes WHERE words > 0
+  SELECT *, sum(words) OVER mix AS running, row_number() OVER mix AS position
+  FROM timed WINDOW mix AS (ORDER BY finish, source NULLS FIRST, h, doc_id NULLS FIRST, size, epoch, packet ROWS UNBOUNDED PRECEDING)
+), cut AS (
+  SELECT *, greatest(0, least(words, (SELECT sum(size) FROM sized) - running + words)) AS taken FROM served
 ), taken AS (
-  SELECT doc_id, sum(greatest(0, least(words, (SELECT sum(size) FROM sized) - running + words)))::BIGINT AS taken
-  FROM served GROUP BY doc_id
+  SELECT doc_id, sum(taken)::BIGINT AS taken, min(position) FILTER (WHERE taken > 0) AS first_position, max(finish) FILTER (WHERE taken > 0) AS last_finish FROM cut GROUP BY doc_id
 )
-SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0)::BIGINT AS taken
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0)::BIGINT AS taken, t.first_position, t.last_finish
 FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id
 """

@@ -1,5 +1,6 @@
 """Plain Python versions of the operators' contracts, for small inputs."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -123,3 +124,39 @@ def agenda(chunk, key, rate, p):
         a, b = symbols[best[1] : best[1] + 2]
         symbols[best[1] : best[1] + 2] = [(p.merge[a[0], b[0]], a[1], b[2])]
     return [i for s, start, _ in symbols for i in ([s] if s < 1 << 20 else [p.byte_id[x] for x in chunk[start].encode()])]
+
+
+def mix(docs, weights=(5, 2, 1), epochs=3, quantum=256, cut=True):
+    """(target by source, words taken by doc_id) of (doc_id, source, text): all packets of all passes in one sorted list.
+
+    Without ``cut`` the budget ends nothing, and every packet is taken.
+    """
+    size = {d: len(WORD.findall(t or "")) for d, _, t in docs}
+    sources = sorted({s for _, s, _ in docs}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(size[d] for d, x, _ in docs if x == s) for s in sources}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    total, full = sum(own.values()), set()
+    while len(full) < len(sources):
+        level = (total - sum(epochs * own[s] for s in full)) / sum(weight[s] for s in sources if s not in full)
+        more = {s for s in sources if s not in full and weight[s] * level >= epochs * own[s]}
+        if not more:
+            break
+        full |= more
+    target = {s: epochs * own[s] if s in full else weight[s] * level for s in sources}
+    packets = []
+    for s in sources:
+        key = lambda d: hashlib.md5(f"mix:{'null' if d is None else d}".encode()).hexdigest()[:15]
+        line = sorted((d for d, x, _ in docs if x == s), key=lambda d: (key(d), d is not None, d or 0))
+        done = 0
+        for epoch in range(epochs):
+            for d in line:
+                for k, at in enumerate(range(0, size[d], quantum)):
+                    words = min(quantum, size[d] - at)
+                    done += words
+                    packets.append((done / target[s], s is not None, s or "", key(d), d is not None, d or 0, epoch, k, d, words))
+    left, taken = total, dict.fromkeys(size, 0)
+    for *_, d, words in sorted(packets):
+        n = min(words, left) if cut else words
+        taken[d] += n
+        left -= n
+    return target, taken

@@ -382,12 +382,35 @@ def test_mix(spark):
     docs = hard_documents(spark)
     plan = mixing.mix_plan(docs).collect()
     assert len(plan) == 11 and Counter(plan) == Counter(mixing.mix_plan(docs.repartition(5)).collect())
+    assert sum(r.taken for r in plan) == sum(r.size for r in plan) and all(0 <= r.taken <= 3 * r.size for r in plan)
     for source in {r.source for r in plan}:
         own = [r for r in plan if r.source == source]
-        assert all(0 <= r.taken <= 3 * r.size for r in own)
-        assert abs(sum(r.taken for r in own) - own[0].target) <= 2
+        assert abs(sum(r.taken for r in own) - own[0].target) <= mixing.QUANTUM
     assert mixing.mix_plan(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
-    assert mixing.mix_plan(docs.filter("text IS NULL OR text = ''")).filter("taken > 0").count() == 0
+    assert mixing.mix_plan(docs.filter("text IS NULL OR text = ''")).filter("taken > 0 OR first_position IS NOT NULL").count() == 0
+
+
+def test_mix_equals_one_sorted_list(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    target, taken = brute.mix(rows)
+    plan = mixing.mix_plan(docs).collect()
+    assert {r.doc_id: r.taken for r in plan} == taken and all(abs(r.target - target[r.source]) < 1e-6 for r in plan)
+    # the cut at the budget is what ends sources: without it every packet of every pass is taken
+    assert brute.mix(rows, cut=False)[1] != taken
+    queued = written(mixing.queued_documents(docs))
+    packets = mixing.mix_packets(queued)
+    assert packets.agg(F.sum("words")).first()[0] == 3 * sum(r.size for r in plan)
+    for budget in (0, 1000, 10**12):
+        assert mixing.mix_order(packets, budget).agg(F.sum("taken")).first()[0] == min(budget, 3 * sum(r.size for r in plan))
+    order = mixing.mix_order(packets, 10**12).orderBy("position").collect()
+    assert [r.position for r in order] == list(range(1, len(order) + 1)) and [r.finish for r in order] == sorted(r.finish for r in order)
+
+
+def test_mix_of_as_many_sources_as_documents(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 50).cast("int")).alias("text"))
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    assert {r.doc_id: r.taken for r in mixing.mix_plan(docs).collect()} == brute.mix(rows)[1]
 
 
 def test_targets_of_many_sources_by_ranges(spark):

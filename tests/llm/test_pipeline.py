@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 import sentencepiece
-from specloom.llm import mixing, pieces
+from specloom.llm import pieces
 
 from ..oracle import SF
 from . import brute
@@ -37,11 +37,9 @@ def test_rules_lines_and_near_copies(stages):
 
 def test_mix_and_encoding(spark, stages):
     near, mixed, last = stages[3:]
-    plan = mixing.mix_plan(spark.createDataFrame(near, corpus_schema(near))).collect()
-    want = Counter()
-    for r in plan:
-        if r.size:
-            want[r.doc_id] += (2 * r.taken + r.size) // (2 * r.size)
+    taken = brute.mix([(r.doc_id, r.source, r.text) for r in near])[1]
+    size = {r.doc_id: len(brute.WORD.findall(r.text or "")) for r in near}
+    want = Counter({d: (2 * n + size[d]) // (2 * size[d]) for d, n in taken.items() if size[d]})
     assert Counter(r.doc_id for r in mixed) == +want
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     assert len(last) == len(mixed) and all(r.lossless and r.n_tokens == len(r.ids) for r in last)
@@ -57,10 +55,6 @@ def test_copies_of_a_document_have_pieces_of_their_own(stages):
     assert long and all(len(set(c)) == len(c) for c in long)
 
 
-def corpus_schema(rows):
-    return "doc_id long, text string, lang string, source string, n_chars long"
-
-
 def test_hard_rows_and_an_empty_table_go_through_all_stages(spark):
     docs = hard_documents(spark, extra=False)
     rows = docs.unionByName(docs.limit(1)).unionByName(spark.createDataFrame([(None, "no id " * 20, None, None, 1)], docs.schema))
