@@ -3,9 +3,12 @@
 Archives are files of one gzip member a record, written by Spark's own writer;
 the separator it puts after a record is an empty gzip member, which any reader
 skips.  Reading an archive gives its captures as a run sorted by URL key and
-timestamp.  The runs are cut at common range boundaries into small sorted
-blocks; each range is then merged by a loser tree that holds about one block of
-each run, so that all ranges together are one ordered index.
+timestamp.  While there are more than ``FAN_IN`` runs, passes merge groups of
+about as many into one longer run each.  The last runs are cut at common range
+boundaries into small sorted blocks; each range is then merged, so that all
+ranges together are one ordered index.  Every merge is a loser tree over
+streamed blocks that holds about one block of each of its runs, whatever their
+length.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import hashlib
 import zlib
 from bisect import bisect_left
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -30,8 +33,11 @@ from .flat_files import read_files, write_records
 
 #: Payloads shorter than this are always stored.
 MIN_REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 8192
+#: An archive has at most so many records, and over so many compressed bytes only by its last one.
+RECORDS_PER_FILE, FILE_BYTES = 8192, 32 << 20
 BLOCK_ENTRIES = 64
+#: Runs that a merge takes at once, or about as many.
+FAN_IN = 64
 CAPTURES_PER_RANGE = 500_000
 #: Ranges at most; beyond that they grow, as each is streamed.  The driver gets SAMPLED keys for them at any size.
 MOST_RANGES, SAMPLED = 4096, 200_000
@@ -64,10 +70,13 @@ def assign_types(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     p = p.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-    held = p.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = held.filter("n > 1").drop("n")
-    j = p.join(repeated, ["payload_digest", "payload_bytes"], "left")
-    return j.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    # payloads meet what they refer to by their page, so that one payload of very many pages is no hot key for them
+    slim = written(p.select("page_id", "payload_bytes", "payload_digest").filter(F.col("payload_bytes") >= min_bytes))
+    held = slim.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = slim.join(held, ["payload_digest", "payload_bytes"]).filter(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    again = again.select(F.col("page_id").alias("page"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes"), F.col("first").alias("refers_to")).distinct()
+    j = p.join(again, p["page_id"].eqNullSafe(again["page"]) & (p["payload_digest"] == again["digest"]) & (p["payload_bytes"] == again["bytes"]), "left")
+    return j.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
 
 
 def _record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
@@ -84,15 +93,24 @@ def _record(page: int | None, url: str | None, payload: bytes, digest: str, refe
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """A WARC record per row of ``pages``; null html is an empty payload, other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for b in batches:
-            rows = zip(*(b.column(k).to_pylist() for k in ("page_id", "url", "payload", "payload_digest", "refers_to")), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([_gzip(_record(*r)) for r in rows], pa.binary())], names=["member"])
+            rows = zip(*(b.column(k) for k in ("page_id", "url", "payload", "payload_digest", "refers_to")), strict=True)
+            for row in rows:
+                held.append(_gzip(_record(*(x.as_py() for x in row))))
+                size += len(held[-1])
+                if len(held) == records_per_file or size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["members"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["members"])
 
-    write_records(assign_types(pages).mapInArrow(run, "member binary"), "member", _gzip(b""), path, records_per_file)
+    write_records(assign_types(pages).mapInArrow(run, "members binary"), "members", _gzip(b""), path, 1)
 
 
 def _members(data: bytes, step: int = 16384) -> Iterator[tuple[int, int, bytes]]:
@@ -152,7 +170,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 entries.sort(key=_key)
                 yield pa.RecordBatch.from_struct_array(pa.array(entries, _ENTRY))
 
-    return read_files(spark, path).filter("length > 0").select("shard", "content").mapInArrow(run, _ENTRY_DDL)
+    return read_files(spark, path).filter("length > 0").select("shard", "content").mapInArrow(run, _ENTRY_DDL).withColumn("run", F.col("shard"))
 
 
 class LoserTree:
@@ -187,21 +205,27 @@ class LoserTree:
         self.winner = run
 
 
-def _cut(boundaries: list[tuple], size: int):
-    """Sorted runs to blocks of at most ``size`` entries, none across a boundary; a range's first block of a run is marked."""
+def _cut(boundaries: list[tuple], size: int, groups: int = 0):
+    """Sorted runs to blocks of at most ``size`` entries, none across a boundary; a range's first block of a run is marked.
+
+    With ``groups`` a run belongs to one of so many instead of ranges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[dict] = []
         at: tuple | None = None  # range and run of the block
         # a run that two tasks read is two runs
-        number, shard = TaskContext.get().partitionId() << 32, None
+        number, run_id = TaskContext.get().partitionId() << 32, None
         rows: list[tuple] = []
         opening, n = True, 0
+        # a block is needed when the entry before it has been merged: that entry's key is its place
+        before: tuple = ("", "", None)
 
         def close(last: bool) -> None:
-            nonlocal block, opening, n
+            nonlocal block, opening, n, before
             if block:
-                rows.append((at[0], at[1], opening, last, block[0]["url_key"], block[0]["ts"], block[0]["page_id"], n, block))
+                rows.append((at[0], at[1], opening, last, *before, n, block))
+                before = block[-1]["url_key"], block[-1]["ts"], block[-1]["page_id"]
                 opening, block, n = last, [], n + 1
 
         def flush() -> pa.RecordBatch:
@@ -212,11 +236,13 @@ def _cut(boundaries: list[tuple], size: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["range_id", "run", "opening", "last", "k", "t", "p", "block", "entries"])
 
         for b in batches:
-            for e in b.to_pylist():
+            for e in _lazily(b, 512):
                 # equal pages aren't told apart by a boundary
-                if e["shard"] != shard:
-                    number, shard = number + 1, e["shard"]
-                here = (bisect_left(boundaries, _key(e)[:4]), number)
+                if e["run"] != run_id:
+                    number, run_id = number + 1, e.pop("run")
+                else:
+                    del e["run"]
+                here = (run_id % groups if groups else bisect_left(boundaries, _key(e)[:4]), number)
                 if here != at:
                     close(True)
                     at = here
@@ -230,16 +256,32 @@ def _cut(boundaries: list[tuple], size: int):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge each range's blocks.  First blocks of all runs come first, the others by first key."""
-    stream = (row for b in batches for row in b.to_pylist())
+def _lazily(b: pa.RecordBatch, step: int) -> Iterator[dict]:
+    """Rows of a batch as dicts, ``step`` of them at a time; the rest stays Arrow."""
+    for i in range(0, b.num_rows, step):
+        yield from b.slice(i, step).to_pylist()
+
+
+def _merge(batches: Iterator[pa.RecordBatch], watch: Callable[[int], None] = lambda n: None) -> Iterator[pa.RecordBatch]:
+    """Merge each range's blocks.  First blocks of all runs come first, the others in the order in which they are needed.
+
+    ``watch`` is told how many entries are held whenever there are more.
+    """
+    stream = (row for b in batches for row in _lazily(b, 1))
     row = next(stream, None)
     while row is not None:
-        range_id, queues, more, runs = row["range_id"], defaultdict(deque), {}, []
+        range_id, queues, more, runs, held = row["range_id"], defaultdict(deque), {}, [], 0
+
+        def load(row: dict) -> None:
+            nonlocal held
+            queues[row["run"]].extend(row["entries"])  # noqa: B023
+            more[row["run"]] = not row["last"]  # noqa: B023
+            held += len(row["entries"])
+            watch(held)
+
         while row is not None and row["range_id"] == range_id and row["opening"]:
             runs.append(row["run"])
-            queues[row["run"]].extend(row["entries"])
-            more[row["run"]] = not row["last"]
+            load(row)
             row = next(stream, None)
         tree = LoserTree([_key(queues[r][0]) for r in runs])
         out: list[dict] = []
@@ -249,11 +291,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = runs[tree.winner]
             q = queues[r]
             out.append(q.popleft())
+            held -= 1
             ranks.append(n)
             n += 1
-            while not q and more[r]:  # its next block is the stream's next one, but for blocks needed soon
-                queues[row["run"]].extend(row["entries"])
-                more[row["run"]] = not row["last"]
+            while not q and more[r]:  # its next block is the stream's next one, but for others that follow an equal key
+                load(row)
                 row = next(stream, None)
             tree.replace(_key(q[0]) if q else None)
             if len(out) >= 4096:
@@ -268,26 +310,41 @@ def _merged(range_id: int, ranks: list[int], out: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([range_id] * len(out), pa.int64()), pa.array(ranks, pa.int64()), *b.columns], names=["range_id", "rank", *b.schema.names])
 
 
-def merge_runs(runs: DataFrame, captures_per_range: int = CAPTURES_PER_RANGE, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+_BLOCKS = f"range_id long, run long, opening boolean, last boolean, k string, t string, p long, block long, entries array<struct<{_ENTRY_DDL.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def _merge_blocks(blocks: DataFrame, n: int) -> DataFrame:
+    """The entries of each range_id in order, with their rank there."""
+    dealt = blocks.repartition(n, "range_id").sortWithinPartitions("range_id", F.desc("opening"), "k", "t", "p", "run", "block")
+    return written(dealt.mapInArrow(_merge, f"range_id long, rank long, {_ENTRY_DDL}"))
+
+
+def longer_runs(runs: DataFrame, fan_in: int = FAN_IN, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """``runs`` (entries, and ``run``) merged in passes until there are no more than about ``fan_in`` runs."""
+    while (n := runs.select("run").distinct().count()) > fan_in:
+        groups = -(-2 * n // fan_in)  # half of what a merge may take, as they are dealt out by hash
+        blocks = runs.mapInArrow(_cut([], block_entries, groups), _BLOCKS)
+        runs = _merge_blocks(blocks, groups).withColumn("run", F.xxhash64("range_id")).drop("range_id", "rank")
+    return runs
+
+
+def merge_runs(runs: DataFrame, captures_per_range: int = CAPTURES_PER_RANGE, block_entries: int = BLOCK_ENTRIES, fan_in: int = FAN_IN) -> DataFrame:
     """One index in global order: the columns of ``read_runs``, range_id, rank and position (from 0).
 
-    Entries of one shard that a task reads in a row must be sorted, as those of
-    ``read_runs`` and of a table written from it are.  Boundaries come from a
-    sample of the keys of bounded number; they include time and page, so one
-    URL may span ranges.  Blocks of a run that start with equal keys keep their
-    order by number.
+    ``runs`` must be written; entries of one run that a task reads in a row
+    must be sorted, as those of ``read_runs`` and of a table written from it
+    are.  Boundaries come from a sample of the keys of bounded number; they
+    include time and page, so one URL may span ranges.  Blocks of a run that
+    start with equal keys keep their order by number.
     """
     spark = runs.sparkSession
+    runs = longer_runs(runs, fan_in, block_entries)
     total = runs.count()
     n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-total // captures_per_range)))
     keys = runs.select("url_key", "ts", F.col("page_id").isNotNull().alias("has"), F.coalesce("page_id", F.lit(0)).alias("page"))
     sample = sorted(map(tuple, keys.sample(min(1.0, min(50 * n_ranges, SAMPLED) / max(1, total)), seed=1).collect()))
     boundaries = sorted({sample[i * len(sample) // n_ranges] for i in range(1, n_ranges)}) if sample else []
-    kind = f"range_id long, run long, opening boolean, last boolean, k string, t string, p long, block long, entries array<struct<{_ENTRY_DDL.replace(' ', ':').replace(',:', ',')}>>"
-    blocks = runs.mapInArrow(_cut(boundaries, block_entries), kind)
-    dealt = blocks.repartition(n_ranges, "range_id").sortWithinPartitions("range_id", F.desc("opening"), "k", "t", "p", "run", "block")
-    merged = dealt.mapInArrow(_merge, f"range_id long, rank long, {_ENTRY_DDL}")
-    merged = written(merged)
+    merged = _merge_blocks(runs.mapInArrow(_cut(boundaries, block_entries), _BLOCKS), n_ranges)
     starts = merged.groupBy("range_id").agg(F.count(F.lit(1)).alias("n"))
     # one row a range
     starts = starts.select("range_id", (F.sum("n").over(W.orderBy("range_id")) - F.col("n")).alias("start"))

@@ -59,10 +59,41 @@ def test_merge_of_many_runs_in_small_blocks(spark):
     rows = [(i, f"http://h{i * 7919 % 50}.org/{i % 13}", f"{i}") for i in range(3000)]
     path = shared_dir(spark)
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(11), path, records_per_file=97)
-    got = warc.merge_runs(warc.read_runs(spark, path), captures_per_range=300, block_entries=7).orderBy("position").collect()
+    got = warc.merge_runs(written(warc.read_runs(spark, path)), captures_per_range=300, block_entries=7, fan_in=9).orderBy("position").collect()
     assert [(r.url_key, r.ts, r.page_id) for r in got] == sorted((r.url_key, r.ts, r.page_id) for r in got) and [r.position for r in got] == list(range(3000))
 
 
+def test_a_merge_holds_a_block_of_each_of_few_runs(spark):
+    """40,000 captures in 400 runs and 200 ranges: passes make longer runs, and no merge holds more than its runs' blocks."""
+    r = random.Random(3)
+    entries = [{"url_key": f"k{r.randrange(900):03}", "ts": "t", "page_id": i, "url": None, "record_type": "response", "payload_bytes": 0, "payload_digest": "", "refers_to": None, "shard": i // 100, "offset": i % 100, "length": 1} for i in range(40_000)]
+    entries.sort(key=lambda e: (e["shard"], *warc._key(e)))
+    runs = written(spark.createDataFrame(entries, warc._ENTRY_DDL).withColumn("run", F.col("shard")).repartitionByRange(8, "shard").sortWithinPartitions("shard", "url_key", "ts", "page_id"))
+    longer = warc.longer_runs(runs, fan_in=16, block_entries=8)
+    assert longer.select("run").distinct().count() <= 16 and longer.count() == 40_000
+    got = warc.merge_runs(runs, captures_per_range=200, block_entries=8, fan_in=16).orderBy("position").collect()
+    assert [e.page_id for e in got] == [e["page_id"] for e in sorted(entries, key=warc._key)] and max(e.range_id for e in got) > 150
+    # one group of runs as a task sees it
+    for source, groups, n in ((runs, 50, 400), (longer, 1, 16)):
+        blocks = source.mapInArrow(warc._cut([], 8, groups), warc._BLOCKS).filter("range_id = 0")
+        n_runs = blocks.select("run").distinct().count()
+        held: list[int] = []
+        out = list(warc._merge(iter(blocks.orderBy(F.desc("opening"), "k", "t", "p", "run", "block").toArrow().to_batches()), held.append))
+        assert 1 < n_runs <= n and sum(b.num_rows for b in out) >= 100 and max(held) <= n_runs * 8
+
+
+def test_archives_are_cut_by_bytes(spark):
+    """Pages of a megabyte that don't compress, one payload of most pages, a repeated row."""
+    r = random.Random(5)
+    pages = [(i, f"http://a.org/{i}", "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1_000_000))) for i in range(6)] + [(i, "http://b.org/", "e" * 2000) for i in range(10, 40)] + [(39, "http://b.org/", "e" * 2000), (None, "http://b.org/", "e" * 2000)]
+    path = shared_dir(spark)
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path, file_bytes=1_500_000)
+    sizes = [x.length for x in warc.read_files(spark, path).collect()]
+    assert len(sizes) >= 3 and max(sizes) < 2_600_000
+    got = warc.merge_runs(written(warc.read_runs(spark, path))).collect()
+    assert sorted((x.page_id or 0, x.payload_bytes, x.refers_to or 0) for x in got) == sorted((i or 0, len(h), 39 if len(h) == 2000 and i != 39 else 0) for i, _, h in pages)
+
+
 def test_many_equal_captures_in_small_blocks(spark):
     """Blocks of a run that start with equal keys come in their order; a very long payload comes back whole."""
     rows = [(7, "http://a.org/", None)] * 400 + [(i, "http://a.org/", "x" * 3_000_000 if i == 8 else f"{i}") for i in range(5, 9)]
