@@ -40,6 +40,12 @@ def codes(whitelist: DataFrame) -> DataFrame:
     return whitelist.select("code", "label").orderBy("code")
 
 
+def code_usage(whitelist: DataFrame, users: DataFrame, column: str) -> DataFrame:
+    """code, label and n_used, the rows of ``users`` with the code; codes in use that the whitelist lacks have no label."""
+    used = users.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("code")).agg(F.count(F.lit(1)).alias("n_used"))
+    return whitelist.select("code", "label").join(used, "code", "full").fillna(0, ["n_used"]).orderBy("code")
+
+
 def stats(node: DataFrame, spec_dimension: DataFrame) -> DataFrame:
     """One row: nodes, dimensions."""
     n = node.agg(F.count(F.lit(1)).alias("nodes"), F.lit(0).alias("dimensions"))

@@ -92,9 +92,13 @@ def coverage_exact(spark, d):
     return G.exact_coverage(_search(13)(spark, d), 12)
 
 
+ROLES = ["read", "write", "admin", "guest", None]
+
+
 def role_rank(spark, d):
-    roles = spark.createDataFrame([("read",), ("write",), ("admin",), ("guest",), (None,)], "role string")
-    return roles.select("role", G.role_rank(F.col("role")).alias("role_rank"))
+    """Documents dealt out to roles, with each role's rank."""
+    docs = V.table(spark, d, "documents").select(F.element_at(F.array(*map(F.lit, ROLES)), (F.col("doc_id") % len(ROLES) + 1).cast("int")).alias("role"))
+    return docs.groupBy("role").agg(F.count(F.lit(1)).alias("n")).withColumn("role_rank", G.role_rank(F.col("role")))
 
 
 def whitelist_merge(spark, d):
@@ -106,18 +110,25 @@ def whitelist_merge(spark, d):
 
 
 def health(spark, d):
-    return spark.range(1).select(F.lit("ok").alias("status"))
+    """Whether the node view can be read to its end and has nodes."""
+    return V.node(spark, d).agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") > 0, "ok").otherwise("empty").alias("status"), F.col("n").alias("nodes"))
 
 
 def fk_violations(spark, d):
-    """Values that a referenced table lacks, by rule."""
+    """Values that a referenced table lacks, by rule; some references are broken first, those of two rules are left sound."""
+    events = V.table(spark, d, "events").withColumn("user_id", F.when(F.col("event_id") % 50 == 0, -F.col("user_id")).otherwise(F.col("user_id")))
+    links = V.spec_link(spark, d).withColumn("dst_id", F.when(F.col("rel") == "depends_on", F.concat(F.lit("gone-"), "dst_id")).otherwise(F.col("dst_id")))
+    labels = V.table(spark, d, "labels").withColumn("doc_id", F.when(F.col("toxic") == 1, -1 - F.col("doc_id")).otherwise(F.col("doc_id")))
+    orders = V.table(spark, d, "orders").withColumn("o_custkey", F.when(F.col("o_orderstatus") == "P", F.col("o_custkey") + 1_000_000_000_000).otherwise(F.col("o_custkey")))
+    node = V.node(spark, d)
     rules = {
-        "event_user": (V.table(spark, d, "events"), "user_id", V.table(spark, d, "customer"), "c_custkey"),
-        "node_dimension": (V.node(spark, d), "dimension_code", seed_dimensions(spark), "code"),
-        "link_rel": (V.spec_link(spark, d), "rel", seed_link_types(spark), "code"),
-        "link_dst": (V.spec_link(spark, d), "dst_id", V.node(spark, d), "id"),
-        "label_doc": (V.table(spark, d, "labels"), "doc_id", V.table(spark, d, "documents"), "doc_id"),
-        "order_customer": (V.table(spark, d, "orders"), "o_custkey", V.table(spark, d, "customer"), "c_custkey"),
+        "event_user": (events, "user_id", V.table(spark, d, "customer"), "c_custkey"),
+        "node_dimension": (node.withColumn("dimension_code", F.when(F.col("status") == "draft", F.concat("dimension_code", F.lit("?"))).otherwise(F.col("dimension_code"))), "dimension_code", seed_dimensions(spark), "code"),
+        "link_rel": (links, "rel", seed_link_types(spark), "code"),
+        "link_src": (links, "src_id", node, "id"),
+        "link_dst": (links, "dst_id", node, "id"),
+        "label_doc": (labels, "doc_id", V.table(spark, d, "documents"), "doc_id"),
+        "order_customer": (orders, "o_custkey", V.table(spark, d, "customer"), "c_custkey"),
     }
     found = [C.missing(*r).select(F.lit(name).alias("rule"), F.col("value").cast("string").alias("value")) for name, r in rules.items()]
     out = found[0]
@@ -173,27 +184,37 @@ SELECT depth, count(*) AS n, count(DISTINCT parent_id) AS n_parents FROM below G
     ("links_of_node", _links(src="doc-3"), _links_sql("src_id = 'doc-3'", "rel, target")),
     ("links_external", links_external, _links_sql("dst_urn IS NOT NULL")),
     ("stats", stats, with_views("SELECT (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM dims) AS dimensions", *_NODE)),
-    ("dimension_list", lambda spark, d: G.codes(seed_dimensions(spark)), with_views("SELECT code, label FROM dims", "dims")),
-    ("link_type_list", lambda spark, d: G.codes(seed_link_types(spark)), with_views("SELECT code, label FROM rels", "rels")),
+    ("dimension_list", lambda spark, d: G.code_usage(seed_dimensions(spark), V.node(spark, d), "dimension_code"), with_views("SELECT code, label, count(n.id) AS n_used FROM dims LEFT JOIN node n ON n.dimension_code = code GROUP BY code, label", *_NODE)),
+    ("link_type_list", lambda spark, d: G.code_usage(seed_link_types(spark), V.spec_link(spark, d), "rel"), with_views("SELECT code, label, count(l.id) AS n_used FROM rels LEFT JOIN spec_link l ON l.rel = code GROUP BY code, label", "rels", "spec_link")),
     ("coverage_partial", coverage_partial, with_views(f", {_BEST} SELECT least(12, count(*)) AS n_rows, count(*) >= 12 AS partial FROM node JOIN best ON node_id = id WHERE status = 'approved' AND body IS NOT NULL", *_NODE, "chunk")),
     ("coverage_exact", coverage_exact, with_views(f", {_BEST} SELECT least(12, count(*)) AS n_rows, count(*) > 12 AS partial FROM node JOIN best ON node_id = id WHERE status = 'approved' AND body IS NOT NULL", *_NODE, "chunk")),
-    ("role_rank", role_rank, "SELECT role, role_rank FROM (VALUES ('read', 1), ('write', 2), ('admin', 3), ('guest', NULL), (NULL, NULL)) t(role, role_rank)"),
+    (
+        "role_rank",
+        role_rank,
+        "SELECT role, count(*) AS n, role_rank FROM documents JOIN (VALUES (0, 'read', 1), (1, 'write', 2), (2, 'admin', 3), (3, 'guest', NULL), (4, NULL, NULL)) t(i, role, role_rank) ON i = doc_id % 5 GROUP BY role, role_rank",
+    ),
     (
         "whitelist_merge",
         whitelist_merge,
         with_views("SELECT code, label FROM dims UNION ALL SELECT DISTINCT code, upper(code) FROM (SELECT lang AS code FROM documents UNION ALL SELECT source FROM documents) WHERE code IS NOT NULL AND code NOT IN (SELECT code FROM dims)", "dims"),
     ),
-    ("health", health, "SELECT 'ok' AS status"),
+    ("health", health, with_views("SELECT CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status, count(*) AS nodes FROM node", *_NODE)),
     (
         "fk_violations",
         fk_violations,
         with_views(
-            """SELECT DISTINCT 'event_user' AS rule, user_id::VARCHAR AS value FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)
-UNION ALL SELECT DISTINCT 'node_dimension', dimension_code FROM node WHERE dimension_code NOT IN (SELECT code FROM dims)
-UNION ALL SELECT DISTINCT 'link_rel', rel FROM spec_link WHERE rel NOT IN (SELECT code FROM rels)
-UNION ALL SELECT DISTINCT 'link_dst', dst_id FROM spec_link WHERE dst_id NOT IN (SELECT id FROM node)
-UNION ALL SELECT DISTINCT 'label_doc', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
-UNION ALL SELECT DISTINCT 'order_customer', o_custkey::VARCHAR FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
+            """, e AS (SELECT CASE WHEN event_id % 50 = 0 THEN -user_id ELSE user_id END AS v FROM events),
+n AS (SELECT CASE WHEN status = 'draft' THEN dimension_code || '?' ELSE dimension_code END AS v FROM node),
+l AS (SELECT src_id, rel, CASE WHEN rel = 'depends_on' THEN 'gone-' || dst_id ELSE dst_id END AS v FROM spec_link),
+b AS (SELECT CASE WHEN toxic = 1 THEN -1 - doc_id ELSE doc_id END AS v FROM labels),
+o AS (SELECT CASE WHEN o_orderstatus = 'P' THEN o_custkey + 1000000000000 ELSE o_custkey END AS v FROM orders)
+SELECT DISTINCT 'event_user' AS rule, v::VARCHAR AS value FROM e WHERE v NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT DISTINCT 'node_dimension', v FROM n WHERE v NOT IN (SELECT code FROM dims)
+UNION ALL SELECT DISTINCT 'link_rel', rel FROM l WHERE rel NOT IN (SELECT code FROM rels)
+UNION ALL SELECT DISTINCT 'link_src', src_id FROM l WHERE src_id NOT IN (SELECT id FROM node)
+UNION ALL SELECT DISTINCT 'link_dst', v FROM l WHERE v NOT IN (SELECT id FROM node)
+UNION ALL SELECT DISTINCT 'label_doc', v::VARCHAR FROM b WHERE v NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT DISTINCT 'order_customer', v::VARCHAR FROM o WHERE v NOT IN (SELECT c_custkey FROM customer)""",
             *_NODE,
             "rels",
             "spec_link",
