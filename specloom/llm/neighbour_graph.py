@@ -15,15 +15,15 @@ dense nodes of different components, which their lists may hide, are searched
 in fresh buckets until there are none.
 
 An audit compares bounded samples of nodes, of all and of those in small
-components, with all nodes; if too few have all their links, the lists get
-seeds from twice the buckets and the descent goes on until the audit passes,
-and fails if it never does.
+components that have a link or nearly one, with all nodes; if too few have all
+their links, the lists get seeds from fresh buckets and the descent goes on.  It
+fails if the audit doesn't pass after a few tries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,12 +55,12 @@ class Descent:
     #: Rings of angles to a component's centre, as parts of the threshold's angle.
     rings: int = 24
     audit_nodes: int = 256
-    #: Members of a small component; four times audit_nodes are drawn from those.
+    #: Members of a small component; four times audit_nodes are drawn from those with entries near the threshold.
     audit_members: int = 64
     #: Share of the nodes with links that must have all of them, in both samples.
     audit_recall: float = 0.995
-    #: Tables of the last search before the audit is given up as failed.
-    most_tables: int = 1024
+    #: Searches for seeds before the audit is given up as failed.  They add seeds, they can't stand in for the descent.
+    tries: int = 4
     seed: int = 1
 
     @property
@@ -351,18 +351,23 @@ def _dense_counts(nodes: DataFrame, comps: DataFrame, dense: DataFrame, p: Desce
     return every.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _audit(nodes: DataFrame, comps: DataFrame, counts: DataFrame, p: Descent) -> float:
-    """Share of the sampled nodes with links whose links were all found, in the sample of all nodes or of those in small components, whichever has less; 1 if none has links."""
+def _audit(nodes: DataFrame, comps: DataFrame, counts: DataFrame, near: DataFrame, p: Descent) -> tuple[float | None, int]:
+    """Share of the sampled nodes with links whose links were all found, and how many nodes with links were sampled.
+
+    One sample is of all nodes, the other of the nodes of ``near`` (id) in small
+    components; the share is that of the sample which has less.  It is null if
+    no sampled node has a link: then nothing is known.
+    """
     order = F.xxhash64(F.lit(p.seed), "id")
     small = comps.groupBy("comp").count().filter(F.col("count") <= p.audit_members)
-    in_small = nodes.join(comps.join(small, "comp", "left_semi"), "id", "left_semi")
+    in_small = nodes.join(comps.join(small, "comp", "left_semi"), "id", "left_semi").join(near, "id", "left_semi")
     few = {r["id"] for r in nodes.select("id").orderBy(order).limit(p.audit_nodes).collect()}
     rows = {r["id"]: r for r in in_small.orderBy(order).limit(4 * p.audit_nodes).collect()}
     samples = [few, set(rows)]
     rows |= {r["id"]: r for r in nodes.filter(F.col("id").isin(list(few))).collect()}
     rows = list(rows.values())
     if not rows:
-        return 1.0
+        return None, 0
     sample: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for g in {r["grp"] for r in rows}:
         own = [r for r in rows if r["grp"] == g]
@@ -383,7 +388,7 @@ def _audit(nodes: DataFrame, comps: DataFrame, counts: DataFrame, p: Descent) ->
     truth = nodes.mapInArrow(run, "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth"))
     judged = truth.filter("truth > 0").join(counts, "id", "left").select("id", (F.coalesce("links", F.lit(0)) >= F.col("truth")).alias("whole")).collect()
     shares = [[r["whole"] for r in judged if r["id"] in ids] for ids in samples]
-    return min((sum(x) / len(x) for x in shares if x), default=1.0)
+    return min((sum(x) / len(x) for x in shares if x), default=None), len(judged)
 
 
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -405,22 +410,23 @@ def _joined_dense(plain: DataFrame, comps: DataFrame, dense: DataFrame, bits: in
         comps = written(comps.join(merged.select(F.col("node").alias("comp"), "component"), "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")))
 
 
-def linked_vectors(vectors: DataFrame, p: Descent = Descent()) -> tuple[DataFrame, float]:
-    """vec_id, n_links, component_id, kept per row of ``vectors`` (vec_id, embedding, label), and the audited recall.
+def linked_vectors(vectors: DataFrame, p: Descent = Descent()) -> tuple[DataFrame, float | None, int]:
+    """vec_id, n_links, component_id, kept per row of ``vectors`` (vec_id, embedding, label), the audited recall, and on how many nodes with links it rests.
 
     Vectors of equal, known labels (and equal length) link at a cosine, in
     double precision, of ``threshold`` or above.  Rows that link with nothing,
     unusable ones included, have n_links 0 and are their own component; a null
     vec_id links with nothing.  Repeated rows count as vectors each.  More
     columns are ignored, an empty table gives no rows.  A search that does not
-    pass its audit is a RuntimeError.
+    pass its audit is a RuntimeError; the recall is null if no sampled node has a
+    link.
     """
     classes, nodes = nodes_of(vectors)
     largest = nodes.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
     bits = max(1, min(24, int(np.ceil(np.log2(max(2, largest / p.bucket_nodes))))))
     plain = nodes.select("id", "grp", "vec")
 
-    lists, seed = None, p.seed
+    lists, seed, left = None, p.seed, p.tries
     while True:
         seeds = _new(_search(plain, bits, p, seed, _nearest(p.per_window), _EDGE), p)
         lists = written(_kept(seeds if lists is None else lists.unionByName(seeds), p))
@@ -433,21 +439,23 @@ def linked_vectors(vectors: DataFrame, p: Descent = Descent()) -> tuple[DataFram
             comps, seed = _joined_dense(plain, comps, dense, bits, p, seed)
             counts = counts.join(dense, "id", "left_anti").unionByName(_dense_counts(nodes, comps, dense, p))
         counts = written(counts)
-        recall = _audit(nodes, comps, counts, p)
-        if recall >= p.audit_recall:
+        near = lists.filter(F.col("sim") >= p.near).select(F.col("u").alias("id")).distinct()
+        recall, judged = _audit(nodes, comps, counts, near, p)
+        if recall is None or recall >= p.audit_recall:
             break
-        if 2 * p.tables > p.most_tables:
-            raise RuntimeError(f"the audit found all links of {recall:.4f} of the nodes only, below {p.audit_recall}, with {p.tables} tables")
-        p, seed = replace(p, tables=2 * p.tables), seed + 1
+        left -= 1
+        if not left:
+            raise RuntimeError(f"the audit found all links of {recall:.4f} of {judged} nodes only, below {p.audit_recall}, after {p.tries} searches for seeds")
+        seed += 1
 
     per_class = nodes.select("id", "weight").join(comps, "id").join(counts, "id", "left").select("id", "comp", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     rows = classes.dropDuplicates(["vec_id", "id"]).join(per_class, "id").select(F.col("vec_id").alias("of"), "comp", "links")
     rows = rows.groupBy("of").agg(F.min("comp").alias("comp"), F.max("links").alias("links"))  # a vec_id with several vectors
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     out = v.join(rows, v["vec_id"] == rows["of"], "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), recall
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), recall, judged
 
 
 def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, recall = linked_vectors(table(spark, sf_dir, "embeddings"))
-    return rows.withColumn("audited_recall", F.lit(recall))
+    rows, recall, judged = linked_vectors(table(spark, sf_dir, "embeddings"))
+    return rows.withColumns({"audited_recall": F.lit(recall).cast("double"), "audited_nodes": F.lit(judged).cast("long")})

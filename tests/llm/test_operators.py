@@ -129,8 +129,8 @@ def test_linked_vectors(spark):
         rows.append((i, v, int(i % 3) if i % 17 else None))
     rows += [(400, None, 1), (401, [0.0] * 16, 1), (402, [float("nan")] * 16, 1), (403, [None] * 16, 1), (404, [float("inf")] + [1.0] * 15, 1), (405, rows[1][1], rows[1][2])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit(0))
-    out, recall = neighbour_graph.linked_vectors(df)
-    assert recall >= 0.995
+    out, recall, judged = neighbour_graph.linked_vectors(df)
+    assert recall >= 0.995 and judged > 100
     assert {x.vec_id: (x.n_links, x.component_id) for x in out.collect()} == brute.linked_vectors(rows)
     assert neighbour_graph.linked_vectors(df.limit(0))[0].count() == 0
 
@@ -138,7 +138,7 @@ def test_linked_vectors(spark):
 def test_one_large_group_of_near_vectors(spark):
     r = np.random.default_rng(2)
     rows = [(i, (np.ones(8) + r.standard_normal(8) * 0.05).astype(np.float32).tolist(), 1) for i in range(900)]
-    out, _ = neighbour_graph.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    out, *_ = neighbour_graph.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
     assert {x.vec_id: (x.n_links, x.component_id) for x in out.collect()} == brute.linked_vectors(rows)
 
 
@@ -158,7 +158,7 @@ def test_links_come_from_the_lists(spark, monkeypatch):
     assert neighbour_graph.linked_vectors(twice)[0].count() == 21
     monkeypatch.setattr(neighbour_graph, "_descend", lambda lists, nodes, p: lists.limit(0))
     with pytest.raises(RuntimeError, match="audit"):
-        neighbour_graph.linked_vectors(df, neighbour_graph.Descent(most_tables=16))
+        neighbour_graph.linked_vectors(df, neighbour_graph.Descent(tries=1))
 
 
 def test_audit_sees_the_lost_links_of_small_groups(spark):
@@ -172,14 +172,41 @@ def test_audit_sees_the_lost_links_of_small_groups(spark):
     frame = lambda t: (spark.createDataFrame([(i, c) for i, (_, c) in t.items()], "id long, comp long"), spark.createDataFrame([(i, n) for i, (n, _) in t.items()], "id long, links long"))
     lost = truth | {i: (0, i) for i, _ in small}
     assert sum(n for n, _ in lost.values()) / sum(n for n, _ in truth.values()) > 0.995
-    assert neighbour_graph._audit(nodes, *frame(truth), p) == 1
-    assert neighbour_graph._audit(nodes, *frame(lost), p) < 0.5
+    near = nodes.select("id")
+    recall, judged = neighbour_graph._audit(nodes, *frame(truth), near, p)
+    assert recall == 1 and judged >= 120
+    assert neighbour_graph._audit(nodes, *frame(lost), near, p)[0] < 0.5
+
+
+def _tight_groups(size):
+    """Groups of ``size`` vectors whose members are all links of each other, as rows of one label."""
+    r = np.random.default_rng(11)
+    centres = r.standard_normal((480 // size, 32))
+    return [(g * size + k, (c + r.standard_normal(32) * 0.05).astype(np.float32).tolist(), 1) for g, c in enumerate(centres) for k in range(size)]
+
+
+@pytest.mark.parametrize("size", [20, 40])
+def test_the_joins_find_the_links(spark, monkeypatch, size):
+    """With the local joins off, seeds from all tries together don't pass the audit; with them every link is there."""
+    rows = _tight_groups(size)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    out, *_ = neighbour_graph.linked_vectors(df)
+    assert {x.vec_id: (x.n_links, x.component_id) for x in out.collect()} == brute.linked_vectors(rows)
+    monkeypatch.setattr(neighbour_graph, "_local_joins", lambda lists, nodes, p: spark.createDataFrame([], neighbour_graph._EDGE))
+    with pytest.raises(RuntimeError, match="audit"):
+        neighbour_graph.linked_vectors(df)
+
+
+def test_no_recall_without_links(spark):
+    """Vectors at right angles: nothing is known of the recall."""
+    out, recall, judged = neighbour_graph.linked_vectors(spark.createDataFrame([(i, np.eye(12)[i].tolist(), 1) for i in range(12)], "vec_id long, embedding array<double>, label int"))
+    assert (recall, judged, out.filter("n_links > 0").count()) == (None, 0, 0)
 
 
 def test_a_failed_audit_is_an_error(spark):
     rows = [(i, [1.0, i / 100], 1) for i in range(20)]
     with pytest.raises(RuntimeError, match="audit"):
-        neighbour_graph.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), neighbour_graph.Descent(audit_recall=1.1, most_tables=16))
+        neighbour_graph.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), neighbour_graph.Descent(audit_recall=1.1, tries=1))
 
 
 # 3
@@ -474,6 +501,16 @@ def test_chat_round_trip_of_hard_turns(spark):
     assert chat_format.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_a_very_long_conversation(spark):
+    """Many parts of pieces, strips cut inside wide letters, empty texts at the ends."""
+    rows = [(1, i, ("user", "assistant", "assistant")[i % 3], ("\U0001f600<+>" * (i % 11) + f" \\ {i}") if i % 7 else "") for i in range(5000)]
+    f = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))
+    got = f.withColumns({"t": chat_format.read_turns(F.col("formatted")), "loss": chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))}).first()
+    assert [tuple(t) for t in got.t] == [x[2:] for x in rows]
+    assert got.loss == "".join(x[3] for x in rows if x[2] == "assistant")
+    assert len(got.loss_spans) == sum(x[2] == "assistant" for x in rows)
+
+
 # 9
 def test_quality_rules_of_hard_rows(spark):
     docs = hard_documents(spark)
