@@ -23,6 +23,8 @@ HEAD, COLON, JOIN, END = "### ", ": ", "<+>", "</turn>\n"
 #: What is escaped in a text, and in a role besides.
 ESCAPES = [("\\", "\\b"), ("###", "\\h"), ("<+>", "\\j"), ("</turn>", "\\t")]
 ROLE_ESCAPES = [*ESCAPES, (":", "\\c")]
+#: Pieces whose places are summed together, and code points of the strips that loss spans are cut from.
+PART, STRIP = 256, 4096
 
 
 def _escape(c: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -33,6 +35,21 @@ def _unescape(c: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(p[1]), F.lit(p[0])), [*pairs[1:], pairs[0]], c)
 
 
+def _part_spans(pieces: Column) -> Column:
+    """Parts of ``PART`` pieces each: their size, and the spans under the loss mask from the part's start.
+
+    An array that grows is copied with each entry, so it grows within a part only.
+    """
+    none = F.array().cast("array<struct<start:long,length:long>>")
+    grown = lambda acc, p: F.struct(
+        (acc["size"] + F.length(p["s"])).alias("size"),
+        F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["size"].alias("start"), F.length(p["s"]).cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans"),
+    )
+    start = F.struct(F.lit(0).cast("long").alias("size"), none.alias("spans"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / PART).cast("int"))
+    return F.transform(numbers, lambda k: F.aggregate(F.slice(pieces, k * PART + 1, PART), start, grown))
+
+
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans (start, length; code points from 0).
 
@@ -67,16 +84,11 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         return F.concat(F.array(piece(F.concat(F.lit(HEAD), _escape(r["role"], ROLE_ESCAPES), F.lit(COLON)), no)), F.flatten(texts), F.array(piece(F.lit(END), no)))
 
     c = c.withColumn("pieces", F.flatten(F.transform("runs", block))).drop("runs")
-    none = F.lit(None).cast("array<struct<start:long,length:long>>")
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(none, F.array().cast("array<struct<start:long,length:long>>")).alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["s"])).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(p["s"]).cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    c = c.withColumn("parts", _part_spans(F.col("pieces")))
+    ends = F.aggregate("parts", F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + p["size"])))
+    # zip_with works out its arguments once a row; the last end has no part
+    moved = F.zip_with("parts", F.slice(ends, 1, F.size("parts")), lambda p, at: F.transform(p["spans"], lambda s: F.struct((s["start"] + at).alias("start"), s["length"].alias("length"))))
+    spans = F.flatten(moved)
     return c.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -87,12 +99,25 @@ def read_turns(formatted: Column) -> Column:
     at = lambda b: F.instr(body(b), COLON)
     role = lambda b: _unescape(F.substring(body(b), F.lit(1), at(b) - 1), ROLE_ESCAPES)
     texts = lambda b: F.split(F.substring(body(b), at(b) + len(COLON), F.length(b)), r"<\+>", -1)
-    return F.flatten(F.transform(blocks, lambda b: F.transform(texts(b), lambda t: F.struct(role(b).alias("role"), _unescape(t, ESCAPES).alias("text")))))
+    turn = lambda r, t: F.struct(r.alias("role"), _unescape(t, ESCAPES).alias("text"))
+    # a block's role is read once, not once a turn
+    return F.flatten(F.flatten(F.transform(blocks, lambda b: F.transform(F.array(role(b)), lambda r: F.transform(texts(b), lambda t: turn(r, t))))))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, without anything between the turns."""
-    return F.array_join(F.transform(spans, lambda s: _unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")), ESCAPES)), "")
+    """All text under the loss mask, unescaped, without anything between the turns.
+
+    A span is cut from the strips it lies in, as finding a place in the whole string takes longer the further in it is.
+    """
+    strips = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{STRIP}}}"), F.lit(0))
+
+    def cut(own: Column, s: Column) -> Column:
+        first, last = (F.floor(x / STRIP) for x in (s["start"], s["start"] + F.greatest(s["length"], F.lit(1)) - 1))
+        within = F.array_join(F.slice(own, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return F.substring(within, (s["start"] - first * STRIP + 1).cast("int"), s["length"].cast("int"))
+
+    texts = F.transform(F.array(strips), lambda own: F.transform(spans, lambda s: _unescape(cut(own, s), ESCAPES)))
+    return F.array_join(F.flatten(texts), "")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
