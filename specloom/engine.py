@@ -42,18 +42,19 @@ class KnowledgeBase:
     def health(self) -> dict:
         return {"status": "ok" if self.spark.range(1).count() == 1 else "down"}
 
-    def ingest(self, key: str, path: str) -> DataFrame:
+    def ingest(self, key: str, path: str, tombstone: bool = False) -> DataFrame:
         """Merge the ZIP archives under ``path``; a summary row an archive."""
         self._allow(key, "write")
-        return self.ingest_files(archive.read_archives(self.spark, path))
+        return self.ingest_files(archive.read_archives(self.spark, path), tombstone=tombstone)
 
-    def ingest_files(self, files: DataFrame, set_aside: bool = False) -> DataFrame:
+    def ingest_files(self, files: DataFrame, set_aside: bool = False, tombstone: bool = False) -> DataFrame:
         """Merge ``files`` of archives; a summary row an archive.
 
         A bad archive is an error, or with ``set_aside`` a row of
         ``rejected()``, and the others are merged.  Dimensions that aren't
         whitelisted, and ids that are taken, are refused before anything is
-        stored.
+        stored.  With ``tombstone``, leaves whose file is gone from their
+        capability's archive get a last version without a body.
         """
         files = written(files)
         found = written(archive.manifests(files))
@@ -64,7 +65,7 @@ class KnowledgeBase:
             files, found = files.join(bad, "archive", "left_anti"), found.filter("error IS NULL")
         found = archive.require_valid(found)
         state = self.store.load()
-        new = M.merge_parts(state, tree.build_nodes(files, found), found, tree.unreached(files), self.embedder, self.settings.chunk_words, self.settings.chunk_overlap)
+        new = M.merge_parts(state, tree.build_nodes(files, found), found, tree.unreached(files), self.embedder, self.settings.chunk_words, self.settings.chunk_overlap, tombstone)
         if new["ingestion"].isEmpty():
             return new["summary"]
         unknown = C.missing(new["node"], "dimension_code", state["spec_dimension"], "code").first()

@@ -33,6 +33,10 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
+#: The status of a leaf whose file is no longer in its capability's archive.
+VANISHED = "vanished"
+
+
 def current_leaves(node: DataFrame) -> DataFrame:
     """Latest version that isn't superseded of each leaf key (null versions count as latest)."""
     live = node.filter((F.col("status") != "superseded") & F.col("dimension_code").isNotNull())
@@ -124,12 +128,48 @@ def blocking(state: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
-def merge_parts(state: dict[str, DataFrame], staged: DataFrame, manifests: DataFrame, unreached: DataFrame, embedder: V.Embedder, size: int = 200, overlap: int = 40) -> dict[str, DataFrame]:
+def tombstones(node: DataFrame, staged: DataFrame, archives: DataFrame) -> DataFrame:
+    """archive and a node row for each current leaf of ``node`` whose file is gone: a version without a body, of status ``VANISHED``.
+
+    ``node`` has what is stored once ``archives`` (archive, capability_slug,
+    source_commit) are merged.  The last archive of a capability, by name, says
+    which files there are; leaves of its business functions count, also of
+    those that it no longer has.  A leaf that has vanished already stays as it
+    is, one that comes back is a new version.  Capabilities without an archive
+    are not touched.
+    """
+    first = F.row_number().over(W.partitionBy("capability_slug").orderBy(F.desc("archive")))
+    last = archives.withColumn("_rn", first).filter("_rn = 1").select("archive", "capability_slug", F.col("source_commit").alias("_commit"))
+    caps = node.filter("kind = 'capability'").select("id", F.col("slug").alias("capability_slug")).join(last, "capability_slug").select("id", "archive", "_commit")
+    fns = node.filter("kind = 'business_function'").select("id", F.col("parent_id").alias("_cap"), F.col("slug").alias("_function"))
+    fns = fns.join(caps.withColumnRenamed("id", "_cap"), "_cap").select("id", "archive", "_commit", "_function")
+    own = caps.withColumn("_function", F.lit(None).cast("string")).unionByName(fns)
+    own = written(own.select(F.col("id").alias("parent_id"), "archive", "_commit", F.coalesce("_function", F.lit("")).alias("_function"), F.col("_function").isNotNull().alias("_below")))
+
+    above = staged.filter("kind IN ('capability', 'business_function') AND dimension_code IS NULL")
+    above = above.select("archive", F.col("local_id").alias("parent_local_id"), (F.col("kind") != "capability").alias("_below"), F.when(F.col("kind") == "capability", "").otherwise(F.col("slug")).alias("_function"))
+    place = ["archive", "_below", "_function", "slug", "dimension_code"]
+    here = staged.filter("dimension_code IS NOT NULL").select("archive", "parent_local_id", "slug", "dimension_code").join(above, ["archive", "parent_local_id"]).select(place).distinct()
+
+    slim = node.select("id", "kind", *KEY, "version", "status").join(_light(own), "parent_id")
+    live = current_leaves(slim).filter(F.col("status") != VANISHED)
+    version = (F.coalesce("version", F.lit(0)) + 1).cast("int")
+    return live.join(here, place, "left_anti").select(
+        "archive", node_id(F.col("parent_id"), F.lit("leaf"), F.col("slug"), F.col("dimension_code"), version).alias("id"), "kind", *KEY, version.alias("version"),
+        F.col("id").alias("supersedes_id"), F.col("_commit").alias("source_commit"), F.lit(VANISHED).alias("status"), F.current_timestamp().alias("created_at"),
+    )
+
+
+def merge_parts(
+    state: dict[str, DataFrame], staged: DataFrame, manifests: DataFrame, unreached: DataFrame, embedder: V.Embedder, size: int = 200, overlap: int = 40, tombstone: bool = False
+) -> dict[str, DataFrame]:
     """What merging a batch adds: rows of ``node``, ``chunk`` and ``ingestion``, ``closed`` (ids of nodes now superseded) and ``summary``.
 
     Archives are taken in order of their name, files in order of their path.
     An archive whose capability and commit were merged before changes nothing;
-    its summary is the stored one, with idempotent_hit.
+    its summary is the stored one, with idempotent_hit.  With ``tombstone``,
+    stored leaves whose file an archive no longer has get a version that says
+    so (``tombstones``), else they stay as they are.
 
     The batch and its history are written once.  Stored leaves are narrowed to
     the batch's keys before anything is sorted, and content_hash, which every
@@ -157,6 +197,14 @@ def merge_parts(state: dict[str, DataFrame], staged: DataFrame, manifests: DataF
     changed = history.filter(is_new)
     bodies = changed.join(batch.select("_row", "body", "attrs"), "_row")
     closed = changed.filter("_current IS NOT NULL").select(F.col("_current").alias("id")).distinct()
+    added = conform(containers.withColumn("created_at", F.current_timestamp()), NODE).unionByName(conform(bodies, NODE))
+    gone = None
+    if tombstone:
+        slim = ["id", "kind", *KEY, "version", "status"]
+        after = close_versions(node.select(slim), closed).unionByName(containers.select("id", "kind", "parent_id", "slug", *[F.lit(None).alias(c) for c in slim[4:]]))
+        gone = written(tombstones(after.unionByName(changed.select(slim)), batch, fresh))
+        over = gone.select(F.col("supersedes_id").alias("id"))  # stored, or made by an earlier archive of the batch
+        closed, added = closed.unionByName(over).distinct(), close_versions(added, _light(over)).unionByName(conform(gone, NODE))
 
     count = lambda what: F.coalesce(F.count_if(F.col("outcome") == what), F.lit(0)).cast("int")
     per = history.groupBy("archive").agg(count("created").alias("nodes_created"), count("versioned").alias("nodes_versioned"), count("skipped").alias("nodes_skipped"), F.array_sort(F.collect_set("dimension_code")).alias("dimensions_seen"))
@@ -164,9 +212,10 @@ def merge_parts(state: dict[str, DataFrame], staged: DataFrame, manifests: DataF
     lost = unreached.groupBy("archive").agg(F.array_sort(F.collect_list("path")).alias("sources_unreached"))
     none = F.array().cast("array<string>")
     zero = F.lit(0)
+    lack = fresh.select("archive").limit(0).withColumn("nodes_vanished", zero) if gone is None else gone.groupBy("archive").agg(F.count(F.lit(1)).cast("int").alias("nodes_vanished"))
     summary = written(
-        fresh.join(per, "archive", "left").join(lost, "archive", "left").select(
-            "archive", "capability_slug", "source_commit", *[F.coalesce(c, zero).alias(c) for c in ("nodes_created", "nodes_versioned", "nodes_skipped")],
+        fresh.join(per, "archive", "left").join(lost, "archive", "left").join(lack, "archive", "left").select(
+            "archive", "capability_slug", "source_commit", *[F.coalesce(c, zero).alias(c) for c in ("nodes_created", "nodes_versioned", "nodes_skipped", "nodes_vanished")],
             F.coalesce("dimensions_seen", none).alias("dimensions_seen"), F.coalesce("sources_unreached", none).alias("sources_unreached"), F.lit(False).alias("idempotent_hit"),
         )
     )
@@ -175,7 +224,7 @@ def merge_parts(state: dict[str, DataFrame], staged: DataFrame, manifests: DataF
     repeats = manifests.join(fresh.select("archive"), "archive", "left_anti").join(held, ["capability_slug", "source_commit"])
     repeats = repeats.select("archive", F.col("summary").withField("idempotent_hit", F.lit(True)).alias("s")).select("archive", "s.*")
     return {
-        "node": conform(containers.withColumn("created_at", F.current_timestamp()), NODE).unionByName(conform(bodies, NODE)),
+        "node": added,
         "chunk": chunk_rows(bodies.select("id", "body"), embedder, size, overlap),
         "ingestion": entries,
         "closed": closed,
@@ -183,9 +232,11 @@ def merge_parts(state: dict[str, DataFrame], staged: DataFrame, manifests: DataF
     }
 
 
-def merge(state: dict[str, DataFrame], staged: DataFrame, manifests: DataFrame, unreached: DataFrame, embedder: V.Embedder, size: int = 200, overlap: int = 40) -> tuple[dict[str, DataFrame], DataFrame]:
+def merge(
+    state: dict[str, DataFrame], staged: DataFrame, manifests: DataFrame, unreached: DataFrame, embedder: V.Embedder, size: int = 200, overlap: int = 40, tombstone: bool = False
+) -> tuple[dict[str, DataFrame], DataFrame]:
     """(new state, summary) of merging a batch, by ``merge_parts``."""
-    new = merge_parts(state, staged, manifests, unreached, embedder, size, overlap)
+    new = merge_parts(state, staged, manifests, unreached, embedder, size, overlap, tombstone)
     node = close_versions(state["node"], _light(new["closed"])).unionByName(new["node"])
     grown = {t: state[t].unionByName(new[t]) for t in ("chunk", "ingestion")}
     return state | grown | {"node": node}, new["summary"]

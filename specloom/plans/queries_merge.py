@@ -113,16 +113,26 @@ def merge_nodes(spark, d):
     return state["node"].select("id", "kind", "parent_id", "slug", "dimension_code", "version", "supersedes_id", "source_commit", "status", "content_hash")
 
 
+def merge_vanished(spark, d):
+    """The nodes after a second commit without the French files: a version says that a leaf's file is gone."""
+    state, files = empty_state(spark), V.files(spark, d)
+    for commit, own in (("c1", files), ("c2", files.filter(~F.col("lang").eqNullSafe("fr")))):
+        found = V.manifests(spark, d, commit)
+        state, _ = M.merge(state, T.build_nodes(own, found), found, T.unreached(own), _EMBEDDER, tombstone=True)
+    return state["node"].select("id", "kind", "parent_id", "slug", "dimension_code", "version", "supersedes_id", "source_commit", "status", "content_hash")
+
+
 def merge_chunks(spark, d):
     state, _ = _merged(spark, d)
     return state["chunk"].groupBy("node_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("ord").alias("last_ord"))
 
 
 _HASH = "sha256(concat_ws(chr(31), {}))"
+_SECOND = "SELECT * REPLACE (CASE WHEN lang = 'en' THEN upper(body) ELSE body END AS body, 'c2' AS source_commit) FROM keyed"
 _MERGED = f""", keyed AS (
   SELECT archive, path, kind, slug, dim, body, lang, 'c1' AS source_commit, {_HASH.format("'', 'capability', 'cap-' || archive, '', ''")} AS cap_id, fn FROM classified WHERE dim IS NOT NULL AND name <> 'kb-manifest.yaml'
 ), commits AS (
-  SELECT * FROM keyed UNION ALL SELECT * REPLACE (CASE WHEN lang = 'en' THEN upper(body) ELSE body END AS body, 'c2' AS source_commit) FROM keyed
+  SELECT * FROM keyed UNION ALL {_SECOND}
 ), placed AS (
   SELECT *, CASE WHEN fn IS NULL THEN cap_id ELSE {_HASH.format("cap_id, 'business_function', fn, '', ''")} END AS parent_id FROM commits
 ), prev AS (
@@ -158,6 +168,21 @@ UNION ALL SELECT id, kind, parent_id, slug, dim, version, lag(id) OVER w, source
 FROM leaves WINDOW w AS (PARTITION BY parent_id, slug, dim ORDER BY version)""",
     *_PATH,
 )
+_VANISHED_SQL = with_views(
+    _MERGED.replace(_SECOND, "SELECT * REPLACE ('c2' AS source_commit) FROM keyed WHERE lang IS DISTINCT FROM 'fr'")
+    + f""", gone AS (
+  SELECT parent_id, slug, dim, max(version) + 1 AS version, arg_max(kind, version) AS kind FROM leaves l
+  WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.source_commit = 'c2' AND p.parent_id = l.parent_id AND p.slug = l.slug AND p.dim = l.dim) GROUP BY parent_id, slug, dim
+), versions AS (
+  SELECT id, kind, parent_id, slug, dim, version, source_commit, sha256(body) AS content_hash FROM leaves
+  UNION ALL SELECT {_HASH.format("parent_id, 'leaf', slug, dim, version::VARCHAR")}, kind, parent_id, slug, dim, version, 'c2', NULL FROM gone
+) SELECT DISTINCT cap_id AS id, 'capability' AS kind, NULL::VARCHAR AS parent_id, 'cap-' || archive AS slug, NULL::VARCHAR AS dimension_code, NULL::INTEGER AS version,
+       NULL::VARCHAR AS supersedes_id, NULL::VARCHAR AS source_commit, NULL::VARCHAR AS status, NULL::VARCHAR AS content_hash FROM (SELECT {_HASH.format("'', 'capability', 'cap-' || archive, '', ''")} AS cap_id, archive FROM files)
+UNION ALL SELECT DISTINCT parent_id, 'business_function', cap_id, fn, NULL, NULL, NULL, NULL, NULL, NULL FROM placed WHERE fn IS NOT NULL
+UNION ALL SELECT id, kind, parent_id, slug, dim, version, lag(id) OVER w, source_commit, CASE WHEN lead(id) OVER w IS NOT NULL THEN 'superseded' WHEN content_hash IS NULL THEN 'vanished' ELSE 'approved' END, content_hash
+FROM versions WINDOW w AS (PARTITION BY parent_id, slug, dim ORDER BY version)""",
+    *_PATH,
+)
 _CHUNKS_SQL = with_views(
     _MERGED
     + r""", sized AS (SELECT id, len(list_filter(regexp_split_to_array(body, '\s+'), lambda x: x <> '')) AS n FROM leaves)
@@ -200,6 +225,7 @@ REGISTERED = [
     ("merge_summary", merge_summary, _SUMMARY_SQL),
     ("merge_repeat", merge_repeat, _REPEAT_SQL),
     ("merge_nodes", merge_nodes, _NODES_SQL),
+    ("merge_vanished", merge_vanished, _VANISHED_SQL),
     ("merge_chunks", merge_chunks, _CHUNKS_SQL),
     (
         "ingest_archives",

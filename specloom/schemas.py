@@ -13,7 +13,7 @@ CHUNK = "chunk_id string, node_id string, ord int, embedding array<float>, tier
 LINK = f"id string, src_id string, dst_id string, dst_urn string, dst_ref string, rel string, pending boolean, attrs {ATTRS}, created_at timestamp"
 DIMENSION = "code string, label string, description string"
 LINK_TYPE = "code string, label string, description string, directed boolean"
-SUMMARY = "capability_slug string, source_commit string, nodes_created int, nodes_versioned int, nodes_skipped int, dimensions_seen array<string>, sources_unreached array<string>, idempotent_hit boolean"
+SUMMARY = "capability_slug string, source_commit string, nodes_created int, nodes_versioned int, nodes_skipped int, nodes_vanished int, dimensions_seen array<string>, sources_unreached array<string>, idempotent_hit boolean"
 LEDGER = f"capability_slug string, source_commit string, summary struct<{SUMMARY.replace(' ', ':').replace(',:', ',')}>, created_at timestamp"
 FILES = "archive string, ord int, path string, body string"
 TABLES = {"node": NODE, "chunk": CHUNK, "spec_link": LINK, "spec_dimension": DIMENSION, "link_type": LINK_TYPE, "ingestion": LEDGER}

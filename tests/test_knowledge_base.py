@@ -207,3 +207,34 @@ def test_spec_has_no_limit_on_rows(spark):
     finally:
         spark.conf.set("spark.sql.cteRecursionRowLimit", old)
     assert R.spec(deep, "0").count() == 7
+
+
+def test_vanished_files_get_a_last_version(kb, tmp_path):
+    """Only with tombstones, once, in their own capability; a file that comes back is a new version."""
+    commit = lambda name, c, gone=(): zipped(tmp_path / f"{name}.zip", {k: v for k, v in BASE.items() if k not in gone} | {"x/kb-manifest.yaml": MANIFEST.replace("abc", c)})
+    rules = "x/requirements/business-fct-pay/business-rules.md"
+    kb.ingest("write-key", commit("a", "c1"))
+    other = MANIFEST.replace("billing", "other")
+    kb.ingest("write-key", zipped(tmp_path / "o.zip", {"y/kb-manifest.yaml": other, "y/documents/03-constraints/c.md": "stays"}))
+    assert kb.ingest("write-key", commit("b", "c2", [rules])).first().nodes_vanished == 0
+    assert kb.store.load()["node"].filter("status = 'vanished'").isEmpty()
+    assert kb.ingest("write-key", commit("c", "c3", [rules]), tombstone=True).first().nodes_vanished == 1
+    assert kb.ingest("write-key", commit("d", "c4", [rules]), tombstone=True).first().nodes_vanished == 0
+    chain = lambda: [(r.version, r.status, r.body) for r in kb.store.load()["node"].filter("dimension_code = 'business-rules'").orderBy("version").collect()]
+    assert chain() == [(1, "superseded", "Pay in time"), (2, "vanished", None)]
+    back = kb.ingest("write-key", commit("e", "c5"), tombstone=True).first()
+    assert (back.nodes_versioned, back.nodes_skipped, back.nodes_vanished) == (1, 1, 0)
+    assert chain() == [(1, "superseded", "Pay in time"), (2, "superseded", None), (3, "approved", "Pay in time")]
+    assert kb.store.load()["node"].filter("status = 'approved' AND body = 'stays'").count() == 1
+
+
+def test_files_that_vanish_within_a_batch(kb, tmp_path):
+    """The last archive of a capability says which files there are; what an earlier one of the batch brought is superseded."""
+    rules = "x/requirements/business-fct-pay/business-rules.md"
+    (tmp_path / "in").mkdir()
+    zipped(tmp_path / "in" / "a.zip", BASE)
+    zipped(tmp_path / "in" / "b.zip", {k: v for k, v in BASE.items() if k != rules} | {"x/kb-manifest.yaml": MANIFEST.replace("abc", "c2")})
+    found = {r.archive[-5:]: r.nodes_vanished for r in kb.ingest("write-key", str(tmp_path / "in"), tombstone=True).collect()}
+    assert found == {"a.zip": 0, "b.zip": 1}
+    rows = kb.store.load()["node"].filter("dimension_code = 'business-rules'").orderBy("version").collect()
+    assert [(r.version, r.status, r.source_commit, r.supersedes_id) for r in rows] == [(1, "superseded", "abc", None), (2, "vanished", "c2", rows[0].id)]

@@ -9,7 +9,7 @@ def test_query_equals_its_sql(spark, name):
     assert_same(registry.QUERIES[name](spark, SF), connect().execute(registry.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["merge_nodes", "merge_summary", "ingest_archives", "stale_chunks", "whitelist_merge", "spec_subtree", "adoc_attrs"])
+@pytest.mark.parametrize("name", ["merge_nodes", "merge_summary", "merge_vanished", "ingest_archives", "stale_chunks", "whitelist_merge", "spec_subtree", "adoc_attrs"])
 def test_query_equals_its_sql_on_more_rows(spark, name):
     sf = SF.replace("0.001", "0.01")
     assert_same(registry.QUERIES[name](spark, sf), connect(sf).execute(registry.ORACLE_SQL[name]).df())
