@@ -181,7 +181,7 @@ def test_audit_sees_the_lost_links_of_small_groups(spark):
 def _tight_groups(size):
     """Groups of ``size`` vectors whose members are all links of each other, as rows of one label."""
     r = np.random.default_rng(11)
-    centres = r.standard_normal((480 // size, 32))
+    centres = r.standard_normal((1200 // size, 32))
     return [(g * size + k, (c + r.standard_normal(32) * 0.05).astype(np.float32).tolist(), 1) for g, c in enumerate(centres) for k in range(size)]
 
 
