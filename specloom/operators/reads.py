@@ -38,15 +38,22 @@ def search(node: DataFrame, chunk: DataFrame, query: Sequence[float], dimension:
     return hits.orderBy(F.col("score").desc_nulls_last(), "id").limit(k)
 
 
+_TREE = ["id", "parent_id", "kind", "slug", "dimension_code", "body", "version", "status"]
+
+
+#: Levels of nodes with children below a head that are walked by joins: capabilities have business functions, and those may have some.
+SPEC_DEPTH = 3
+
+
 def subtree(node: DataFrame, head: str, max_depth: int = 100) -> DataFrame:
     """``head`` and all nodes below it, with their depth; a recursive query of at most ``max_depth`` levels."""
-    spark = node.sparkSession
-    return spark.sql(
+    cols = [c for c in _TREE if c in node.columns]
+    return node.sparkSession.sql(
         f"""
-        WITH RECURSIVE below (id, parent_id, kind, slug, dimension_code, body, version, status, depth) MAX RECURSION LEVEL {int(max_depth)} AS (
-          SELECT id, parent_id, kind, slug, dimension_code, body, version, status, 0 FROM {{node}} WHERE id = :head
+        WITH RECURSIVE below ({", ".join(cols)}, depth) MAX RECURSION LEVEL {int(max_depth)} AS (
+          SELECT {", ".join(cols)}, 0 FROM {{node}} WHERE id = :head
           UNION ALL
-          SELECT n.id, n.parent_id, n.kind, n.slug, n.dimension_code, n.body, n.version, n.status, b.depth + 1
+          SELECT {", ".join(f"n.{c}" for c in cols)}, b.depth + 1
           FROM {{node}} n JOIN below b ON n.parent_id = b.id
         )
         SELECT * FROM below
@@ -56,16 +63,10 @@ def subtree(node: DataFrame, head: str, max_depth: int = 100) -> DataFrame:
     )
 
 
-_TREE = ["id", "parent_id", "kind", "slug", "dimension_code", "body", "version", "status"]
-#: Levels below a capability: business functions, leaves, and one that may be below those.
-SPEC_DEPTH = 3
-
-
 def subtree_levels(node: DataFrame, head: str, depth: int) -> DataFrame:
     """The same for a tree of a known depth: one join a level, and no limit on rows.
 
-    The node table is a tree of three levels below the capability at most, so
-    the plan is fixed and Spark can pick each join by its side's size.
+    The plan is fixed and Spark can pick each join by its side's size.
     """
     cols = [c for c in _TREE if c in node.columns]
     level = node.filter(F.col("id") == head).select(*cols, F.lit(0).alias("depth"))
@@ -84,21 +85,24 @@ def subtree_levels(node: DataFrame, head: str, depth: int) -> DataFrame:
 def spec(node: DataFrame, head: str, dimension: str | None = None, status: str | None = None) -> DataFrame:
     """Nodes with a body under ``head`` (itself included) of one status; an unknown head gives none.
 
-    One join a level, as a recursive query has a limit on rows; only ids go
-    down the levels, and bodies join the ids found after the filters.  A tree
-    that is deeper than ``SPEC_DEPTH``, or a cycle, is left to the recursive
-    query.
+    Nodes that have children are few: they are written once, as ids, and only
+    they are walked, by one join a level or, where they go deeper than
+    ``SPEC_DEPTH``, by the recursive query.  The others are read once, after the
+    filters, and meet those found by their parent.  A tree may have any depth up
+    to that of ``subtree``; a cycle below the head is an error.
     """
-    tree = node.select("id", "parent_id")
-    deeper = subtree_levels(tree, head, SPEC_DEPTH + 1).filter(F.col("depth") > SPEC_DEPTH)
+    edges = node.select("id", "parent_id")
+    parents = edges.select(F.col("parent_id").alias("id")).filter("id IS NOT NULL").distinct()
+    inner = written(edges.join(parents, "id", "left_semi"))
+    walked = subtree_levels(inner, head, SPEC_DEPTH)
+    if not walked.filter(F.col("depth") == SPEC_DEPTH).isEmpty():
+        walked = subtree(inner, head)
+    above = walked.select(F.col("id").alias("_above"))
     wanted = F.col("body").isNotNull() & (F.col("status") == (status if status is not None else "approved"))
-    if deeper.isEmpty():
-        # a node is on one level, so that ids are not repeated
-        rows = node.filter(wanted).join(subtree_levels(tree, head, SPEC_DEPTH).select("id"), "id", "left_semi")
-    else:
-        rows = subtree(node, head).filter(wanted)
     if dimension is not None:
-        rows = rows.filter(F.col("dimension_code") == dimension)
+        wanted &= F.col("dimension_code") == dimension
+    found = node.filter(wanted).join(above, F.col("parent_id") == F.col("_above"), "left")
+    rows = found.filter((F.col("id") == head) | F.col("_above").isNotNull())
     cols = ["id", "kind", "slug", "dimension_code", "body", "version", "status"]
     return rows.select(cols).orderBy(F.col("dimension_code").asc_nulls_last(), F.col("slug").asc_nulls_last(), F.col("version").desc_nulls_first())
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..schemas import TABLES, empty_state
 
@@ -84,6 +85,35 @@ class SnapshotStore:
         rows = self._rows(table, have, self.deletions().get(table, []))
         return rows.join(wanted, column, "left_semi")
 
+    def changes(self, table: str, old: int, new: int | None = None) -> DataFrame:
+        """Rows of ``table`` that version ``old`` has and ``new`` (the current one) has not, and the reverse, with ``change``: removed or added.
+
+        Rows are compared as wholes and as often as they are there, so a row
+        that was written anew without a change is in neither.  A folder that
+        both versions name is read only if deletions that one of them lacks name
+        rows of it.
+        """
+        have, gone = [self.folders(v).get(table, []) for v in (old, new)], [self.deletions(v).get(table, []) for v in (old, new)]
+        plain = lambda df: df.select(*[F.array_sort(F.map_entries(c)).alias(c) if isinstance(df.schema[c].dataType, MapType) else F.col(c) for c in self.spark.createDataFrame([], TABLES[table]).columns])
+
+        def only(mine: int) -> DataFrame:
+            """Rows of one version that are not in the other by folder or deletion."""
+            parts = [plain(self.read(table, [f for f in have[mine] if f not in have[1 - mine]], gone[mine]))]
+            more = [f for f in gone[1 - mine] if f not in gone[mine]]
+            if more:
+                named = self.spark.read.schema("_file string, _index long").parquet(*[f"{self.root}/data/{name}/{table}" for name in more])
+                # folder names, of which the pointer holds the whole list anyway
+                touched = {r[0] for r in named.select(F.substring_index("_file", "/", 1)).distinct().collect()}
+                both = [f for f in have[mine] if f in have[1 - mine] and f in touched]
+                if both:
+                    parts.append(plain(self._rows(table, both, gone[mine]).join(named, ["_file", "_index"], "left_semi")))
+            return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+        before, after = only(0), only(1)
+        out = before.exceptAll(after).withColumn("change", F.lit("removed")).unionByName(after.exceptAll(before).withColumn("change", F.lit("added")))
+        maps = [f.name for f in self.spark.createDataFrame([], TABLES[table]).schema if isinstance(f.dataType, MapType)]
+        return out.withColumns({c: F.map_from_entries(c) for c in maps}) if maps else out
+
     def save(self, replace: dict[str, DataFrame], append: dict[str, DataFrame] | None = None, delete: dict[str, DataFrame] | None = None) -> int:
         """A new version: tables of ``replace`` anew, rows of ``append`` in more folders, the rows of ``delete`` (_file, _index) gone."""
         version, now = (self.versions() or [0])[-1] + 1, self.folders()
