@@ -36,7 +36,7 @@ class CellIndex:
         order = F.xxhash64(F.lit(seed), "embedding")
         sample = unit(usable.select("embedding").orderBy(order).limit(sample_rows))
         if sample.isEmpty():
-            usable.withColumn("cell", F.lit(0)).write.partitionBy("cell").parquet(f"{self.root}/chunks")
+            usable.withColumn("cell", F.lit(0)).write.parquet(f"{self.root}/chunks")  # a folder a cell would leave no schema to read
             self.spark.createDataFrame([], "cell int, centroid array<double>").write.parquet(f"{self.root}/centroids")
             return self
         model = KMeans(k=max(2, cells), distanceMeasure="cosine", seed=seed, maxIter=10, featuresCol="_unit", predictionCol="cell").fit(sample)

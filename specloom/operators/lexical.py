@@ -45,15 +45,17 @@ class LexicalIndex:
 
     def build(self, docs: DataFrame, block_docs: int = 128) -> LexicalIndex:
         """Index ``docs`` (id, text); ids are unique and not null, texts may be null or empty.  Extra columns are ignored."""
+        n_docs = docs.count()
+        n_blocks = max(1, -(-n_docs // block_docs))
         each = docs.select("id", terms(F.col("text")).alias("terms"))
-        totals = each.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).cast("long").alias("words"))
-        totals.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / block_docs)).cast("long")).coalesce(1).write.parquet(f"{self.root}/totals")
-        t = self.read("totals").first()
         one = each.select("id", F.size("terms").alias("words"), F.explode("terms").alias("term"))
         counted = one.groupBy("id", "words", "term").agg(F.count(F.lit(1)).alias("tf"))
-        placed = counted.select("term", F.pmod(F.xxhash64("id"), F.lit(t["blocks"])).alias("block"), "id", "tf", "words")
+        placed = counted.select("term", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"), "id", "tf", "words")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         placed.repartitionByRange(n, "term", "block").sortWithinPartitions("term", "block").write.option("compression", "zstd").parquet(f"{self.root}/postings")
+        words = self.read("postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("words"))
+        words.select(F.lit(n_docs).cast("long").alias("n"), "words", F.lit(n_blocks).cast("long").alias("blocks")).coalesce(1).write.parquet(f"{self.root}/totals")
+        t = self.read("totals").first()
         mean = F.lit(max(1, t["words"]) / max(1, t["n"]))
         blocks = self.read("postings").groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(self._gain(mean)).alias("top"))
         blocks.repartitionByRange(n, "term", "block").sortWithinPartitions("term", "block").write.option("compression", "zstd").parquet(f"{self.root}/blocks")
