@@ -15,6 +15,8 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Terms of all queries up to which the scan is told them, so that it skips row groups.
 MOST_LITERALS = 1000
+#: Weights of all queries' terms, in rows, up to which they are broadcast.
+MOST_BROADCAST = 100_000
 
 
 def terms(text: Column) -> Column:
@@ -94,9 +96,14 @@ class LexicalIndex:
             postings = postings.filter(F.col("term").isin(few))
         if among is not None:
             postings = postings.join(among.select("id"), "id", "left_semi")
-        wanted = weights.join(blocks, "query_id")
         gain = self._gain(F.lit(max(1, t["words"]) / max(1, t["n"])))
-        hits = postings.join(wanted, ["term", "block"]).groupBy("query_id", "id").agg(F.sum(F.col("idf") * gain).alias("score"))
+        if weights.count() <= MOST_BROADCAST:
+            # postings move once, to their block, and a block's scores are summed there
+            own = blocks.groupBy("block").agg(F.collect_set("query_id").alias("_queries"))
+            here = postings.join(own.hint("shuffle_hash"), "block").join(F.broadcast(weights), "term")
+            hits = here.filter(F.array_contains("_queries", F.col("query_id"))).groupBy("block", "query_id", "id").agg(F.sum(F.col("idf") * gain).alias("score")).drop("block")
+        else:
+            hits = postings.join(weights.join(blocks, "query_id"), ["term", "block"]).groupBy("query_id", "id").agg(F.sum(F.col("idf") * gain).alias("score"))
         return hits.withColumn("score", F.round("score", 6))
 
     def search(self, queries: DataFrame, k: int = 12, among: DataFrame | None = None) -> DataFrame:
