@@ -15,8 +15,10 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Terms of all queries up to which the scan is told them, so that it skips row groups.
 MOST_LITERALS = 1000
-#: Weights of all queries' terms, in rows, up to which they are broadcast.
+#: Weights of all queries' terms, and blocks, in rows, up to which they are broadcast.
 MOST_BROADCAST = 100_000
+#: Documents that a task indexes, and scores that one sums, if there are enough of them.
+TASK_DOCS, TASK_SCORES = 4096, 2_000_000
 
 
 def terms(text: Column) -> Column:
@@ -26,12 +28,14 @@ def terms(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Tables under ``root``: postings (term, block, id, tf, words), blocks (term, block, n, top) and totals (n, words, blocks).
-
-    Documents are dealt to blocks by a hash of their id.  ``top`` is the most
-    that one document of a block gets from a term, without the term's weight,
-    so a sum of tops bounds every score in a block.  Postings lie in order of
-    term and block; a term that is in every document spans many files.
+    """Tables under ``root``: postings (term, block, total, id, tf, words; the last three are arrays), blocks (term, block, n, top) and totals (n, words, blocks).
+
+    Documents are dealt to blocks by a hash of their id, and a row of postings
+    holds the documents of a block with a term, which are a few hundred at most.
+    ``top`` is the most that one document of a block gets from a term, without
+    the term's weight, so a sum of tops bounds every score in a block.  A task
+    writes some blocks, their rows in order of term and block; so texts move
+    once and postings never, and a search for few terms skips row groups.
     """
 
     spark: SparkSession
@@ -42,27 +46,35 @@ class LexicalIndex:
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{table}")
 
-    def _gain(self, mean: Column) -> Column:
-        return F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("words") / mean))
+    def _tasks(self, least: int) -> int:
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), least)
+
+    def _gains(self, mean: float) -> Column:
+        """What each document of a row of postings gets from the term, without its weight."""
+        return F.zip_with("tf", "words", lambda tf, words: tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * words / F.lit(mean))))
 
     def build(self, docs: DataFrame, block_docs: int = 128) -> LexicalIndex:
         """Index ``docs`` (id, text); ids are unique and not null, texts may be null or empty.  Extra columns are ignored."""
         n_docs = docs.count()
         n_blocks = max(1, -(-n_docs // block_docs))
-        each = docs.select("id", terms(F.col("text")).alias("terms"))
-        one = each.select("id", F.size("terms").alias("words"), F.explode("terms").alias("term"))
-        counted = one.groupBy("id", "words", "term").agg(F.count(F.lit(1)).alias("tf"))
-        placed = counted.select("term", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"), "id", "tf", "words")
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        placed.repartitionByRange(n, "term", "block").sortWithinPartitions("term", "block").write.option("compression", "zstd").parquet(f"{self.root}/postings")
-        words = self.read("postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("words"))
+        placed = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).repartition(self._tasks(n_docs // TASK_DOCS), "block")
+        each = placed.select("block", "id", terms(F.col("text")).alias("terms"))
+        one = each.select("block", "id", F.size("terms").alias("words"), F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")  # a plain explode would have texts split before the move too, for a filter
+        # both groupings stay in their task, as a block does
+        counted = one.groupBy("block", "term", "id", "words").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        packed = counted.groupBy("block", "term").agg(F.collect_list(F.struct("id", "tf", "words")).alias("_docs"), F.sum("tf").alias("total"))
+        rows = packed.select("term", "block", "total", *[F.col(f"_docs.{c}").alias(c) for c in ("id", "tf", "words")])
+        rows.sortWithinPartitions("term", "block").write.option("compression", "zstd").parquet(f"{self.root}/postings")
+        words = self.read("postings").agg(F.coalesce(F.sum("total"), F.lit(0)).cast("long").alias("words"))
         words.select(F.lit(n_docs).cast("long").alias("n"), "words", F.lit(n_blocks).cast("long").alias("blocks")).coalesce(1).write.parquet(f"{self.root}/totals")
-        t = self.read("totals").first()
-        mean = F.lit(max(1, t["words"]) / max(1, t["n"]))
-        blocks = self.read("postings").groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(self._gain(mean)).alias("top"))
-        blocks.repartitionByRange(n, "term", "block").sortWithinPartitions("term", "block").write.option("compression", "zstd").parquet(f"{self.root}/blocks")
+        blocks = self.read("postings").select("term", "block", F.size("id").cast("long").alias("n"), F.array_max(self._gains(self._mean())).alias("top"))
+        blocks.write.option("compression", "zstd").parquet(f"{self.root}/blocks")
         return self
 
+    def _mean(self) -> float:
+        t = self.read("totals").first()
+        return max(1, t["words"]) / max(1, t["n"])
+
     def plan(self, queries: DataFrame, k: int, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """The query terms with their weights (query_id, term, idf), and the blocks (query_id, block) that may hold one of the best ``k``.
 
@@ -94,17 +106,32 @@ class LexicalIndex:
         postings = self.read("postings")
         if len(few) <= MOST_LITERALS:
             postings = postings.filter(F.col("term").isin(few))
+        wanted = blocks.select("block").distinct()
+        if wanted.count() <= MOST_BROADCAST:
+            postings = postings.join(F.broadcast(wanted), "block", "left_semi")
+        kind = postings.schema["id"].dataType.elementType
+        found = F.arrays_zip(F.col("id"), self._gains(self._mean()).alias("gain"))
         if among is not None:
-            postings = postings.join(among.select("id"), "id", "left_semi")
-        gain = self._gain(F.lit(max(1, t["words"]) / max(1, t["n"])))
+            ids = among.select(F.col("id").cast(kind).alias("id")).filter("id IS NOT NULL")
+            allowed = ids.groupBy(F.pmod(F.xxhash64("id"), F.lit(t["blocks"])).alias("block")).agg(F.collect_set("id").alias("_ids"))
+        else:
+            allowed = None
+        # gains are made after the move, as whole numbers are smaller on the way
+        may = lambda rows: rows.withColumn("_found", found if allowed is None else F.filter(found, lambda x: F.array_contains("_ids", x["id"])))
         if weights.count() <= MOST_BROADCAST:
             # postings move once, to their block, and a block's scores are summed there
+            n = self._tasks(min(t["blocks"], t["n"] * weights.select("query_id").distinct().count() // TASK_SCORES))
             own = blocks.groupBy("block").agg(F.collect_set("query_id").alias("_queries"))
-            here = postings.join(own.hint("shuffle_hash"), "block").join(F.broadcast(weights), "term")
-            hits = here.filter(F.array_contains("_queries", F.col("query_id"))).groupBy("block", "query_id", "id").agg(F.sum(F.col("idf") * gain).alias("score")).drop("block")
+            if allowed is not None:
+                own = own.join(allowed, "block")
+            here = postings.repartition(n, "block").join(own.repartition(n, "block").hint("shuffle_hash"), "block")
+            each = may(here).join(F.broadcast(weights), "term").filter(F.array_contains("_queries", F.col("query_id")))
+            hits = each.select("block", "query_id", "idf", F.explode("_found").alias("_one")).groupBy("block", "query_id", F.col("_one.id").alias("id"))
         else:
-            hits = postings.join(weights.join(blocks, "query_id"), ["term", "block"]).groupBy("query_id", "id").agg(F.sum(F.col("idf") * gain).alias("score"))
-        return hits.withColumn("score", F.round("score", 6))
+            here = postings if allowed is None else postings.join(allowed, "block")
+            each = may(here).join(weights.join(blocks, "query_id"), ["term", "block"])
+            hits = each.select("query_id", "idf", F.explode("_found").alias("_one")).groupBy("query_id", F.col("_one.id").alias("id"))
+        return hits.agg(F.sum(F.col("idf") * F.col("_one.gain")).alias("score")).select("query_id", "id", F.round("score", 6).alias("score"))
 
     def search(self, queries: DataFrame, k: int = 12, among: DataFrame | None = None) -> DataFrame:
         """query_id, id, score, rank: the ``k`` documents of each query (query_id, text) with the highest BM25 score, ties by id.
