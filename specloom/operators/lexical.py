@@ -13,6 +13,8 @@ from ..sources.staging import written
 #: Runs of ASCII letters and digits and of whatever is not ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What lies between terms: the ASCII characters that TERM leaves out.
+_BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 #: Terms of all queries up to which the scan is told them, so that it skips row groups.
 MOST_LITERALS = 1000
 #: Weights of all queries' terms, and blocks, in rows, up to which they are broadcast.
@@ -23,7 +25,8 @@ TASK_DOCS, TASK_SCORES = 4096, 2_000_000
 
 def terms(text: Column) -> Column:
     """The terms of a text in their order, A to Z in lower case; none for a null."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
+    spaced = F.translate(text, UPPER + _BETWEEN, LOWER + " " * len(_BETWEEN))
+    return F.coalesce(F.array_remove(F.split(spaced, " "), ""), F.array().cast("array<string>"))
 
 
 @dataclass(frozen=True)
