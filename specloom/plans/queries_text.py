@@ -6,7 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -132,23 +132,34 @@ def utf8_repair(spark, d):
     return docs.select("doc_id", F.sha2(X.decode_utf8(raw), 256).alias("body_sha256"))
 
 
-def _zip_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Bytes of archives that a task hands on at once.
+_ZIP_BYTES = 4 << 20
+_ZIP_SCHEMA = pa.schema([("archive", pa.string()), ("content", pa.binary())])
+
+
+def _zip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for doc, source, text in zip(b["doc_id"], b["source"], b["text"], strict=True):
+        out, held = [], 0
+        for doc, source, text in zip(*b.columns, strict=True):
+            doc, source, text = doc.as_py(), source.as_py(), text.as_py()
             buf = io.BytesIO()
             with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
                 z.writestr("cap/", "")
                 z.writestr("cap/kb-manifest.yaml", f"capability_slug: cap-{source}\ncategory: 'test'\ndomain: synthetic  # made up\nsource_commit: c{doc}\n")
                 z.writestr(f"cap/documents/03-constraints/{doc}.md", text or "")
-            out.append((f"{doc}.zip", buf.getvalue()))
-        yield pd.DataFrame(out, columns=["archive", "content"])
+            out.append({"archive": f"{doc}.zip", "content": buf.getvalue()})
+            held += len(out[-1]["content"])
+            if held > _ZIP_BYTES:
+                yield pa.RecordBatch.from_pylist(out, _ZIP_SCHEMA)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _ZIP_SCHEMA)
 
 
 def archives(spark, d):
     """A ZIP archive per document, made in tasks."""
     docs = V.table(spark, d, "documents").select("doc_id", "source", "text")
-    return docs.mapInPandas(_zip_rows, "archive string, content binary")
+    return docs.mapInArrow(_zip_rows, "archive string, content binary")
 
 
 def zip_scan(spark, d):

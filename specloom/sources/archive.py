@@ -8,38 +8,60 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BadInput
 from ..functions import text as X
 
+#: Name of the file that describes an archive.
+MANIFEST_FILE = X.MANIFEST_FILE
 FIELDS = ("capability_slug", "category", "domain", "source_commit")
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for archive, content in zip(b["archive"], b["content"], strict=True):
-            rows: dict[str, tuple] = {}
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if not info.is_dir():
-                            # a repeated name keeps its first place and its last content
-                            place = rows[info.filename][1] if info.filename in rows else len(rows)
-                            rows[info.filename] = (archive, place, info.filename, z.read(info), None)
-            except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError, ValueError) as e:
-                rows = {"": (archive, 0, None, None, f"{type(e).__name__}: {e}")}
-            yield pd.DataFrame(list(rows.values()), columns=["archive", "ord", "path", "bytes", "error"])
+#: Bytes of files that a task hands on at once, but for a larger file.
+BATCH_BYTES = 4 << 20
+_ROW = pa.schema([("archive", pa.string()), ("ord", pa.int32()), ("path", pa.string()), ("bytes", pa.binary()), ("error", pa.string())])
 
 
-def unzip(archives: DataFrame) -> DataFrame:
+def _files(archive: str, content: bytes, only: str | None) -> list[dict]:
+    rows: dict[str, dict] = {}
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for info in z.infolist():
+                if not info.is_dir():
+                    # a repeated name keeps its first place and its last content; each file is read, as a broken one spoils the archive
+                    place, body = rows[info.filename]["ord"] if info.filename in rows else len(rows), z.read(info)
+                    kept = only is None or info.filename.rsplit("/", 1)[-1] == only
+                    rows[info.filename] = {"archive": archive, "ord": place, "path": info.filename, "bytes": body if kept else None}
+    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError, ValueError) as e:
+        return [{"archive": archive, "ord": 0, "error": f"{type(e).__name__}: {e}"}]
+    return list(rows.values())
+
+
+def unzip(archives: DataFrame, only: str | None = None) -> DataFrame:
     """archive, ord, path, body and error of the files in ``archives`` (archive, content).
 
-    Bodies are UTF-8 with malformed parts replaced.  An archive that can't be
-    read gives one row with an ``error``.
+    Bodies are UTF-8 with malformed parts replaced; with ``only``, those of
+    files of another name are null.  An archive that can't be read gives one
+    row with an ``error``.
     """
-    rows = archives.select("archive", "content").mapInPandas(_unzip, "archive string, ord int, path string, bytes binary, error string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for b in batches:
+            for archive, content in zip(*b.columns, strict=True):
+                for row in _files(archive.as_py(), content.as_py(), only):
+                    out.append(row)
+                    held += 200 + len(row.get("bytes") or b"")
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, _ROW)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _ROW)
+
+    rows = archives.select("archive", "content").mapInArrow(run, "archive string, ord int, path string, bytes binary, error string")
     return rows.select("archive", "ord", "path", X.decode_utf8(F.col("bytes")).alias("body"), "error")
 
 
