@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.staging import written
 
 
 @dataclass(frozen=True)
@@ -21,20 +22,24 @@ class CellIndex:
     spark: SparkSession
     root: str
 
-    def build(self, chunk: DataFrame, cells: int = 64, sample_rows: int = 65536, files: int = 8, seed: int = 1) -> CellIndex:
+    def build(self, chunk: DataFrame, cells: int = 64, sample_rows: int = 65536, task_rows: int = 50_000, seed: int = 1) -> CellIndex:
         """Index ``chunk`` (embedding and more).
 
         The centroids are fitted by k-means on cosine over at most
-        ``sample_rows`` chunks, drawn by a hash of the vector; every chunk with a
+        ``sample_rows`` chunks, drawn by a hash of the row; every chunk with a
         usable vector is stored.  Chunks whose vector is null, zero or not
-        finite have no distance to anything and are left out.  A cell's chunks
-        are dealt to ``files`` tasks, so a hot cell is not one task.
+        finite have no distance to anything and are left out.  Chunks are dealt
+        out by ranges of cell and hash, about ``task_rows`` a task, so a hot cell
+        is not one task.
         """
         bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
         usable = chunk.filter(F.col("embedding").isNotNull() & (V.l2_norm(F.col("embedding")) > 0) & ~F.exists("embedding", bad))
         unit = lambda df: df.withColumn("_unit", array_to_vector(V.normalize(F.col("embedding"))))
-        order = F.xxhash64(F.lit(seed), "embedding")
-        sample = unit(usable.select("embedding").orderBy(order).limit(sample_rows))
+        order = F.xxhash64(F.lit(seed), *[f.name for f in chunk.schema if "map<" not in f.dataType.simpleString()])
+        n_rows = usable.count()
+        # about as many as wanted are left before one task takes them in order
+        drawn = usable if n_rows <= sample_rows else usable.filter(F.pmod(order, F.lit(n_rows)) < int(1.05 * sample_rows) + 100)
+        sample = unit(written(drawn.select("embedding", order.alias("_order")).orderBy("_order").limit(sample_rows)).select("embedding"))
         if sample.isEmpty():
             usable.withColumn("cell", F.lit(0)).write.parquet(f"{self.root}/chunks")  # a folder a cell would leave no schema to read
             self.spark.createDataFrame([], "cell int, centroid array<double>").write.parquet(f"{self.root}/centroids")
@@ -43,9 +48,9 @@ class CellIndex:
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         self.spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.parquet(f"{self.root}/centroids")
         placed = model.transform(unit(usable)).drop("_unit")
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = placed.repartition(n, "cell", F.pmod(F.xxhash64("embedding"), F.lit(files)))
-        dealt.sortWithinPartitions("cell").write.partitionBy("cell").option("compression", "zstd").parquet(f"{self.root}/chunks")
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), n_rows // task_rows)
+        dealt = placed.withColumn("_order", order).repartitionByRange(n, "cell", "_order").sortWithinPartitions("cell").drop("_order")
+        dealt.write.partitionBy("cell").option("compression", "zstd").parquet(f"{self.root}/chunks")
         return self
 
     def nearest(self, query: Sequence[float], probes: int) -> list[int]:
