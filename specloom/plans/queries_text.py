@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions import vectors as VEC
 from ..operators import tree as T
 from ..sources import archive as A
+from ..sources.staging import written
 from . import corpus as V
 from .corpus import with_views
 
@@ -173,7 +174,8 @@ UNION ALL SELECT doc_id || '.zip', 1, 'cap/documents/03-constraints/' || doc_id
 
 
 def manifest_parse(spark, d):
-    return A.require_valid(A.manifests(A.unzip(archives(spark, d))))
+    # written, as the check reads it first
+    return A.require_valid(written(A.manifests(A.unzip(archives(spark, d), A.MANIFEST_FILE))))
 
 
 REGISTERED = [
