@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import written
 
+#: Rows of a range of an as-of join, about.
+RANGE_ROWS = 100_000
+
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_time: str, carry: dict[str, str], ties: list[str] | None = None, strict: bool = False) -> DataFrame:
     """``left`` with columns of the latest row of ``right`` with its keys, at or before its time.
@@ -23,7 +26,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, rig
     columns must not be called like the new ones.
 
     Both sides are dealt out together by ranges of keys and time and sorted, so
-    that a key with very many rows runs over several ranges.  What a range
+    that a key with very many rows runs over several ranges; there are as many
+    ranges as the rows ask for.  What a range
     hands on is the row in force at its end for its last key: at most two rows
     a range are looked at to carry it on.
     """
@@ -38,12 +42,13 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, rig
     rows = left.select(*[F.col(k).alias(n) for k, n in zip(keys, key, strict=True)], F.col(time).alias("_time"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(kinds["t"].dataType).alias("_tie"), F.lit(None).cast(kinds["p"].dataType).alias("_new"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"))
     news = right.filter(known & F.col(right_time).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, key, strict=True)], F.col(right_time).alias("_time"), F.lit(1 if strict else 0).alias("_side"), tie.alias("_tie"), payload.alias("_new"), F.lit(None).cast(left.select(F.struct(*[F.col(c) for c in left.columns])).schema[0].dataType).alias("_row"))
     both = rows.unionByName(news)
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), both.count() // RANGE_ROWS)
     order = [*key, "_time", "_side", "_tie"]
     sorted_ = written(both.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
 
     upto = W.partitionBy("_part", *key).orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = sorted_.withColumn("_own", F.last("_new", ignorenulls=True).over(upto)).filter("_row IS NOT NULL").drop("_new", "_tie")
+    # dealt out by range here too, so that a task's rows do not grow with the tables
+    own = sorted_.repartition(n, "_part").withColumn("_own", F.last("_new", ignorenulls=True).over(upto)).filter("_row IS NOT NULL").drop("_new", "_tie")
     # the first and the last key of each range, with the row in force at the key's end there
     ends = sorted_.groupBy("_part").agg(F.min_by(F.struct(*key), "_at").alias("lo"), F.max_by(F.struct(*key), "_at").alias("hi"))
     last = sorted_.filter("_new IS NOT NULL").groupBy("_part", *key).agg(F.max_by("_new", "_at").alias("_last"))
