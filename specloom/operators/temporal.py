@@ -12,6 +12,10 @@ from ..sources.staging import written
 
 #: Rows of a range of an as-of join, about.
 RANGE_ROWS = 100_000
+#: Rows of a key, of both sides together, up to which an overlap join compares all of them.
+KEY_ROWS = 4_000
+#: Bins of a level are 2^LEVEL_STEP times as wide as those of the level below.
+LEVEL_STEP = 3
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_time: str, carry: dict[str, str], ties: list[str] | None = None, strict: bool = False) -> DataFrame:
@@ -78,15 +82,21 @@ def _ticks(df: DataFrame, column: str) -> Column:
     raise ValueError(f"{column}: spans of {kind} can't be joined")
 
 
-def _spans(df: DataFrame, span: tuple[str, str], name: str, keys: list[str]) -> DataFrame:
-    """Keys, start, end (half open), level and the row; without empty spans and null keys."""
-    start, end = (F.coalesce(_ticks(df, c), F.lit(x)) for c, x in zip(span, (-_ENDLESS, _ENDLESS), strict=True))
-    rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], start.alias("_s"), end.alias("_e"), F.struct(*[F.col(c) for c in df.columns]).alias(name)).filter("_s < _e")
-    for i in range(len(keys)):
-        rows = rows.filter(F.col(f"_k{i}").isNotNull())
-    # bins of a level are 2^level wide; a span is at home where it meets two of them at most
-    length = F.col("_e") - F.col("_s")
-    return rows.withColumn("_level", (F.length(F.bin(length - 1)) * (length > 1).cast("int")).cast("int"))
+def _spans(df: DataFrame, span: tuple[str, str], keys: list[str]) -> DataFrame:
+    """The rows with keys and a span that isn't empty, written once."""
+    start, end = _bounds(df, span)
+    return written(df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], start < end)))
+
+
+def _bounds(df: DataFrame, span: tuple[str, str]) -> list[Column]:
+    """Start and end (half open) as long."""
+    return [F.coalesce(_ticks(df, c), F.lit(x)) for c, x in zip(span, (-_ENDLESS, _ENDLESS), strict=True)]
+
+
+def _flat(df: DataFrame, span: tuple[str, str], keys: list[str], side: str) -> DataFrame:
+    """Keys, start, end and the columns under names of the side; those that nobody reads are not moved."""
+    start, end = _bounds(df, span)
+    return df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], start.alias(f"_s{side}"), end.alias(f"_e{side}"), *[F.col(c).alias(f"_{side}{i}") for i, c in enumerate(df.columns)])
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
@@ -96,25 +106,65 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
     A null start or end is open; empty spans and null keys match nothing; with
     no keys all rows are of one key.  Repeated rows make a pair each.
 
-    Every span has a level by its length, at which it lies in one bin or two. A
-    pair meets at the coarser of its two levels, where it is taken in its first
-    common bin: so a span is written once or twice a level that the other side
-    has, a key's rows are spread over bins, and there are no products of keys.
+    Both sides are written once.  A key of at most ``KEY_ROWS`` rows meets
+    whole, so that its rows move once; the rows of larger keys meet by bins of
+    time.
     """
-    sides = {"l": _spans(left, left_span, "l", keys), "r": _spans(right, right_span, "r", keys)}
-    levels = {s: sorted(r[0] for r in df.select("_level").distinct().collect()) for s, df in sides.items()}  # 63 at most
+    a = _spans(left, left_span, keys)
+    b = a if right is left and right_span == left_span else _spans(right, right_span, keys)
+    l, r = _flat(a, left_span, keys, "l"), _flat(b, right_span, keys, "r")  # noqa: E741
     key = [f"_k{i}" for i in range(len(keys))]
+    large = _large_keys(l, r, key) if keys else None
+    if large is None:
+        out = _met_by_bins(l, r, key)
+    elif large.isEmpty():
+        out = _met_whole(l, r, key)
+    else:
+        parts = [[df.join(large, key, how) for df in (l, r)] for how in ("left_anti", "left_semi")]
+        out = _met_whole(*parts[0], key).unionByName(_met_by_bins(*parts[1], key))
+    row = lambda df, side: F.struct(*[F.col(f"_{side}{i}").alias(c) for i, c in enumerate(df.columns)]).alias(side)
+    return out.select(row(a, "l"), row(b, "r"))
+
+
+def _large_keys(l: DataFrame, r: DataFrame, key: list[str]) -> DataFrame:  # noqa: E741
+    """Keys of both sides with more than ``KEY_ROWS`` rows: at most a row for so many."""
+    sides = l.select(*key, F.lit(1).alias("_nl"), F.lit(0).alias("_nr")).unionByName(r.select(*key, F.lit(0).alias("_nl"), F.lit(1).alias("_nr")))
+    n = sides.groupBy(*key).agg(F.sum("_nl").alias("_nl"), F.sum("_nr").alias("_nr"))
+    return written(n.filter(f"_nl > 0 AND _nr > 0 AND _nl + _nr > {KEY_ROWS}").select(*key))
+
+
+def _met_whole(l: DataFrame, r: DataFrame, key: list[str]) -> DataFrame:  # noqa: E741
+    return l.join(r, key).filter("_sl < _er AND _sr < _el")
+
+
+def _met_by_bins(l: DataFrame, r: DataFrame, key: list[str]) -> DataFrame:  # noqa: E741
+    """Every span has a level by its length, at which it lies in one bin or two.
+
+    A pair meets at the coarser of its two levels, where it is taken in its
+    first common bin: so a span is written once or twice a level that the other
+    side has, a key's rows are spread over bins, and there are no products of
+    keys.
+    """
+
+    def levelled(df: DataFrame, side: str) -> DataFrame:
+        # bins of a level are 2^level wide; a span is at home where it meets two of them at most
+        length = F.col(f"_e{side}") - F.col(f"_s{side}")
+        bits = F.length(F.bin(length - 1)) * (length > 1).cast("int")
+        return df.withColumn("_level", (F.ceil(bits / LEVEL_STEP) * LEVEL_STEP).cast("int"))
+
+    sides = {"l": levelled(l, "l"), "r": levelled(r, "r")}
+    levels = {s: sorted(x[0] for x in df.select("_level").distinct().collect()) for s, df in sides.items()}  # 22 at most
 
     def dealt(side: str, at: list[int], coarser: bool) -> DataFrame:
         """The spans at their own level, or at those levels of the other side that are coarser."""
-        df = sides[side].withColumnRenamed("_s", f"_s{side}").withColumnRenamed("_e", f"_e{side}")
+        df = sides[side]
         df = df.withColumn("_level", F.explode(F.filter(F.array(*map(F.lit, at)), lambda x: x > F.col("_level")))) if coarser else df
         first, last = (F.expr(f"shiftright({c}, _level)") for c in (f"_s{side}", f"_e{side} - 1"))
         return df.withColumns({f"_first{side}": first, "_bin": F.explode(F.sequence(first, last))})
 
     def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
         j = a.join(b, [*key, "_level", "_bin"])
-        return j.filter("_sl < _er AND _sr < _el AND _bin = greatest(_firstl, _firstr)").select("l", "r")
+        return j.filter("_sl < _er AND _sr < _el AND _bin = greatest(_firstl, _firstr)").drop("_level", "_bin", "_firstl", "_firstr")
 
     home = {s: dealt(s, [], False) for s in sides}
     out = pairs(home["l"], home["r"])

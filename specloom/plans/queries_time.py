@@ -28,10 +28,10 @@ def lineitem_order_asof(spark, d):
 
 
 def _order_spans(spark, d):
-    """An order from its date to its last shipment; one without lineitems, or shipped before, has none."""
+    """An order, once, from its date to its last shipment; one without date or lineitems, or shipped before, has none."""
     last = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("until"))
-    orders = V.table(spark, d, "orders").join(last, F.col("o_orderkey") == F.col("l_orderkey"))
-    return orders.select("o_orderkey", "o_custkey", "o_orderdate", "until")
+    orders = V.table(spark, d, "orders").join(last, F.col("o_orderkey") == F.col("l_orderkey")).filter("o_orderdate < until")
+    return orders.select("o_orderkey", "o_custkey", "o_orderdate", "until").distinct()
 
 
 def order_overlaps(spark, d):
@@ -44,7 +44,7 @@ def order_overlaps(spark, d):
 def shipments_in_force(spark, d):
     """Orders of a customer that were open on the days after each shipment to them, ten days a shipment."""
     owner = V.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    items = V.table(spark, d, "lineitem").join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "l_shipdate", F.expr("l_shipdate + INTERVAL 10 DAYS").alias("until"))
+    items = V.table(spark, d, "lineitem").filter("l_shipdate IS NOT NULL").join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "l_shipdate", F.expr("l_shipdate + INTERVAL 10 DAYS").alias("until"))
     pairs = T.overlap_join(items, _order_spans(spark, d), ["o_custkey"], ("l_shipdate", "until"), ("o_orderdate", "until"))
     return pairs.groupBy(F.col("l.l_orderkey").alias("l_orderkey"), F.col("l.l_linenumber").alias("l_linenumber")).agg(F.count(F.lit(1)).alias("n_open"), F.min("r.o_orderkey").alias("first_open"))
 
